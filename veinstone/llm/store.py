@@ -1,0 +1,26 @@
+"""Cutting lineage through tables in the shared checkpoint folder."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; only where none is set (local tests), a new one of our own."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        known = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", known)
+    return known.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it back: later jobs, and retries after a lost
+    executor, start from those files. The folder's owner clears it after the run, as with any checkpoint."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
