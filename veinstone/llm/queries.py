@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm import cuckoo, mixing, tokens
+from veinstone.llm import cuckoo, langid, mixing, pii, quality, tokens, urls
 from veinstone.sources.tables import table
 
 
@@ -21,17 +21,43 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of a page are those of its number: bad if of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).where("bad is not null")
+    return urls.judged(table(spark, sf_dir, "pages", "page_id", "url"), bad)
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return langid.predicted(docs, langid.fit(docs))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pii.personal_spans(docs, pii.fit(docs))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), token_file())
 
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_url_rules": op3_url_rules,
+    "op4_language": op4_language,
+    "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_personal_data": op8_personal_data,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES = {

@@ -41,16 +41,39 @@ class Merges:
         self.width = max(vocab.values()) + 1
         keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made
+        self.made = made
+        #: Two tables of slots by multiplicative hash; what finds its slot in the first taken goes to the second.
+        self.tables = []
+        ranks = np.arange(len(keys), dtype=np.int32)
+        for bits, factor in ((20, 0x9E3779B97F4A7C15), (18, 0xC2B2AE3D27D4EB4F), (18, 0x165667B19E3779F9)):
+            table = (bits, np.uint64(factor), np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NONE, np.int32))
+            slot = self._slot(keys, table)
+            _, first = np.unique(slot, return_index=True)
+            table[2][slot[first]], table[3][slot[first]] = keys[first], ranks[first]
+            self.tables.append(table)
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, ranks = keys[rest], ranks[rest]
+        if len(keys):
+            raise ValueError("the merges don't fit the lookup tables")
         #: Special strings are cut out of a text first and count one each.
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
 
+    @staticmethod
+    def _slot(keys: np.ndarray, table: tuple) -> np.ndarray:
+        return ((keys.astype(np.uint64) * table[1]) >> np.uint64(64 - table[0])).astype(np.int64)
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, _NONE for those that don't merge."""
         key = left * self.width + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], _NONE)
+        slot = self._slot(key, self.tables[0])
+        out = np.where(self.tables[0][2][slot] == key, self.tables[0][3][slot], _NONE)
+        for table in self.tables[1:]:
+            at = np.flatnonzero(out == _NONE)
+            slot = self._slot(key[at], table)
+            out[at] = np.where(table[2][slot] == key[at], table[3][slot], _NONE)
+        return out
 
     def count(self, sequences: list[bytes]) -> np.ndarray:
         """How many symbols each sequence (none empty) keeps when no pair in it can be merged any more.
