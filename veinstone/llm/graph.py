@@ -1,0 +1,34 @@
+"""Connected components of a pair list, as rounds of joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from veinstone.llm.store import written
+
+
+def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(node, component) of every node of edges(a long, b long); component is the smallest node reachable.
+
+    Alternates two steps until nothing changes: every node hangs its larger neighbours, then its
+    smaller ones, on the smallest it knows. Each round is one minimum by node (partially computed
+    before the shuffle) and one join back; the pairs never grow. Loops and nulls are left out.
+    """
+    pairs = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
+    pairs = written(pairs)
+    before = None
+    for _ in range(max_rounds):
+        both = pairs.select(F.col("v").alias("x"), F.col("u").alias("y")).union(pairs.select(F.col("u").alias("x"), F.col("v").alias("y")))
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        large = both.join(least, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("v").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").where("v <> u").distinct()
+        pairs = written(small)
+        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        if tuple(now) == before:
+            break
+        before = tuple(now)
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return pairs.select(F.col("v").alias("node"), F.col("u").alias("component")).union(pairs.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm import cuckoo, langid, mixing, pii, quality, tokens, urls
+from veinstone.llm import cuckoo, langid, mixing, partenum, pii, quality, tokens, urls
 from veinstone.sources.tables import table
 
 
@@ -42,6 +42,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return pii.personal_spans(docs, pii.fit(docs))
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_personal_data": op8_personal_data,
     "op10_token_counts": op10_token_counts,
 }

@@ -48,16 +48,17 @@ def url_tokens(host_: Column, path_: Column) -> Column:
     )
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.0005, min_confidence: float = 0.6, min_lift: float = 1.5, max_size: int = 4) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = 0.0005, min_count: int = 10, min_confidence: float = 0.6, min_lift: float = 1.5, max_size: int = 4) -> DataFrame:
     """(rule_id, tokens array, n_tokens, key string, support, confidence, lift) from labelled(tokens array, bad boolean).
 
-    Token sets that occur with bad labels in at least min_support of all labelled URLs, of which at
-    least min_confidence are bad, that many times more than by chance. A rule goes when a rule
+    Token sets that occur with bad labels in at least min_support of all labelled URLs and in
+    min_count of them, of which at least min_confidence are bad, that many times more than by chance. A rule goes when a rule
     on fewer of its tokens is at least as confident. key is the token by which the inverted index
     finds the rule: its rarest one. Empty if nothing is labelled or nothing passes.
     """
     baskets = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    support = min(1.0, max(min_support, min_count / max(1, labelled.count())))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     sets = model.freqItemsets
     rules = (
         model.associationRules.where(F.array_contains("consequent", BAD))
