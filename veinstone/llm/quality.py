@@ -17,9 +17,10 @@ FEATURES = ("symbols", "bangs", "bars", "upper", "digits", "stops", "commas", "b
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """doc_id, text's features as columns f_*; a null text counts as empty, whose features are all 0 or 1."""
+    """doc_id, row (a struct of all columns), text's features as columns f_*; a null text counts as empty, whose features
+    are all 0 or 1."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", text.alias("t"), F.greatest(F.length(text), F.lit(1)).alias("n"))
+    d = docs.select("doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("t"), F.greatest(F.length(text), F.lit(1)).alias("n"))
     d = d.withColumn("words", F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     d = d.withColumn("rows", F.split("t", r"\n")).withColumn("m", F.greatest(F.size("words"), F.lit(1)))
     count = lambda chars: F.length("t") - F.length(F.translate("t", chars, ""))
@@ -42,7 +43,7 @@ def with_features(docs: DataFrame) -> DataFrame:
         "ends": F.size(F.filter("words", lambda w: w.rlike(r"[#$%&*!|]{1,3}$"))) / F.col("m"),
         "letters": kept(r"\p{L}+") / F.col("n"),
     }
-    return d.select("doc_id", *[F.coalesce(cols[n].cast("double"), F.lit(0.0)).alias(f"f_{n}") for n in FEATURES])
+    return d.select("doc_id", "row", *[F.coalesce(cols[n].cast("double"), F.lit(0.0)).alias(f"f_{n}") for n in FEATURES])
 
 
 class Scorer:
@@ -121,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 15_000) -> Scorer |
     most = max(1, total - n["all"])
     wanted = F.when(F.col("quality") == 1, F.lit(int(min(1, max_rows / n["good"]) * 1_000_000))).when(F.col("quality").isNull(), F.lit(int(min(1, max_rows / most) * 1_000_000))).otherwise(0)
     loose = max(min(1, max_rows / n["good"]), min(1, max_rows / most))  # before the join, of either sort
-    sample = with_features(seen.where(place < int(loose * 1_000_000))).join(told, "doc_id", "left").where(place < wanted)
+    sample = with_features(seen.where(place < int(loose * 1_000_000))).drop("row").join(told, "doc_id", "left").where(place < wanted)
     rows = sample.toPandas().sort_values("doc_id", kind="stable")
     x, good = rows[[f"f_{f}" for f in FEATURES]].to_numpy(float), (rows["quality"] == 1).to_numpy()
     if not good.any() or good.all():
@@ -138,3 +139,10 @@ def scored(docs: DataFrame, scorer: Scorer | None, threshold: float = 0.3) -> Da
     score = F.lit(0.5) if scorer is None else scorer.column()
     out = with_features(docs).select(F.col("doc_id").cast("long").alias("doc_id"), score.alias("score"))
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, scorer: Scorer | None, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least threshold; all without a scorer. Nothing is shuffled."""
+    if scorer is None:
+        return docs
+    return with_features(docs).where(scorer.column() >= threshold).select("row.*")

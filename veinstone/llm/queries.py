@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm import cuckoo, langid, mixing, partenum, pii, quality, tokens, urls
+from veinstone.llm import backoff, cuckoo, langid, mixing, partenum, pii, quality, templates, tokens, urls
 from veinstone.sources.tables import table
 
 
@@ -16,6 +16,10 @@ def token_file() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.backoff_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -51,11 +55,16 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_spans(docs, pii.fit(docs))
 
 
+def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), token_file())
 
 
 QUERIES = {
+    "op1_backoff_scores": op1_backoff_scores,
     "op2_mixing": op2_mixing,
     "op3_url_rules": op3_url_rules,
     "op4_language": op4_language,
@@ -63,6 +72,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_personal_data": op8_personal_data,
+    "op9_template_leaks": op9_template_leaks,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES = {
