@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from veinstone.plans import cochange
+from veinstone.plans import cochange, graphs, ledgers, sequences, texts
 
-_MODULES = (cochange,)
+_MODULES = (cochange, graphs, sequences, texts, ledgers)
 
 
 def queries() -> dict[str, Callable]:
