@@ -124,21 +124,18 @@ def count_tokens(texts: list[str], path: str) -> list[int]:
     counts, at, size = [0] * len(texts), 0, 0
 
     def settle(group: list[tuple[int, list[str]]]) -> None:
-        here: dict[str, int] = {}
-        fresh = list({t for _, tokens in group for t in tokens}.difference(known))
+        every = {t for _, tokens in group for t in tokens}
+        fresh = list(every.difference(known))
+        if len(known) + len(fresh) > REMEMBERED:
+            known.clear()
+            fresh = list(every)
         if fresh:
-            here = dict(zip(fresh, merges.count([t.encode("utf-8", "surrogatepass") for t in fresh]).tolist()))
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-            known.update((t, n) for t, n in here.items() if len(t) <= LONG)
+            known.update(zip(fresh, merges.count([t.encode("utf-8", "surrogatepass") for t in fresh]).tolist()))
         for i, tokens in group:
-            try:
-                counts[i] += sum(map(known.__getitem__, tokens))
-            except KeyError:
-                tokens_n = merges.count
-                for t in tokens:
-                    n = here.get(t, known.get(t))
-                    counts[i] += int(tokens_n([t.encode("utf-8", "surrogatepass")])[0]) if n is None else n
+            counts[i] += sum(map(known.__getitem__, tokens))
+        for t in fresh:
+            if len(t) > LONG:
+                del known[t]
 
     group: list[tuple[int, list[str]]] = []
     for at, text in enumerate(texts):
