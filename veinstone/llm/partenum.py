@@ -9,7 +9,8 @@ enumerated; similar sets share a signature.
 
 With t groups more than needed, similar sets share signatures in at least t + 1 groups. So a set
 may leave out up to t signatures that tell little: empty ones, and those of crowds, sets by the
-dozen that share a passage. Sets that would have to leave out more are compared in full.
+dozen that share a passage. Two sets that both would have to leave out more meet in another exact
+way: by the rarest fifth of their shingles, of which similar sets share one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veinstone.llm.bitmap import KeyBitmap
@@ -170,12 +172,12 @@ def signature_rows(docs: DataFrame) -> DataFrame:
     return docs.select("text").where("text is not null").mapInArrow(run, "sig long, cls long, spare int")
 
 
-def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matches(batches: Iterator[pa.RecordBatch], chain: bool = False) -> Iterator[pa.RecordBatch]:
     """From (sig, cls, spare) sorted by sig and cls: rows (a, b) of candidate pairs, and (a, sig, spare) for each member
     a of a crowd; what a row hasn't is null.
 
-    Up to CROWD sets that share a signature give all their pairs; in a crowd each member is paired
-    with the first and with the one before. Memory holds one batch and one run of CROWD rows.
+    Up to CROWD sets that share a signature give all their pairs; with chain, in a crowd each member is
+    paired with the first and with the one before. Memory holds one batch and one run of CROWD rows.
     """
     head = last = None  # of a crowd that goes on from the batch before
     none = np.zeros(0, np.int64)
@@ -210,9 +212,9 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = small[o:] & (begin[o:] == begin[:-o])
             a.append(c[:-o][ok])
             b.append(c[o:][ok])
-        at = np.flatnonzero(~small & (np.arange(len(s)) > begin))
+        at = np.flatnonzero(~small & (np.arange(len(s)) > begin)) if chain else np.zeros(0, np.int64)
         yield pairs(np.concatenate([*a, c[begin[at]], c[at - 1]]), np.concatenate([*b, c[at], c[at]]))
-        if len(at):
+        if not small.all():
             yield crowd(s[~small], c[~small], k[~small])
 
     for batch in batches:
@@ -227,8 +229,9 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if head is not None:
             apart = np.flatnonzero(s != head[0])
             more = int(apart[0]) if len(apart) else len(s)
-            if more:
+            if more and chain:
                 yield pairs(np.concatenate([np.full(more, head[1]), [last], c[: more - 1]]), np.concatenate([c[:more], c[:more]]))
+            if more:
                 yield crowd(s[:more], c[:more], k[:more])
                 last = c[more - 1]
             s, c, k = s[more:], c[more:], k[more:]
@@ -247,10 +250,10 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from settle(*carry)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of doc_ids, those whose texts' sets are similar. Only the sets of documents in pairs are shuffled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    known = docs.sparkSession.sparkContext.broadcast(KeyBitmap.of(ids, "doc_id"))  # at most 16 MB
+def _elements(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, elements): the sets of the documents in ids(doc_id), as packed hashes. Other texts leave the scan at a
+    bitmap of the ids, of at most 16 MB."""
+    known = docs.sparkSession.sparkContext.broadcast(KeyBitmap.of(ids, "doc_id"))
 
     def sets(batches):
         for batch in batches:
@@ -266,7 +269,12 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([doc, pa.array(blobs, pa.binary())], ["doc_id", "elements"])
 
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").mapInArrow(sets, "doc_id long, elements binary")
-    held = written(held.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return held.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of doc_ids, those whose texts' sets are similar. Only the sets of documents in pairs are shuffled."""
+    held = written(_elements(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
 
     def check(batches):
         for batch in batches:
@@ -281,6 +289,24 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def rare_prefixes(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(sig, cls, spare): for each document in ids(doc_id) its rarest shingles among them, one more than a similar set can
+    lack; spare is the shingle's place in the order of rarity, from 1."""
+
+    def spread(batches):
+        for batch in batches:
+            for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(blob, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), doc)), pa.array(np.full(len(x), len(x)))], ["sig", "cls", "n"])
+
+    rows = written(_elements(docs, ids).mapInArrow(spread, "sig long, cls long, n long"))
+    common = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(W.partitionBy("cls").orderBy("df", "sig"))
+    ranked = rows.join(common.where("df > 1"), "sig", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("place", place)
+    least = F.ceil(F.col("n") * NUM / DEN)
+    return ranked.where((F.col("place") <= F.col("n") - least + 1) & (F.col("df") > 1)).select("sig", "cls", F.col("place").alias("spare"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
 
@@ -301,18 +327,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         fit = F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM
         return pairs.select("a", "b").distinct().join(one, "a").join(two, "b").where(fit).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
-    links = written(verified(written(named(found.where("b is not null"))), slim))
+    # sets that share too many signatures with crowds to leave those out
     members = found.where("sig is not null").select("sig", F.col("a").alias("cls"), F.col("sig").bitwiseAND(127).cast("int").alias("band"), "spare").distinct()
-    heavy = members.groupBy("cls", "band").agg(F.count(F.lit(1)).alias("n"), F.min("spare").alias("spare")).where("n > spare")
-    crowds = members.drop("spare").join(heavy.select("cls", "band"), ["cls", "band"], "left_semi")
+    heavy = members.groupBy("cls", "band").agg(F.count(F.lit(1)).alias("n"), F.min("spare").alias("spare")).where("n > spare").select("cls").distinct()
+    heavy = written(heavy.join(reps, "cls").select(F.col("rep").alias("doc_id"), "n"))
+    rare = rare_prefixes(slim, heavy.select("doc_id")).repartition("sig").sortWithinPartitions("sig", "cls")
+    more = written(rare.mapInArrow(lambda batches: _matches(batches, chain=True), "a long, b long, sig long, spare int"))
+    fit = F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM
+    again = more.where("b is not null").select("a", "b").distinct().join(heavy.toDF("a", "n_a"), "a").join(heavy.toDF("b", "n_b"), "b").where(fit).select("a", "b")
+    links = written(verified(written(named(found.where("b is not null")).union(again).distinct()), slim))
     part = written(components(links))
-    crowds = written(crowds.join(reps.select("cls", "rep", "n"), "cls").join(part, F.col("rep") == F.col("node"), "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("part")))
-    # crowds whose heavy members are not yet in one component: all their pairs across components
+    # rare shingles that a crowd shares which is not yet one component: its pairs across components, as far as their
+    # places leave it possible: similar sets share at least `both` shingles, so one is among each's rarest n - both + 1
+    crowds = more.where("sig is not null").select("sig", F.col("a").alias("rep"), F.col("spare").alias("place")).distinct().join(heavy.toDF("rep", "n"), "rep")
+    crowds = written(crowds.join(part, F.col("rep") == F.col("node"), "left").select("sig", "rep", "n", "place", F.coalesce("component", "rep").alias("part")))
     split = crowds.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("sig")
     open_ = crowds.join(split, "sig", "left_semi")
-    left, right = open_.toDF("sig", "a", "n_a", "part_a"), open_.toDF("sig", "b", "n_b", "part_b")
-    fit = (F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM) & (F.col("part_a") < F.col("part_b"))
-    rest = written(left.join(right, "sig").where(fit).select("a", "b").distinct())
+    left, right = open_.toDF("sig", "a", "n_a", "place_a", "part_a"), open_.toDF("sig", "b", "n_b", "place_b", "part_b")
+    both = F.ceil((F.col("n_a") + F.col("n_b")) * NUM / (NUM + DEN))
+    early = (F.col("place_a") <= F.col("n_a") - both + 1) & (F.col("place_b") <= F.col("n_b") - both + 1)
+    rest = written(left.join(right, (left["sig"] == right["sig"]) & fit & early & (F.col("part_a") < F.col("part_b"))).select("a", "b").distinct())
     if not rest.isEmpty():
         part = written(components(links.union(verified(rest, slim))))
     named_cls = reps.join(part, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component"))
