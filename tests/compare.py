@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 DATA = "/root/testdata/sf0.001"
@@ -16,7 +17,7 @@ def connection(sf_dir: str = DATA):
 
 
 def _cell(x) -> str:
-    if x is None or x != x:
+    if pd.isna(x):
         return "null"
     return f"{float(x):.6f}" if isinstance(x, (int, float)) or hasattr(x, "dtype") else str(x)
 

@@ -149,6 +149,6 @@ def test_placement_and_budget(spark):
 
 
 def test_job_fold(spark):
-    steps = ["signup", "login", "error", "login", "error", "login", "error", "login"]
+    steps = ["signup", "view", "error", "view", "error", "view", "error", "view"]
     d = spark.createDataFrame([(1, s, i, i) for i, s in enumerate(steps)], "user_id long, event_type string, ts long, event_id long")
     assert tuple(stateful.job_states(d).first()) == (1, "failed", 3, 7, 1)

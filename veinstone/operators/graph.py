@@ -101,7 +101,7 @@ def file_graph(files: DataFrame, imports: DataFrame, changes: DataFrame, sweep:
     both = cochange_pairs(present, sweep).where(F.col("n_shared") >= min_changes)
     both = both.join(per.toDF("a", "na"), "a").join(per.toDF("b", "nb"), "b")
     two = both.select("a", "b", (change_w * F.col("n_shared") / (F.col("na") + F.col("nb") - F.col("n_shared"))).alias("w"))
-    folders = files.select("path", "dir").distinct().groupBy("dir").agg(F.sort_array(F.collect_list("path")).alias("paths")).where(F.size("paths") >= 2)
+    folders = files.where(F.col("dir").isNotNull()).select("path", "dir").distinct().groupBy("dir").agg(F.sort_array(F.collect_list("path")).alias("paths")).where(F.size("paths") >= 2)
     left = folders.select("paths", F.posexplode("paths").alias("i", "a"))
     three = left.select("a", F.explode(F.expr("slice(paths, i + 2, size(paths))")).alias("b"), (dir_w / (F.size("paths") - 1)).alias("w"))
     return one.union(two).union(three).groupBy("a", "b").agg(F.sum("w").alias("weight"))

@@ -40,10 +40,10 @@ def first_within(events: DataFrame, keys: list[str], ts: str, tie: str, seconds:
 #: What an event does to a job (fixed values): from states, to state.
 MOVES = {
     "signup": (None, "queued"),
-    "login": (("queued",), "running"),
+    "view": (("queued",), "running"),
     "purchase": (("running",), "done"),
     "error": (("running",), "queued"),
-    "logout": (("queued", "running"), "cancelled"),
+    "cancel": (("queued", "running"), "cancelled"),
 }
 ATTEMPTS = 3
 

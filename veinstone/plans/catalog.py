@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from veinstone.plans import cochange, graphs, ledgers, sequences, texts
+from veinstone.plans import cochange, graphs, ledgers, sequences, texts, updates
 
-_MODULES = (cochange, graphs, sequences, texts, ledgers)
+_MODULES = (cochange, graphs, sequences, texts, ledgers, updates)
 
 
 def queries() -> dict[str, Callable]:

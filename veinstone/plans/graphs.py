@@ -206,10 +206,11 @@ ORACLES = {
     "feature_neighbours": _E + "SELECT src, dst, weight FROM fn",
     "see_also_features": _E + "SELECT * FROM (SELECT src, dst, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM fn) WHERE rank <= 5",
     "cross_feature_edges": """
-WITH f AS (SELECT c_nationkey AS src, s_nationkey AS dst, l_returnflag AS flag, l_orderkey || ':' || l_linenumber AS site,
-    row_number() OVER (PARTITION BY c_nationkey, s_nationkey ORDER BY l_orderkey, l_linenumber) AS r
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey)
-SELECT src, dst, count(*) FILTER (flag = 'R') AS imports, count(*) FILTER (flag <> 'R') AS calls, string_agg(site, ',' ORDER BY r) FILTER (r <= 2) AS sites FROM f GROUP BY 1, 2""",
+WITH f AS (SELECT c_nationkey AS src, s_nationkey AS dst, l_returnflag AS flag, l_orderkey AS o, l_linenumber AS n
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey),
+d AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY o, n) AS r FROM (SELECT DISTINCT src, dst, o, n FROM f)),
+s AS (SELECT src, dst, string_agg(o || ':' || n, ',' ORDER BY r) AS sites FROM d WHERE r <= 2 GROUP BY 1, 2)
+SELECT src, dst, count(*) FILTER (flag = 'R') AS imports, count(*) FILTER (flag <> 'R') AS calls, any_value(sites) AS sites FROM f JOIN s USING (src, dst) GROUP BY 1, 2""",
     "centrality_weights": _E + """, sh AS (SELECT x.path, x.feature, x.role, sum(CASE WHEN y.feature = x.feature THEN weight ELSE 0 END) / sum(weight) AS share
   FROM m x JOIN sym ON a = x.path LEFT JOIN m y ON y.path = b GROUP BY 1, 2, 3)
 SELECT m.path, m.feature, floor(CASE WHEN m.role = 'core' THEN 1.0 ELSE 0.5 END * greatest(0.05, coalesce(share, 0)) * 1000 + 0.5) / 1000 AS weight FROM m LEFT JOIN sh ON sh.path = m.path""",

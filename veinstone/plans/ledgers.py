@@ -154,7 +154,7 @@ def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def running_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
     w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
-    step = F.when(F.col("event_type") == "login", 1).when(F.col("event_type") == "logout", -1).otherwise(0)
+    step = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "purchase", -1).otherwise(0)
     return e.select("event_id", F.sum(step).over(w).alias("running"))
 
 
@@ -232,5 +232,5 @@ k AS (SELECT user_id, event_type, r, event_id, ts, ts AS last, true AS keep FROM
   FROM k JOIN o ON o.user_id = k.user_id AND o.event_type = k.event_type AND o.r = k.r + 1)
 SELECT event_id, user_id, event_type FROM k WHERE keep""",
     "late_events": "SELECT event_id, coalesce(value >= max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS applied FROM events",
-    "running_cap": "SELECT event_id, sum(CASE event_type WHEN 'login' THEN 1 WHEN 'logout' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM events",
+    "running_cap": "SELECT event_id, sum(CASE event_type WHEN 'view' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM events",
 }

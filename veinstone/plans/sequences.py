@@ -77,7 +77,7 @@ def _events_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _activity(source, grain: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = activity.dense_counts(source(spark, sf_dir), "day", grain)
-        return out.withColumn("heat", heat_level(F.col("n")))
+        return out.select(F.col("bucket").cast("string").alias("bucket"), "n", heat_level(F.col("n")).alias("heat"))
 
     return query
 
@@ -87,11 +87,11 @@ def adaptive_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_series_others(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity.top_series(_events_day(spark, sf_dir), "day", "user_id", 8)
+    return activity.top_series(_events_day(spark, sf_dir), "day", "user_id", 8).withColumn("day", F.col("day").cast("string"))
 
 
 def zoom_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity.busiest_period(_orders_day(spark, sf_dir), ["o_custkey"], "day", "month")
+    return activity.busiest_period(_orders_day(spark, sf_dir), ["o_custkey"], "day", "month").withColumn("period", F.col("period").cast("string"))
 
 
 def prefix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ def k_anonymous_others(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events_day(spark, sf_dir).withColumn("out", F.col("user_id") % 3 == 0)
     hidden = e.where("out").groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("people")).where("people >= 5")
     shown = e.where("not out").groupBy("day", F.col("user_id").cast("string").alias("who")).agg(F.count(F.lit(1)).alias("n"))
-    return shown.union(hidden.select("day", F.lit("others").alias("who"), "n"))
+    return shown.union(hidden.select("day", F.lit("others").alias("who"), "n")).withColumn("day", F.col("day").cast("string"))
 
 
 def lang_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ def _dense(src: str, day: str, grain: str) -> str:
     return f"""WITH c AS (SELECT date_trunc('{grain}', {day}::DATE)::DATE AS bucket, count(*) AS n FROM {src} GROUP BY 1),
 s AS (SELECT unnest(generate_series((SELECT min(bucket) FROM c)::TIMESTAMP, (SELECT max(bucket) FROM c)::TIMESTAMP, INTERVAL {step}))::DATE AS bucket),
 o AS (SELECT bucket, coalesce(n, 0) AS n FROM s LEFT JOIN c USING (bucket))
-SELECT bucket, n, CASE WHEN n <= 0 THEN 0 WHEN n = 1 THEN 1 WHEN n <= 3 THEN 2 WHEN n <= 6 THEN 3 ELSE 4 END AS heat FROM o"""
+SELECT bucket::VARCHAR AS bucket, n, CASE WHEN n <= 0 THEN 0 WHEN n = 1 THEN 1 WHEN n <= 3 THEN 2 WHEN n <= 6 THEN 3 ELSE 4 END AS heat FROM o"""
 
 
 _ACTIVITY = {"day": ("events", "ts"), "week": ("events", "ts"), "month": ("orders", "o_orderdate"), "quarter": ("orders", "o_orderdate"), "year": ("orders", "o_orderdate")}
@@ -213,9 +213,9 @@ SELECT o_custkey, CASE WHEN count(DISTINCT o_orderdate::DATE) <= 7 THEN 'day' WH
   WHEN count(DISTINCT date_trunc('quarter', o_orderdate)) <= 7 THEN 'quarter' WHEN count(DISTINCT date_trunc('year', o_orderdate)) <= 7 THEN 'year' ELSE 'span' END AS grain FROM orders GROUP BY 1""",
     "top_series_others": """
 WITH t AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 8)
-SELECT ts::DATE AS day, CASE WHEN t.user_id IS NULL THEN 'Others' ELSE t.user_id::VARCHAR END AS series, count(*) AS n FROM events e LEFT JOIN t ON t.user_id = e.user_id GROUP BY 1, 2""",
+SELECT ts::DATE::VARCHAR AS day, CASE WHEN t.user_id IS NULL THEN 'Others' ELSE t.user_id::VARCHAR END AS series, count(*) AS n FROM events e LEFT JOIN t ON t.user_id = e.user_id GROUP BY 1, 2""",
     "zoom_period": """SELECT o_custkey, period, n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, period) AS r
-  FROM (SELECT o_custkey, date_trunc('month', o_orderdate)::DATE AS period, count(*) AS n FROM orders GROUP BY 1, 2)) WHERE r = 1""",
+  FROM (SELECT o_custkey, date_trunc('month', o_orderdate)::DATE::VARCHAR AS period, count(*) AS n FROM orders GROUP BY 1, 2)) WHERE r = 1""",
     "prefix_budget": """
 SELECT o_custkey, o_orderkey, spent FROM (SELECT o_custkey, o_orderkey, sum(floor(o_totalprice * 100 + 0.5)::BIGINT) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM orders) WHERE spent <= 50000000""",
     "stratified_sample": """
@@ -227,8 +227,8 @@ WITH f AS (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS fi
 SELECT user_id, event_id, event_type, dense_rank() OVER (PARTITION BY user_id ORDER BY first, event_type) AS number, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS occurrence FROM f""",
     "rank_with_ties": "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS r FROM lineitem) WHERE r = 1",
     "k_anonymous_others": """
-SELECT ts::DATE AS day, user_id::VARCHAR AS who, count(*) AS n FROM events WHERE user_id % 3 <> 0 GROUP BY 1, 2
-UNION ALL SELECT ts::DATE, 'others', count(*) FROM events WHERE user_id % 3 = 0 GROUP BY 1 HAVING count(DISTINCT user_id) >= 5""",
+SELECT ts::DATE::VARCHAR AS day, user_id::VARCHAR AS who, count(*) AS n FROM events WHERE user_id % 3 <> 0 GROUP BY 1, 2
+UNION ALL SELECT ts::DATE::VARCHAR, 'others', count(*) FROM events WHERE user_id % 3 = 0 GROUP BY 1 HAVING count(DISTINCT user_id) >= 5""",
     "lang_shares": "SELECT * FROM (SELECT lang, floor(sum(n_chars) * 1000.0 / (SELECT sum(n_chars) FROM documents)) / 1000 AS share FROM documents GROUP BY lang) WHERE share > 0 ORDER BY share DESC, lang LIMIT 20",
     "infobox": """
 WITH p AS (SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY 1),
