@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veinstone.llm.bitmap import KeyBitmap
-from veinstone.llm.hashing import PIECE, U64, mix, word_hashes
+from veinstone.llm.hashing import PIECE, U64, grouped, mix, word_hashes
 
 WINDOW = 8
 #: A window must have so many plain words.
@@ -46,30 +46,42 @@ _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 58, 63]] = True
 
 
-def canonical(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(template hash, value hash) of a text's words in order, pieces of punctuation alone left out.
-
-    Both are the same for plain words. A word that begins with a digit is a number. A capitalised,
-    not all-capital word is a name if no sentence begins with it, or it is a known first name."""
-    templates, values = [], []
-    at, fresh = 0, True
-    while at < len(data) or at == 0:
-        end = min(at + PIECE, len(data))
-        while end < len(data) and not _SPACE[data[end]]:
-            end += 1
-        t, v, fresh = _piece(data[at:end], fresh)
+def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template hashes, value hashes, words of each text), pieces of punctuation alone left out.
+
+    Both hashes are the same for plain words. A word that begins with a digit is a number. A
+    capitalised, not all-capital word is a name if no sentence begins with it, or it is a known first name."""
+    templates, values, counts = [], [], []
+    for i, j in grouped(texts):
+        if len(texts[i]) > 2 * PIECE:  # one long text, piece by piece
+            data, at, fresh, n = texts[i], 0, True, 0
+            while at < len(data):
+                end = min(at + PIECE, len(data))
+                while end < len(data) and not _SPACE[data[end]]:
+                    end += 1
+                t, v, _, fresh = _piece(data[at:end], fresh)
+                templates.append(t)
+                values.append(v)
+                n, at = n + len(t), end
+            counts.append(np.array([n]))
+            continue
+        # a stop between texts: none of them goes on with the sentence of the one before
+        t, v, starts, _ = _piece(b" . ".join(texts[i:j]), True)
+        begins = np.cumsum([0, *(len(x) + 3 for x in texts[i : j - 1])])
         templates.append(t)
         values.append(v)
-        if end >= len(data):
-            break
-        at = end
-    return np.concatenate(templates), np.concatenate(values)
+        counts.append(np.bincount(np.searchsorted(begins, starts, side="right") - 1, minlength=j - i))
+    if not counts:
+        return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64)
+    return np.concatenate(templates), np.concatenate(values), np.concatenate(counts)
 
 
-def _piece(data: bytes, fresh: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+def _piece(data: bytes, fresh: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(templates, values, where each word starts, whether a sentence ends here)."""
     raw = np.frombuffer(data, np.uint8).copy()
+    nothing = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), fresh
     if not len(raw):
-        return np.zeros(0, U64), np.zeros(0, U64), fresh
+        return nothing
     upper = (raw >= 65) & (raw <= 90)
     wide = np.zeros(len(raw), bool)
     wide[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)  # capitals with accents
@@ -81,32 +93,33 @@ def _piece(data: bytes, fresh: bool) -> tuple[np.ndarray, np.ndarray, bool]:
     first[1:] &= space[:-1]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.zeros(0, U64), np.zeros(0, U64), fresh
+        return nothing
+    n = len(starts)
     wordlike = _WORDLIKE[raw]
     token = np.cumsum(first) - 1
-    has = np.bincount(token[wordlike & (token >= 0)], minlength=len(starts)) > 0
-    # where each token's first letter or digit is
-    lead = np.full(len(starts), len(raw) - 1)
+    token[space] = n  # of none
     inside = np.flatnonzero(wordlike)
-    own, at = np.unique(token[inside], return_index=True)
-    lead[own] = inside[at]
-    ends_sentence = np.bincount(token[_STOP[raw] & (token >= 0)], minlength=len(starts)) > 0
-    clean = np.where(wordlike, raw, 0).astype(np.uint8)
-    kept = clean[wordlike | space]
-    values = word_hashes(kept.tobytes())  # tokens without letters or digits are gone
+    own = token[inside]
+    letters = np.bincount(own, minlength=n + 1)[:n]
+    has = letters > 0
+    lead = np.zeros(n, np.int64)  # where each word's first letter or digit is
+    head = np.ones(len(own), bool)
+    head[1:] = own[1:] != own[:-1]
+    lead[own[head]] = inside[head]
+    caps = np.bincount(token[upper], minlength=n + 1)[:n]
+    ends_sentence = np.bincount(token[_STOP[raw]], minlength=n + 1)[:n] > 0
+    values = word_hashes(raw[wordlike | space].tobytes())  # words without letters or digits are gone
     begins = np.concatenate([[fresh], ends_sentence[:-1]])[has]
-    lead = lead[has]
-    caps = np.bincount(token[upper & (token >= 0)], minlength=len(starts))[has]
-    letters = np.bincount(token[wordlike & (token >= 0)], minlength=len(starts))[has]
+    lead, caps, letters = lead[has], caps[has], letters[has]
     digit = (raw[lead] >= 48) & (raw[lead] <= 57)
     name = capital[lead] & (caps < np.maximum(2, letters)) & (letters > 1) & (~begins | np.isin(values, _NAME_HASHES))
     unit = np.isin(values, _UNIT_HASHES)
     templates = np.where(digit, _NUMBER, np.where(name, _NAME, np.where(unit, _UNIT, values)))
-    return templates, values, bool(ends_sentence[-1])
+    return templates, values, starts[has], bool(ends_sentence[-1])
 
 
-def windows(templates: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of the windows of `size` words with enough plain ones."""
+def windows(templates: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of the first word) of the windows of `size` words within a text with enough plain ones."""
     m = len(templates) - size + 1
     if m <= 0:
         return np.zeros(0, U64), np.zeros(0, np.int64)
@@ -115,46 +128,46 @@ def windows(templates: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(size):
         h = h + templates[k : k + m] * _ROLL[k]
     held = np.concatenate([[0], np.cumsum(~slot)])
-    ok = held[size:] - held[:m] >= min(PLAIN, size)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    ok = (held[size:] - held[:m] >= min(PLAIN, size)) & (owner[:m] == owner[size - 1 :])
     return mix(h)[ok], np.flatnonzero(ok)
 
 
-def _rows(id_: int, text: str | None, sizes: list[int] | None, known: KeyBitmap | None) -> Iterator[tuple]:
-    """(id, pos, hash, slots, n) of a text's windows. sizes None: a benchmark's text, one size, shorter if it is short."""
-    templates, values = canonical((text or "").encode())
-    for size in [min(WINDOW, len(templates))] if sizes is None else sizes:
-        if size < 1:
-            continue
-        h, pos = windows(templates, size)
-        n = len(h)
+def _found(ids: list[int], texts: list[bytes], sizes: list[int] | None, known: KeyBitmap | None) -> Iterator[tuple]:
+    """(id, pos, hash, values of slots, windows of the text, size) of the windows that known may hold. sizes None: the texts
+    are benchmark items, with windows as long as the text where that is short."""
+    templates, values, counts = canonical(texts)
+    begin = np.cumsum(counts) - counts
+    owner = np.repeat(np.arange(len(counts)), counts)
+    for size in range(1, WINDOW + 1) if sizes is None else sizes:
+        h, at = windows(templates, counts, size)
+        if sizes is None:
+            mine = np.minimum(counts, WINDOW)[owner[at]] == size
+            h, at = h[mine], at[mine]
+        n = np.bincount(owner[at], minlength=len(counts)) if len(at) else counts
         if known is not None:
             hit = known.holds(h.view(np.int64))
-            h, pos = h[hit], pos[hit]
-        for x, p in zip(h.view(np.int64).tolist(), pos.tolist()):
+            h, at = h[hit], at[hit]
+        for x, p in zip(h.view(np.int64).tolist(), at.tolist()):
             t, v = templates[p : p + size], values[p : p + size]
-            at = np.flatnonzero(t != v)
-            yield id_, p, x, (at + p).tolist(), v[at].view(np.int64).tolist(), n
-
+            who = owner[p]
+            yield ids[who], p - int(begin[who]), x, v[t != v].view(np.int64).tolist(), int(n[who]), size
 
-_SCHEMA = "{id} long, pos long, hash long, places array<long>, vals array<long>, n long, size int"
 
+def _table(frame: DataFrame, id_: str, sizes: list[int] | None, known) -> DataFrame:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32()]
+    names = [id_, "pos", "hash", "vals", "n", "size"]
 
-def _table(frame: DataFrame, id_: str, text: str, sizes: list[int] | None, known) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int32()]
-        names = [id_, "pos", "hash", "places", "vals", "n", "size"]
         for batch in batches:
-            out: list[tuple] = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += ((*r, min(WINDOW, len(canonical(t.encode())[0])) if sizes is None else 0) for r in _rows(i, t, sizes, None if known is None else known.value))
-                if len(out) > 100_000:
+            ids, texts = batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()]
+            for i, j in grouped(texts):
+                out = list(_found(ids[i:j], texts[i:j], sizes, None if known is None else known.value))
+                if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    slim = frame.select(F.col(id_).cast("long").alias(id_), F.col(text).alias("text")).where(f"{id_} is not null and text is not null")
-    return slim.mapInArrow(run, _SCHEMA.format(id=id_))
+    slim = frame.select(F.col(id_).cast("long").alias(id_), "text").where(f"{id_} is not null and text is not null")
+    return slim.mapInArrow(run, f"{id_} long, pos long, hash long, vals array<long>, n long, size int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
@@ -166,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
     rows; repeated rows of one id count as one. Only document windows that pass a bitmap (at most 16 MB, whatever the
     benchmark's size) of the benchmark's hashes are shuffled.
     """
-    items = _table(benchmark, "item_id", "text", None, None).dropDuplicates(["item_id", "pos", "hash"]).persist()
+    items = _table(benchmark, "item_id", None, None).dropDuplicates(["item_id", "pos", "hash"]).persist()
     try:
         sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
         if not sizes:
@@ -174,7 +187,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
         known = docs.sparkSession.sparkContext.broadcast(KeyBitmap.of(items, "hash"))
     finally:
         items.unpersist()
-    found = _table(docs, "doc_id", "text", sizes, known).select("doc_id", F.col("pos").alias("at"), "hash", F.col("vals").alias("here"))
+    found = _table(docs, "doc_id", sizes, known).select("doc_id", F.col("pos").alias("at"), "hash", F.col("vals").alias("here"))
     joined = found.join(items.select("item_id", "pos", "hash", "vals", "n"), "hash")
     # of an item with one window many times over, a document's window meets each of its places: once per alignment
     pairs = F.zip_with("vals", "here", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
