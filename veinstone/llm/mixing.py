@@ -47,8 +47,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), bud
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0, seed: int = 20240229) -> DataFrame:
     """docs with size, source_size, target, rate and copies added (columns of these names are replaced).
 
-    rate is target over source_size; a row is taken floor(rate) times, and once more if its hash of
-    (seed, doc_id) in [0, 1) is below the rest of the rate. Reruns agree. An empty source has rate
+    rate is target over source_size; a row is taken floor(rate) times, and once more if its SHA-256 of
+    seed:doc_id, as a number in [0, 1), is below the rest of the rate. Reruns agree. An empty source has rate
     0. A null source is a source of its own. Repeated rows of one doc_id are taken alike.
     """
     drop = [c for c in ("size", "source_size", "target", "rate", "copies") if c in docs.columns]
@@ -59,6 +59,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float
     side = F.broadcast(targets) if few else targets
     out = sized.join(side, F.col("source").eqNullSafe(F.col("source_of")), "left").drop("source_of")
     out = out.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), F.col("doc_id")), 11) / F.lit(float(1 << 53))
+    digits = F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")), 256), 1, 13)
+    unit = F.conv(digits, 16, 10).cast("double") / float(16**13)
     whole = F.floor("rate")
     return out.withColumn("copies", (whole + (unit < F.col("rate") - whole).cast("long")).cast("long"))

@@ -76,6 +76,18 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 ORACLES = {
+    "op2_mixing": r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+o AS (SELECT *, 2.0::DOUBLE * source_size AS most, row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST) AS r FROM s),
+l AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  sum(w) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavy FROM o),
+e AS (SELECT coalesce(min(r) FILTER (rest * w / heavy <= most), 1000000000) AS first FROM l),
+t AS (SELECT source, source_size, CASE WHEN r < first THEN most ELSE least((SELECT rest / heavy FROM l WHERE r = (SELECT first FROM e)) * w, most) END AS target FROM l, e),
+c AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+  ('0x' || substr(sha256('20240229:' || d.doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS copies,
+  (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS taken FROM c""",
     "op6_exact_dedup": r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
