@@ -136,18 +136,38 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64, copy=False).view(np.int64))
 
 
+def parity_sketches(h: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each set, whether an even or odd number of its hashes falls on each of 64 places or more, about as many as it
+    has hashes. Two sketches differ in at most as many places as the sets in elements."""
+    bits = np.maximum(6, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(1 << bits)])
+    place = begin[owner] + (h & ((U64(1) << bits[owner].astype(U64)) - U64(1))).astype(np.int64)
+    odd = (np.bincount(place, minlength=int(begin[-1])) & 1).astype(np.uint8)
+    packed = np.packbits(odd, bitorder="little")
+    return [packed[a >> 3 : b >> 3].tobytes() for a, b in zip(begin[:-1], begin[1:])]
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """In how many places two sketches differ, the longer one folded."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(z.reshape(-1, n), axis=0) for z in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles), cls (hash of the set, null if it is empty), for every row."""
+    """doc_id, n (shingles), cls (hash of the set, null if it is empty), sketch, for every row."""
 
     def run(batches):
         for batch in batches:
-            n, c = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
-            for _, _, _, _, sizes, cls in _sets(batch.column(1).to_pylist()):
+            n, c, k = [np.zeros(0, np.int64)], [np.zeros(0, U64)], []
+            for _, _, h, owner, sizes, cls in _sets(batch.column(1).to_pylist()):
                 n.append(sizes)
                 c.append(cls)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n).astype(np.int64)), _long(np.concatenate(c))], ["doc_id", "n", "cls"])
+                k += parity_sketches(h, owner, sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n).astype(np.int64)), _long(np.concatenate(c)), pa.array(k, pa.binary())], ["doc_id", "n", "cls", "sketch"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cls long")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cls long, sketch binary")
     return out.withColumn("cls", F.when(F.col("n") > 0, F.col("cls")))
 
 
@@ -272,6 +292,21 @@ def _elements(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return held.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
+def possible(pairs: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Pairs (a, b) of keys as pairs of documents, without those whose sizes or sketches rule them out. known(key, rep, n, sketch)."""
+    side = lambda x: known.select(F.col(key).alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    fit = F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM
+
+    def run(batches):
+        for batch in batches:
+            n = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (DEN - NUM) // (DEN + NUM)
+            near = [_apart(x, y) <= k for x, y, k in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    full = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where(fit).where("rep_a <> rep_b")
+    return full.select("rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) of doc_ids, those whose texts' sets are similar. Only the sets of documents in pairs are shuffled."""
     held = written(_elements(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
@@ -317,38 +352,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     told = written(classes(slim))
-    reps = written(told.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
+    reps = written(told.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     found = signature_rows(slim.where("doc_id is not null")).repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(_matches, "a long, b long, sig long, spare int")
     found = written(found)
 
-    def named(pairs: DataFrame) -> DataFrame:
-        """Pairs of classes as pairs of representatives, without those whose sizes alone rule them out."""
-        one, two = reps.toDF("a", "rep_a", "n_a"), reps.toDF("b", "rep_b", "n_b")
-        fit = F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM
-        return pairs.select("a", "b").distinct().join(one, "a").join(two, "b").where(fit).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-
     # sets that share too many signatures with crowds to leave those out
     members = found.where("sig is not null").select("sig", F.col("a").alias("cls"), F.col("sig").bitwiseAND(127).cast("int").alias("band"), "spare").distinct()
     heavy = members.groupBy("cls", "band").agg(F.count(F.lit(1)).alias("n"), F.min("spare").alias("spare")).where("n > spare").select("cls").distinct()
-    heavy = written(heavy.join(reps, "cls").select(F.col("rep").alias("doc_id"), "n"))
+    heavy = written(heavy.join(reps, "cls").select(F.col("rep").alias("doc_id"), "rep", "n", "sketch"))
     rare = rare_prefixes(slim, heavy.select("doc_id")).repartition("sig").sortWithinPartitions("sig", "cls")
     more = written(rare.mapInArrow(lambda batches: _matches(batches, chain=True), "a long, b long, sig long, spare int"))
-    fit = F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM
-    again = more.where("b is not null").select("a", "b").distinct().join(heavy.toDF("a", "n_a"), "a").join(heavy.toDF("b", "n_b"), "b").where(fit).select("a", "b")
-    links = written(verified(written(named(found.where("b is not null")).union(again).distinct()), slim))
+    again = possible(more.where("b is not null"), heavy, "doc_id")
+    links = written(verified(written(possible(found.where("b is not null"), reps, "cls").union(again).distinct()), slim))
     part = written(components(links))
     # rare shingles that a crowd shares which is not yet one component: its pairs across components, as far as their
     # places leave it possible: similar sets share at least `both` shingles, so one is among each's rarest n - both + 1
-    crowds = more.where("sig is not null").select("sig", F.col("a").alias("rep"), F.col("spare").alias("place")).distinct().join(heavy.toDF("rep", "n"), "rep")
+    crowds = more.where("sig is not null").select("sig", F.col("a").alias("rep"), F.col("spare").alias("place")).distinct().join(heavy.select("rep", "n"), "rep")
     crowds = written(crowds.join(part, F.col("rep") == F.col("node"), "left").select("sig", "rep", "n", "place", F.coalesce("component", "rep").alias("part")))
     split = crowds.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("sig")
     open_ = crowds.join(split, "sig", "left_semi")
     left, right = open_.toDF("sig", "a", "n_a", "place_a", "part_a"), open_.toDF("sig", "b", "n_b", "place_b", "part_b")
+    fit = F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM
     both = F.ceil((F.col("n_a") + F.col("n_b")) * NUM / (NUM + DEN))
     early = (F.col("place_a") <= F.col("n_a") - both + 1) & (F.col("place_b") <= F.col("n_b") - both + 1)
-    rest = written(left.join(right, (left["sig"] == right["sig"]) & fit & early & (F.col("part_a") < F.col("part_b"))).select("a", "b").distinct())
+    rest = written(left.join(right, (left["sig"] == right["sig"]) & fit & early & (F.col("part_a") < F.col("part_b"))).select("a", "b"))
+    rest = written(possible(rest, heavy, "doc_id").distinct())
     if not rest.isEmpty():
         part = written(components(links.union(verified(rest, slim))))
-    named_cls = reps.join(part, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component"))
-    out = told.join(named_cls, "cls", "left")
+    named_cls = reps.select("cls", "rep").join(part, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component"))
+    out = told.select("doc_id", "n", "cls").join(named_cls, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
