@@ -125,7 +125,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, discount: float = 0.4, block
             has, context = g[n] != 0, np.concatenate([[0.0], seen[n - 1][:-1]])
             hit = has & (seen[n] > 0) & (context > 0)
             value = np.where(hit, np.log(np.maximum(seen[n], 1)) - np.log(np.maximum(context, 1)), np.where(has, value + np.log(discount), value))
-        down = (g[order - 1] != 0) & ~(seen[order - 1] > 0) if order > 1 else np.zeros(len(owner), bool)
+        down = (g[order - 1] != 0) & ~(seen[order - 1] > 0)
         log = np.bincount(owner, weights=value, minlength=rows)
         return pd.DataFrame({"doc_id": mine["doc_id"], "n_words": size, "log_score": log, "mean_log_score": [x / n if n else None for x, n in zip(log, size)], "n_backed_off": np.bincount(owner[down], minlength=rows)})
 

@@ -129,7 +129,7 @@ def windows(templates: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.nd
         h = h + templates[k : k + m] * _ROLL[k]
     held = np.concatenate([[0], np.cumsum(~slot)])
     owner = np.repeat(np.arange(len(counts)), counts)
-    ok = (held[size:] - held[:m] >= min(PLAIN, size)) & (owner[:m] == owner[size - 1 :])
+    ok = (held[size:] - held[:m] >= PLAIN) & (owner[:m] == owner[size - 1 :])
     return mix(h)[ok], np.flatnonzero(ok)
 
 
@@ -139,7 +139,7 @@ def _found(ids: list[int], texts: list[bytes], sizes: list[int] | None, known: K
     templates, values, counts = canonical(texts)
     begin = np.cumsum(counts) - counts
     owner = np.repeat(np.arange(len(counts)), counts)
-    for size in range(1, WINDOW + 1) if sizes is None else sizes:
+    for size in range(PLAIN, WINDOW + 1) if sizes is None else sizes:
         h, at = windows(templates, counts, size)
         if sizes is None:
             mine = np.minimum(counts, WINDOW)[owner[at]] == size
