@@ -21,9 +21,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
 
 
+#: A list of dropped documents of at most so many ids (8 MB) is sent to all executors; a longer one is joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs but those whose doc_id is in ids; rows without doc_id stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("gone")).distinct(), F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = written(ids.select(F.col("doc_id").alias("gone")).distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, F.col("doc_id") == F.col("gone"), "left_anti")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
