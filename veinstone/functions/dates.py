@@ -10,9 +10,9 @@ def iso_or_null(text: Column) -> Column:
     """An ISO date and time with offset, years 1970 to 9999; an impossible offset becomes +00:00, anything else null."""
     body = F.regexp_extract(text, r"^([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2})(Z|[+-][0-9]{2}:[0-9]{2})$", 1)
     zone = F.regexp_extract(text, r"(Z|[+-][0-9]{2}:[0-9]{2})$", 1)
-    hours, minutes = zone.substr(2, 2).cast("int"), zone.substr(5, 2).cast("int")
+    hours, minutes = zone.substr(2, 2).try_cast("int"), zone.substr(5, 2).try_cast("int")
     good = (zone == "Z") | ((hours <= 14) & (minutes < 60))
-    year = body.substr(1, 4).cast("int")
+    year = body.substr(1, 4).try_cast("int")
     ok = (body != "") & F.try_to_timestamp(body, F.lit("yyyy-MM-dd'T'HH:mm:ss")).isNotNull()
     return F.when(ok & year.between(1970, 9999), F.concat(body, F.when(good, zone).otherwise("+00:00")))
 
