@@ -288,6 +288,31 @@ def test_slots_must_stay_consistent(spark):
     assert {(r["doc_id"], r["reworded"]) for r in templates.contaminated(d, bench).collect()} == {(1, True), (3, False)}
 
 
+def test_leaks_with_more_or_fewer_words(spark):
+    long = "the old miller of our valley keeps three grey horses and walks them each morning over the narrow bridge to drink from cold clear water"
+    half = " ".join(f"plain{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(100))
+    short = "every cook in this kitchen must learn how to bake bread from coarse flour"
+    slots = "when Anna walks to the market she always buys 5 loaves of fresh bread"
+    few = "Anna 5 and Maria 6 or Paul 7 yet John 8"
+    bench = spark.createDataFrame([(1, long), (2, half), (3, short), (4, slots), (5, few), (6, "ten 12")], "item_id long, text string")
+    put = lambda text, k: " ".join([*text.split()[:k], "really", *text.split()[k:]])
+    words = half.split()
+    rows = [(100 + k, put(long, k)) for k in range(8, 18)] + [(300 + k, put(short, k)) for k in range(3, 12)]
+    rows += [(200, "before it " + " ".join(words[30:52]) + " behind it"), (201, " ".join(words[30:40]) + " behind it")]
+    rows += [(400, slots.replace("Anna", "Anna Maria").replace("5", "1 000")), (500, "so: " + few + " indeed"), (501, few.replace("8", "9")), (600, "Ten 12."), (601, "ten 12 more")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["reworded"] for r in templates.contaminated(d, bench).collect()}
+    want = {(i, i // 100): i == 400 for i, _ in rows if i not in (201, 501, 601)}
+    assert got == want
+
+
+def test_a_slot_beside_the_item_does_not_hide_it(spark):
+    item = "5 apples lie in the old basket by the door and another 5 hang on the tree"
+    d = spark.createDataFrame([(1, "In the year 1999 " + item), (2, "so: " + item)], "doc_id long, text string")
+    got = templates.contaminated(d, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 1), (2, 1)}
+
+
 def test_leaks_like_a_plain_search(spark):
     d, b = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     flat = lambda t: " ".join(brute.words(t))

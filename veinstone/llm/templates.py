@@ -2,7 +2,8 @@
 
 Words lose their punctuation and case; windows of the words and slots are hash-joined with the
 benchmark's; where they line up, a benchmark's slot value must always stand for the same value of
-the document. So a question is found again with other numbers or names in it.
+the document. So a question is found again with other numbers or names in it, also where a value has
+more or fewer words than before, or a word was put in or left out.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from veinstone.llm.hashing import PIECE, U64, grouped, mix, word_hashes
 WINDOW = 8
 #: A window must have so many plain words.
 PLAIN = 4
+#: So many consecutive windows of an item at one alignment (20 words) tell by themselves, however long the item is.
+RUN = 13
 #: Units (fixed values).
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles g kg mg gram grams kilogram kilograms pound pounds ounce ounces ton tons "
@@ -32,6 +35,8 @@ NAMES = (
     "nina oliver paul peter robert sam sarah sophie susan thomas tim tom william"
 ).split()
 _NUMBER, _NAME, _UNIT = (U64(x) for x in (0xA5A5A5A5A5A5A5A1, 0xA5A5A5A5A5A5A5A2, 0xA5A5A5A5A5A5A5A3))
+#: Sets the value of a slot at an item's edge apart: in a document, a slot next to the item may have run into it.
+_EDGE = 0x2545F4914F6CDD1D
 _RNG = np.random.default_rng(77)
 _ROLL = _RNG.integers(1, 2**63, WINDOW, dtype=np.int64).astype(U64) | U64(1)
 _UNIT_HASHES = np.sort(np.concatenate([word_hashes(w.encode()) for w in UNITS]))
@@ -49,6 +54,7 @@ _STOP[[33, 46, 58, 63]] = True
 def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template hashes, value hashes, words of each text), pieces of punctuation alone left out.
 
+    A run of slots of one kind (Anna Maria, 1 000) is one word, whose value is that of the whole run.
     Both hashes are the same for plain words. A word that begins with a digit is a number. A
     capitalised, not all-capital word is a name if no sentence begins with it, or it is a known first name."""
     templates, values, counts = [], [], []
@@ -73,7 +79,25 @@ def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts.append(np.bincount(np.searchsorted(begins, starts, side="right") - 1, minlength=j - i))
     if not counts:
         return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64)
-    return np.concatenate(templates), np.concatenate(values), np.concatenate(counts)
+    return _collapsed(np.concatenate(templates), np.concatenate(values), np.concatenate(counts))
+
+
+def _is_slot(templates: np.ndarray) -> np.ndarray:
+    return (templates == _NUMBER) | (templates == _NAME) | (templates == _UNIT)
+
+
+def _collapsed(templates: np.ndarray, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each run of slots of one kind within a text becomes one word."""
+    if not len(templates):
+        return templates, values, counts
+    owner = np.repeat(np.arange(len(counts)), counts)
+    first = np.ones(len(templates), bool)
+    first[1:] = ~((templates[1:] == templates[:-1]) & _is_slot(templates[1:]) & (owner[1:] == owner[:-1]))
+    at = np.flatnonzero(first)
+    length = np.diff(np.append(at, len(templates)))
+    place = np.arange(len(templates)) - np.repeat(at, length)
+    whole = np.add.reduceat(mix(values + place.astype(U64) * _ROLL[0]), at)
+    return templates[at], np.where(length > 1, whole, values[at]), np.bincount(owner[at], minlength=len(counts))
 
 
 def _piece(data: bytes, fresh: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
@@ -118,45 +142,73 @@ def _piece(data: bytes, fresh: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return templates, values, starts[has], bool(ends_sentence[-1])
 
 
-def windows(templates: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(templates: np.ndarray, counts: np.ndarray, size: int, plain: int = PLAIN) -> tuple[np.ndarray, np.ndarray]:
     """(hash, index of the first word) of the windows of `size` words within a text with enough plain ones."""
     m = len(templates) - size + 1
     if m <= 0:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    slot = (templates == _NUMBER) | (templates == _NAME) | (templates == _UNIT)
     h = np.full(m, U64(size))
     for k in range(size):
         h = h + templates[k : k + m] * _ROLL[k]
-    held = np.concatenate([[0], np.cumsum(~slot)])
+    held = np.concatenate([[0], np.cumsum(~_is_slot(templates))])
     owner = np.repeat(np.arange(len(counts)), counts)
-    ok = (held[size:] - held[:m] >= PLAIN) & (owner[:m] == owner[size - 1 :])
+    ok = (held[size:] - held[:m] >= plain) & (owner[:m] == owner[size - 1 :])
     return mix(h)[ok], np.flatnonzero(ok)
 
 
+def _verbatim(values: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of the first word) of windows of values. Shorter ones than WINDOW must be the whole text."""
+    h, at = windows(values, counts, size, 0)
+    if size < WINDOW:
+        whole = np.repeat(counts, counts)[at] == size
+        h, at = h[whole], at[whole]
+    return mix(h ^ _NAME), at
+
+
+def _sizes(words: np.ndarray) -> np.ndarray:
+    """The size of the smaller windows of items of so many words, 0 for none. An extra word spoils size - 1 windows of an item:
+    with fewer than 3 * WINDOW - 3 words too few would be left, with smaller windows half of them are."""
+    return np.where((words >= 12) & (words < 3 * WINDOW - 3), words // 3 + 1, 0)
+
+
 def _found(ids: list[int], texts: list[bytes], sizes: list[int] | None, known: KeyBitmap | None) -> Iterator[tuple]:
-    """(id, pos, hash, values of slots, windows of the text, size) of the windows that known may hold. sizes None: the texts
-    are benchmark items, with windows as long as the text where that is short."""
+    """(id, pos, hash, values of slots, windows of the text, rank among them, size) of the windows that known may hold. sizes
+    None: the texts are benchmark items, with windows as long as the text where that is short, smaller ones too
+    where it is middling, and, without a usable window, windows of values, whose size is given as negative."""
     templates, values, counts = canonical(texts)
     begin = np.cumsum(counts) - counts
     owner = np.repeat(np.arange(len(counts)), counts)
-    for size in range(PLAIN, WINDOW + 1) if sizes is None else sizes:
-        h, at = windows(templates, counts, size)
+    usable = np.zeros(len(counts), bool)
+    shown = values
+    if sizes is None:
+        edge = np.concatenate([begin[counts > 0], (begin + counts - 1)[counts > 0]])
+        shown = values.copy()
+        shown[edge] = values[edge] ^ U64(_EDGE)
+    for size in [*range(PLAIN, WINDOW + 1), *range(-WINDOW, 0)] if sizes is None else sizes:
+        h, at = windows(templates, counts, size) if size > 0 else _verbatim(values, counts, -size)
         if sizes is None:
-            mine = np.minimum(counts, WINDOW)[owner[at]] == size
+            mine = np.minimum(counts, WINDOW) == abs(size)
+            if size > 0:
+                mine |= _sizes(counts) == size
+            else:
+                mine &= ~usable
+            mine = mine[owner[at]]
             h, at = h[mine], at[mine]
+            usable[owner[at]] |= size > 0
         n = np.bincount(owner[at], minlength=len(counts)) if len(at) else counts
+        rank = np.arange(len(at)) - (np.cumsum(n) - n)[owner[at]] if len(at) else at
         if known is not None:
             hit = known.holds(h.view(np.int64))
-            h, at = h[hit], at[hit]
-        for x, p in zip(h.view(np.int64).tolist(), at.tolist()):
-            t, v = templates[p : p + size], values[p : p + size]
+            h, at, rank = h[hit], at[hit], rank[hit]
+        for x, p, r in zip(h.view(np.int64).tolist(), at.tolist(), rank.tolist()):
+            t, v = templates[p : p + abs(size)], values[p : p + abs(size)]
             who = owner[p]
-            yield ids[who], p - int(begin[who]), x, v[t != v].view(np.int64).tolist(), int(n[who]), size
+            yield ids[who], p - int(begin[who]), x, shown[p : p + abs(size)][t != v].view(np.int64).tolist(), int(n[who]), r, size
 
 
 def _table(frame: DataFrame, id_: str, sizes: list[int] | None, known) -> DataFrame:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32()]
-    names = [id_, "pos", "hash", "vals", "n", "size"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32()]
+    names = [id_, "pos", "hash", "vals", "n", "rank", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,16 +219,17 @@ def _table(frame: DataFrame, id_: str, sizes: list[int] | None, known) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     slim = frame.select(F.col(id_).cast("long").alias(id_), "text").where(f"{id_} is not null and text is not null")
-    return slim.mapInArrow(run, f"{id_} long, pos long, hash long, vals array<long>, n long, size int")
+    return slim.mapInArrow(run, f"{id_} long, pos long, hash long, vals array<long>, n long, rank long, size int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage, reworded) for each document that holds a benchmark item.
 
-    docs(doc_id, text), benchmark(item_id, text). An item is held if at one alignment at least the
-    share `least` of its windows match and each slot value of the item always meets the same value. reworded: some slot
-    value differs. Items without a usable window, rows without id or text, and empty tables give no
-    rows; repeated rows of one id count as one. Only document windows that pass a bitmap (at most 16 MB, whatever the
+    docs(doc_id, text), benchmark(item_id, text). An alignment counts if in it each slot value of the item always meets
+    the same value. An item is held if at least the share `least` of its windows match, over all alignments that
+    count, or RUN consecutive ones at one of them. reworded: some matched window is in no alignment without a differing
+    slot value. Items without a usable window are held word for word: from WINDOW words on anywhere in the document, shorter ones
+    if they are all of it. Rows without id or text, and empty tables give no rows; repeated rows of one id count as one. Only document windows that pass a bitmap (at most 16 MB, whatever the
     benchmark's size) of the benchmark's hashes are shuffled.
     """
     items = _table(benchmark, "item_id", None, None).dropDuplicates(["item_id", "pos", "hash"]).persist()
@@ -188,13 +241,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
     finally:
         items.unpersist()
     found = _table(docs, "doc_id", sizes, known).select("doc_id", F.col("pos").alias("at"), "hash", F.col("vals").alias("here"))
-    joined = found.join(items.select("item_id", "pos", "hash", "vals", "n"), "hash")
+    joined = found.join(items.select("item_id", "pos", "hash", "vals", "n", "rank", "size"), "hash")
     # of an item with one window many times over, a document's window meets each of its places: once per alignment
     pairs = F.zip_with("vals", "here", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    held = joined.groupBy("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("shift")).agg(
-        F.countDistinct("pos").alias("matched"), F.max("n").alias("windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
+    aligned = joined.groupBy("doc_id", "item_id", "size", (F.col("at") - F.col("pos")).alias("shift")).agg(
+        F.array_sort(F.collect_set("rank")).alias("ranks"), F.max("n").alias("windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )
     steady = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
-    held = held.withColumn("coverage", F.col("matched") / F.col("windows")).where(steady & (F.col("coverage") >= least))
-    best = held.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "matched", "windows", F.exists("pairs", lambda p: p["a"] != p["b"]).alias("reworded"))).alias("b"))
+    whole = (F.col("size") > 0) | (F.size("ranks") == F.col("windows"))
+    in_a_row = F.exists(F.transform("ranks", lambda r, i: F.get("ranks", i + (RUN - 1)) - r == RUN - 1), lambda b: F.coalesce(b, F.lit(False)))
+    aligned = aligned.where(steady & whole).select(
+        "doc_id", "item_id", "size", "windows", (in_a_row & (F.col("size") == WINDOW)).alias("run"),
+        F.exists("pairs", lambda p: (p["a"] != p["b"]) & (p["a"].bitwiseXOR(F.lit(_EDGE)) != p["b"])).alias("differs"), F.explode("ranks").alias("rank"),
+    )
+    # each window once, whatever the number of alignments it matches in
+    once = aligned.groupBy("doc_id", "item_id", "size", "rank").agg(F.max("windows").alias("windows"), F.max("run").alias("run"), F.min("differs").alias("differs"))
+    held = once.groupBy("doc_id", "item_id", "size").agg(F.count(F.lit(1)).alias("matched"), F.max("windows").alias("windows"), F.max("run").alias("run"), F.max("differs").alias("reworded"))
+    held = held.withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("run") | (F.col("coverage") >= least))
+    best = held.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "matched", "windows", "reworded")).alias("b"))
     return best.select("doc_id", "item_id", "b.matched", "b.windows", "b.coverage", "b.reworded")
