@@ -266,6 +266,24 @@ def test_model_adds_spans_and_redacts(spark):
     assert spark.range(1).select(pii.redacted(F.lit("é\U0001f600abc"), spans)).first()[0] == "é\U0001f600[ip]c"
 
 
+def test_model_finds_planted_obfuscated_spans(spark):
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, planted = [], {}
+    for i in range(1200):
+        noise = f" Order {digits(5)} of 20{digits(2)}-0{digits(1)}-1{digits(1)} came, we met at {name()}.com."
+        rows.append((i, f"Write a mail to {name()}@{name()}.com soon." + noise if i % 2 else f"Please call +1 ({digits(3)}) {digits(3)}-{digits(4)} now." + noise))
+    for i in range(1200, 1240):
+        kind, head, span = ("email", "Write a mail to ", f"{name()} (at) {name()} (dot) com") if i % 2 else ("phone", "Please call ", f"({digits(3)}) {digits(3)}-{digits(4)}")
+        planted[i] = f"{kind}:{len(head)}:{len(head + span)}"
+        rows.append((i, f"{head}{span} now, in {digits(5)} days"))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.personal_spans(d, pii.fit(d)).collect()}
+    assert {i: out[i]["spans"] for i in planted} == planted
+    assert all(out[i]["n_added"] == (i in planted) for i in out)
+
+
 def test_templates(spark):
     bench = spark.createDataFrame([(1, "Yesterday Alice bought 12 apples and 30 pears at the market near the old river for 5 dollars"), (2, "short one here"), (3, None), (4, "")], "item_id long, text string")
     rows = [
