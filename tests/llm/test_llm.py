@@ -53,6 +53,14 @@ def test_backoff(docs, odd, none, order):
     assert backoff.backoff_scores(none).count() == 0
 
 
+def test_registered_backoff_uses_trigrams(spark, docs):
+    want = brute.backoff(pairs(docs), 3)
+    got = {r["doc_id"]: r for r in Q.op1_backoff_scores(spark, DATA).collect()}
+    assert set(got) == set(want)
+    for i, (n, s, down) in want.items():
+        assert (got[i]["n_words"], got[i]["n_backed_off"]) == (n, down) and math.isclose(got[i]["log_score"], s, rel_tol=1e-9, abs_tol=1e-6)
+
+
 def test_mixing(docs, odd, none):
     for df in (docs, odd):
         got = mixing.mixed(df).select("doc_id", "source", "size", "source_size", "target", "copies", "text").collect()

@@ -53,14 +53,24 @@ def _words(texts) -> tuple[np.ndarray, np.ndarray]:
     return words, np.repeat(np.arange(len(counts)), counts)
 
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lower `width` bytes of each number, all lowest bytes first, so that the zeros of small numbers compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplanes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
 def _pack(x: np.ndarray) -> bytes:
-    """The upper seven bytes of each number; the lowest byte only marks presence."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:].tobytes()
+    """The steps between the upper seven bytes of sorted numbers; the lowest byte only marks presence."""
+    return _planes(np.diff(x >> U64(8), prepend=U64(0)), 7)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    rows = np.frombuffer(data, np.uint8).reshape(-1, 7)
-    return np.ascontiguousarray(np.concatenate([np.zeros((len(rows), 1), np.uint8), rows], 1)).view("<u8").ravel()
+    return np.cumsum(_unplanes(data, 7), dtype=U64) << U64(8)
 
 
 def backoff_scores(docs: DataFrame, order: int = 2, discount: float = 0.4, block_bytes: int = 8 << 20, shard_words: int = 2_000_000) -> DataFrame:
@@ -96,21 +106,21 @@ def backoff_scores(docs: DataFrame, order: int = 2, discount: float = 0.4, block
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
         _, _, keys, n = told(pdf)
         edges = np.searchsorted(keys >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
-        rows = [(s, int(pdf["block"].iloc[0]), _pack(keys[a:b]), n[a:b].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+        rows = [(s, int(pdf["block"].iloc[0]), _pack(keys[a:b]), _planes(n[a:b], 4)) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
         return pd.DataFrame(rows, columns=["shard", "block", "keys", "counts"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [_unpack(k) for k in pdf["keys"]]
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in pdf["counts"]])
+        counts = np.concatenate([_unplanes(c, 4) for c in pdf["counts"]])
         _, back = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(back, weights=counts).astype(np.uint64)[back].astype(np.uint64)
+        sums = np.bincount(back, weights=counts).astype(np.uint64)[back] - counts  # in other blocks
         ends = np.cumsum([len(k) for k in keys])
-        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "sums": [sums[e - len(k) : e].astype("<u8").tobytes() for e, k in zip(ends, keys)]})
+        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "sums": [_planes(sums[e - len(k) : e], 8) for e, k in zip(ends, keys)]})
 
     def score(mine: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        g, owner, keys, _ = told(mine)
+        g, owner, keys, n_here = told(mine)
         back = back.sort_values("shard")
-        sums = np.concatenate([np.frombuffer(b, "<u8") for b in back["sums"]]).astype(float) if len(back) else np.zeros(0)
+        sums = np.concatenate([_unplanes(b, 8) for b in back["sums"]]).astype(float) + n_here if len(back) else np.zeros(0)
         rows = len(mine)
         size = np.bincount(owner, minlength=rows)
         elsewhere = everything - size[owner]

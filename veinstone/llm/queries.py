@@ -17,7 +17,7 @@ def token_file() -> str:
 
 
 def op1_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.backoff_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return backoff.backoff_scores(table(spark, sf_dir, "documents", "doc_id", "text"), order=3)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
