@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 from compare import DATA, assert_same
 
@@ -25,3 +30,17 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["a", "b", "n_shared"]
     assert set(ORACLES) <= set(QUERIES) <= set(e.queries())
+
+
+def test_entry_without_the_llm_folders(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for keep_pipeline in (True, False):
+        copy = tmp_path / str(keep_pipeline)
+        gone = shutil.ignore_patterns("llm", ".git", "__pycache__", *([] if keep_pipeline else ["corpus_pipeline.py"]))
+        shutil.copytree(root, copy, ignore=gone)
+        code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and not any(k.startswith('op') for k in q); print(len(q))"
+        env = {**os.environ, "PYTHONPATH": str(copy)}
+        out = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True)
+        assert out.returncode == 0 and int(out.stdout) == len(QUERIES), out.stderr
+        out = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider"], cwd=copy, env=env, capture_output=True, text=True)
+        assert out.returncode == 0, out.stdout
