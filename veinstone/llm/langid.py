@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veinstone.llm.samples import sampled
+
 SEGMENT = 128
 #: Segments that run side by side.
 SIDE = 2048
@@ -185,20 +187,18 @@ class ByteGru:
 def fit(docs: DataFrame, max_docs: int = 6_000, windows: int = 4, length: int = 64, **training) -> ByteGru | None:
     """A network from docs(doc_id, text, lang): rows not held out, with lang and at least one letter.
 
-    At most about max_docs documents, equally many of each language, are sampled by hash, and of each
-    some windows of text at hashed places. None if no row can be learned from.
+    At most max_docs documents, equally many of each language and at least one, are sampled by hash, and of each some windows of
+    text at hashed places. Rows of one doc_id, text and lang count once; rows without doc_id are not learned from. None if no row can be learned from. The languages are few: their list
+    is the network's, and so the driver's.
     """
     usable = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    labels = sorted(r["lang"] for r in usable.select("lang").distinct().collect())
+    if not labels:
         return None
-    each = max_docs / len(counts)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, each / n) * 1_000_000)))])
-    picked = usable.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    picked = sampled(usable, max(1, max_docs // len(labels)), ["doc_id", "text", "lang"], F.col("lang"), seed=3)
     place = F.pmod(F.xxhash64(F.lit(4), "doc_id", "k"), F.greatest(F.length("text") - length, F.lit(0)) + 1) + 1
     cut = picked.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(windows)))).select("doc_id", "k", "lang", F.substring("text", place.cast("int"), F.lit(length)).alias("part"))
     rows = sorted((r["doc_id"], r["k"], r["lang"], r["part"]) for r in cut.where("length(part) > 0").collect())
-    labels = sorted(counts)
     net = ByteGru(labels)
     net.train([r[3].encode() for r in rows], np.array([labels.index(r[2]) for r in rows]), length=length, **training)
     return net
