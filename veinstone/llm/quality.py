@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veinstone.llm.langid import held_out
+from veinstone.llm.samples import sampled
 
 SYMBOLS = "#$%&*|~^<>{}[]@=_+\\/"
 FEATURES = ("symbols", "bangs", "bars", "upper", "digits", "stops", "commas", "breaks", "word_length", "size", "distinct", "repeats", "lines", "ends", "letters")
@@ -104,30 +105,49 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 8, steps
     return net
 
 
+def class_prior(pos: np.ndarray, unl: np.ndarray, least: float = 0.05) -> float:
+    """The share of positives among the unlabelled, from scores of held-out positives and unlabelled rows.
+
+    Best-bin estimate: above any score, the unlabelled hold at least the prior times what the positives hold, so the smallest
+    ratio over scores bounds the prior from above; both shares widened by how far they may be off by chance. Scores
+    above which fewer than `least` of the positives lie are not asked.
+    """
+    cuts = np.quantile(pos, np.linspace(0, 1 - least, 200))
+    p, u = ((x[:, None] >= cuts[None, :]).mean(0) for x in (pos, unl))
+    off = lambda x: np.sqrt(np.log(40) / (2 * len(x)))
+    ratio = u / p
+    best = int(np.argmin(ratio + ((1 + off(pos)) * off(unl) + off(pos)) / p))
+    return float(np.clip(ratio[best], 0.01, 0.99))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 15_000) -> Scorer | None:
     """Learns from docs(doc_id, text) and labels(doc_id, quality), of rows not held out.
 
     Trusted positives are documents labelled 1, the unlabelled are all without a label; of either at
-    most about max_rows, sampled by hash. The class prior is the share of 1 among all labels not
-    held out. None if there are no positives, or nothing is unlabelled.
+    most max_rows, sampled by hash of doc_id: a doc_id counts once, with the least hash of its texts, and rows without one are not
+    learned from. Labels of 0 are not used. The class prior is estimated from the scores that networks learned on either half of the
+    sample give the other half. None if there are no positives, or nothing is unlabelled.
     """
     told = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n = told.agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("quality") == 1).cast("int")).alias("good")).first()
-    if not n["good"]:
-        return None
-    prior = min(0.99, n["good"] / n["all"])
-    seen = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
-    total = seen.count()
-    place = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1_000_000))
-    most = max(1, total - n["all"])
-    wanted = F.when(F.col("quality") == 1, F.lit(int(min(1, max_rows / n["good"]) * 1_000_000))).when(F.col("quality").isNull(), F.lit(int(min(1, max_rows / most) * 1_000_000))).otherwise(0)
-    loose = max(min(1, max_rows / n["good"]), min(1, max_rows / most))  # before the join, of either sort
-    sample = with_features(seen.where(place < int(loose * 1_000_000))).drop("row").join(told, "doc_id", "left").where(place < wanted)
-    rows = sample.toPandas().sort_values("doc_id", kind="stable")
-    x, good = rows[[f"f_{f}" for f in FEATURES]].to_numpy(float), (rows["quality"] == 1).to_numpy()
+    ids = docs.select("doc_id").where(~held_out(F.col("doc_id"))).join(told, "doc_id", "left")
+    ids = ids.where("quality = 1 or quality is null").select("doc_id", F.coalesce("quality", F.lit(0)).alias("good"))
+    few = sampled(ids, max_rows, ["doc_id"], F.col("good"), seed=23)
+    # at most twice max_rows ids
+    mine = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    x = with_features(mine.withColumn("place", F.xxhash64("text"))).select("doc_id", "row.good", "row.place", *[f"f_{f}" for f in FEATURES])
+    x = x.groupBy("doc_id").agg(F.min(F.struct("place", "good", *[f"f_{f}" for f in FEATURES])).alias("m")).select("doc_id", "m.*")
+    rows = x.toPandas().sort_values("doc_id", kind="stable")
+    features, good = rows[[f"f_{f}" for f in FEATURES]].to_numpy(float), (rows["good"] == 1).to_numpy()
     if not good.any() or good.all():
         return None
-    return train(x[good], x[~good], prior)
+    pos, unl = features[good], features[~good]
+    if min(len(pos), len(unl)) < 20:
+        prior = 0.5
+    else:
+        # each half is scored by the network of the other
+        nets = [train(pos[k::2], unl[k::2], 0.5, steps=800) for k in (0, 1)]
+        prior = class_prior(*(np.concatenate([nets[1](x[::2]), nets[0](x[1::2])]) for x in (pos, unl)))
+    return train(pos, unl, prior)
 
 
 def scored(docs: DataFrame, scorer: Scorer | None, threshold: float = 0.3) -> DataFrame:
