@@ -9,6 +9,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veinstone.operators.lineage import written
+
 #: The item that marks a labelled-bad URL in a transaction; no token can hold a space.
 BAD = "is bad"
 #: Host and path prefix, with the verdict. A rule fits its host and all its subdomains.
@@ -48,37 +50,52 @@ def url_tokens(host_: Column, path_: Column) -> Column:
     )
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.0005, min_count: int = 10, min_confidence: float = 0.6, min_lift: float = 1.5, max_size: int = 4) -> DataFrame:
-    """(rule_id, tokens array, n_tokens, key string, support, confidence, lift) from labelled(tokens array, bad boolean).
+def _merged(labelled: DataFrame, min_count: int) -> DataFrame:
+    """(row, bad, token) of labelled(row, tokens, bad): tokens on at least min_count bad rows, one of those that occur on the same rows.
+
+    Words of a fixed path, say, always come together: sets of them say no more than one does, but would double the sets to mine
+    with each word. Equal rows are told by count and a sum of hashes; the first token by name stands for the others.
+    """
+    spread = labelled.select("row", "bad", F.explode("tokens").alias("token"))
+    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "row").cast("decimal(38,0)"))
+    told = spread.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("bad"), 1)).alias("worse"), mark(1).alias("x"), mark(2).alias("y"))
+    first = told.where(F.col("worse") >= min_count).groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token")
+    return spread.join(first, "token", "left_semi")
+
+
+def mine_rules(labelled: DataFrame, min_count: int = 10, min_confidence: float = 0.6, min_lift: float = 1.5) -> DataFrame:
+    """(rule_id, tokens array, n_tokens, key string, support, confidence, lift) from labelled(row, tokens array, bad boolean), row unique.
 
-    Token sets that occur with bad labels in at least min_support of all labelled URLs and in
-    min_count of them, of which at least min_confidence are bad, that many times more than by chance. A rule goes when a rule
-    on fewer of its tokens is at least as confident. key is the token by which the inverted index
-    finds the rule: its rarest one. Empty if nothing is labelled or nothing passes.
+    Token sets that occur on at least min_count bad URLs, of which at least min_confidence are bad, min_lift times more than
+    by chance. A rule goes when a rule on one of its tokens less is at least as confident; of tokens on the same labelled URLs only one is in rules. key is the token by which the
+    inverted index finds the rule: its rarest one. Empty if nothing is labelled or nothing passes.
     """
-    baskets = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    support = min(1.0, max(min_support, min_count / max(1, labelled.count())))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    sets = model.freqItemsets
+    n = labelled.count()
+    rows = written(_merged(labelled.where("bad is not null"), min_count))
+    baskets = rows.groupBy("row", "bad").agg(F.collect_list("token").alias("items"))
+    baskets = baskets.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
+    # rows without such a token count too, for how often a URL is bad by chance
+    bare = labelled.where("bad is not null").join(rows.select("row").distinct(), "row", "left_anti")
+    baskets = baskets.union(bare.select(F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.expr("cast(array() as array<string>)"))))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_count - 0.5) / max(1, n)), minConfidence=min_confidence).fit(baskets)
     rules = (
-        model.associationRules.where(F.array_contains("consequent", BAD))
-        .where((F.col("lift") >= min_lift) & (F.size("antecedent") <= max_size))
+        model.associationRules.where(F.array_contains("consequent", BAD)).where(F.col("lift") >= min_lift)
         .select(F.sort_array("antecedent").alias("tokens"), "support", "confidence", "lift")
     )
-    rules = rules.withColumn("rule_id", F.sha2(F.array_join("tokens", " "), 256)).withColumn("n_tokens", F.size("tokens"))
+    rules = written(rules.withColumn("rule_id", F.sha2(F.array_join("tokens", " "), 256)).withColumn("n_tokens", F.size("tokens")))
     # a rule against those on one token less, through the rule without each of its tokens in turn
     shorter = rules.select("rule_id", "confidence", F.explode("tokens").alias("out"), "tokens").where(F.size("tokens") > 1)
     shorter = shorter.withColumn("smaller", F.sha2(F.array_join(F.array_remove("tokens", F.col("out")), " "), 256))
     better = rules.select(F.col("rule_id").alias("smaller"), F.col("confidence").alias("has"))
     covered = shorter.join(better, "smaller").where("has >= confidence").select("rule_id").distinct()
     rules = rules.join(covered, "rule_id", "left_anti")
-    freq = sets.where((F.size("items") == 1) & (F.element_at("items", 1) != BAD)).select(F.element_at("items", 1).alias("token"), "freq")
+    freq = rows.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
     keys = rules.select("rule_id", F.explode("tokens").alias("token")).join(freq, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
     return rules.join(keys, "rule_id")
 
 
-def blocked_by(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(page_id, rule_confidence) of pages(page_id, tokens) on which some rule's tokens all occur.
+def blocked_by(pages: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rule_confidence) of pages(by, tokens), by unique, on which some rule's tokens all occur.
 
     The inverted index is the rules by key token; a page looks up each of its tokens and checks the
     rules found there. A page meets only rules whose rarest token it has, so a frequent token brings
@@ -86,9 +103,9 @@ def blocked_by(pages: DataFrame, rules: DataFrame) -> DataFrame:
     shuffle and splits hot tokens.
     """
     index = rules.select(F.col("key").alias("token"), F.col("tokens").alias("needed"), "confidence")
-    found = pages.select("page_id", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    found = pages.select(*by, "tokens", F.explode("tokens").alias("token")).join(index, "token")
     found = found.where(F.size(F.array_except("needed", "tokens")) == 0)
-    return found.groupBy("page_id").agg(F.max("confidence").alias("rule_confidence"))
+    return found.groupBy(*by).agg(F.max("confidence").alias("rule_confidence"))
 
 
 def policy_rule(host_: Column, path_: Column, policy=POLICY) -> tuple[Column, Column]:
@@ -103,17 +120,21 @@ def policy_rule(host_: Column, path_: Column, policy=POLICY) -> tuple[Column, Co
 
 
 def judged(pages: DataFrame, labels: DataFrame, policy=POLICY, **mining) -> DataFrame:
-    """page_id, host, path, rule, verdict, mined_confidence for every row of pages(page_id, url).
+    """page_id, host, path, rule, verdict, mined_confidence for every row of pages(page_id, url); other columns are ignored.
 
-    labels(page_id, bad boolean) are what rules are mined from; unlabelled pages take no part in
-    that. A policy rule decides first, then a mined rule blocks, else the page is allowed. Null or
-    odd urls have empty host and path. Repeated rows each give a row.
+    labels(page_id, bad boolean) are what rules are mined from, one vote for each pair of page_id and URL (bad if any label says so);
+    unlabelled pages and those without page_id take no part in that. A policy rule decides first, then a mined rule blocks, else the page is allowed.
+    Mined rules judge each distinct pair of host and path, so rows of one page_id with different URLs are judged apart, rows without page_id too. Null or
+    odd urls have empty host and path and no tokens. Repeated rows each give a row. URLs may be of any length: tokens that are rare among labelled URLs cost nothing.
     """
     urls = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    told = urls.withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
-    rules = mine_rules(told.join(labels.select("page_id", "bad"), "page_id").select("tokens", "bad"), **mining)
-    hits = blocked_by(told.select("page_id", "tokens").where(F.col("page_id").isNotNull()), rules)
+    votes = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
+    known = urls.join(votes, "page_id").select("page_id", "host", "path", "bad").distinct()
+    known = known.select(F.xxhash64("page_id", "host", "path").alias("row"), url_tokens(F.col("host"), F.col("path")).alias("tokens"), "bad")
+    rules = mine_rules(written(known), **mining)
+    told = urls.select("host", "path").distinct().withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
+    hits = blocked_by(told, rules, ["host", "path"])
     rule, verdict = policy_rule(F.col("host"), F.col("path"), policy)
-    out = urls.join(hits, "page_id", "left").withColumn("rule", rule).withColumn("said", verdict)
+    out = urls.join(hits, ["host", "path"], "left").withColumn("rule", rule).withColumn("said", verdict)
     mined = F.when(F.col("rule_confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", mined).alias("verdict"), F.col("rule_confidence").alias("mined_confidence"))
