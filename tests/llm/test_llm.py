@@ -9,7 +9,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from veinstone.llm import backoff, cuckoo, langid, mixing, partenum, pii, quality, templates, tokens, urls
+from veinstone.llm import backoff, cuckoo, langid, mixing, partenum, pii, quality, samples, templates, tokens, urls
 from veinstone.llm import queries as Q
 
 DATA = "/root/testdata/sf0.001"
@@ -83,6 +83,82 @@ def test_mixed_words_come_near_targets(spark):
     assert all(abs(r["taken"] / r["target"] - 1) < 0.06 for r in rows)
 
 
+def test_taken_words_come_near_targets_of_small_heavy_tailed_sources(spark):
+    rows = Q.op2_mixing(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source"), "doc_id")
+    rows = rows.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(rows) == 20 and all(abs(r["taken"] / r["target"] - 1) < 0.03 for r in rows)
+
+
+def test_mixing_draws_for_rows_without_doc_id(spark):
+    d = spark.createDataFrame([(None, f"w{i} " * 10, "a") for i in range(400)] + [(i, "x " * 10, "b") for i in range(100)] + [(7, None, None)], "doc_id long, text string, source string")
+    d = d.withColumns({c: F.lit("z") for c in ("below", "source_of", "rate", "draw")})
+    got = mixing.mixed(d).where("source = 'a'").select("copies").collect()
+    assert len(got) == 400 and len({r["copies"] for r in got}) == 2
+    assert mixing.mixed(d).count() == 501
+
+
+def test_samples_are_bounded_and_never_empty(spark):
+    d = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 29_990, "a").otherwise("b").alias("lang"))
+    got = samples.sampled(d, 40, ["doc_id", "text"], F.col("lang")).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("k")).collect()
+    assert {(r["lang"], r["n"], r["k"]) for r in got} >= {("a", 40, 40)} and all(r["n"] == r["k"] > 0 for r in got)
+    one = spark.range(5000).select(F.lit(1).alias("doc_id"), F.lit("t").alias("text"))
+    assert samples.sampled(one, 3, ["doc_id", "text"]).count() == 1
+    assert samples.sampled(one.limit(0), 3, ["doc_id"]).count() == 0
+    nulls = spark.createDataFrame([(None, "a"), (None, "b")], "doc_id long, text string")
+    assert samples.sampled(nulls, 5, ["doc_id", "text"]).count() == 2
+
+
+def mined(rows, min_count, min_confidence, min_lift):
+    """Token sets to confidence, by trying all sets of up to all tokens; rows of (tokens, bad)."""
+    from itertools import combinations
+
+    on = {}
+    for k, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            on.setdefault(t, set()).add(k)
+    first = {}
+    for t in sorted(on):
+        first.setdefault(frozenset(on[t]), t)
+    bad = {k for k, (_, b) in enumerate(rows) if b}
+    rules = {}
+    for n in range(1, len(first) + 1):
+        for some in combinations(sorted(first.values()), n):
+            held = set.intersection(*(on[t] for t in some))
+            if len(held & bad) >= min_count and len(held & bad) >= min_confidence * len(held) and len(held & bad) / len(held) >= min_lift * len(bad) / len(rows):
+                rules[some] = len(held & bad) / len(held)
+    return {s: c for s, c in rules.items() if not any(rules.get(s[:i] + s[i + 1 :], -1) >= c for i in range(len(s)))}
+
+
+def test_rules_like_a_plain_miner(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(300):
+        tokens = [t for t in "abcdefgh" if rng.random() < 0.45]
+        tokens += ["x", "y", "z"] if "a" in tokens else []
+        rows.append((tokens, rng.random() < (0.8 if {"a", "c"} <= set(tokens) else 0.6 if {"b", "d", "e"} <= set(tokens) else 0.2)))
+    d = spark.createDataFrame([(i, t, b) for i, (t, b) in enumerate(rows)], "row long, tokens array<string>, bad boolean")
+    got = {tuple(r["tokens"]): r["confidence"] for r in urls.mine_rules(d, 8, 0.4, 1.3).collect()}
+    want = mined(rows, 8, 0.4, 1.3)
+    assert len(want) > 5 and set(got) == set(want) and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_url_rules_judge_rows_not_ids(spark):
+    rows = [(i, f"http://{'spam' if i % 2 else 'good'}.xx/{'win' if i % 2 else 'news'}/{i}") for i in range(200)]
+    pages = spark.createDataFrame(rows + [(1, "http://good.xx/news/x"), (None, "http://spam.xx/win/9"), (None, None), (900, "http://spam.xx/" + "w/" * 200_000)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2 == 1) for i in range(100)] + [(1, True), (None, True)], "page_id long, bad boolean")
+    got = {(r["page_id"], r["path"][:8]): r["verdict"] for r in urls.judged(pages.withColumn("rule", F.lit(1)).withColumn("tokens", F.lit(2)), labels, policy=()).collect()}
+    assert got[1, "/news/x"] == "allow" and got[1, "/win/1"] == "block" and got[None, "/win/9"] == "block" and got[None, ""] == "allow"
+    assert got[900, "/w/w/w/w"] == "block"
+
+
+def test_long_fixed_paths_are_mined_quickly(spark):
+    words = "/".join("abcdefghijklmnopqrst")
+    pages = spark.createDataFrame([(i, f"http://site{i % 3}.net/{words}/{i}") for i in range(300)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 3 == 1) for i in range(150)], "page_id long, bad boolean")
+    out = urls.judged(pages, labels, policy=()).groupBy("host").agg(F.min("verdict"), F.max("verdict")).collect()
+    assert {tuple(r) for r in out} == {("site0.net", "allow", "allow"), ("site1.net", "block", "block"), ("site2.net", "allow", "allow")}
+
+
 def test_url_rules(spark):
     odd = [(1, None), (2, "no scheme"), (3, "HTTP://A.Example.COM/en/7x?q#f"), (4, "x://net/de/"), (5, "x://example.net/de/88"), (6, "a://org://es/"), (7, "x://b.org/es/?"), (8, "x://notcom/en/"), (9, "x://com/en"), (10, "://com/en/1")]
     rows = odd + [(r["page_id"] + 100, r["url"]) for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
@@ -161,6 +237,35 @@ def test_quality(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == quality.scored(odd, scorer).where("predicted = 1").count()
 
 
+def test_class_prior_is_the_share_of_positives():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for share in (0.2, 0.5, 0.9):
+        good, bad = rng.beta(5, 2, 4000), rng.beta(2, 6, 4000)
+        k = int(4000 * share)
+        assert abs(quality.class_prior(rng.beta(5, 2, 4000), np.concatenate([good[:k], bad[k:]])) - share) < 0.08
+
+
+def test_quality_of_repeated_and_odd_rows(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    # labels without documents, one document many times over, rows without doc_id
+    lab = lab.union(spark.range(10**6, 10**6 + 5000).select("id", F.lit(1)))
+    more = d.union(d.where("doc_id = 3").crossJoin(spark.range(500)).select("doc_id", "text")).union(spark.createDataFrame([(None, "x"), (None, None)], "doc_id long, text string"))
+    scorer = quality.fit(more, lab, max_rows=100)
+    out = quality.scored(more, scorer)
+    assert scorer is not None and out.count() == 1502 and out.where("score between 0 and 1").count() == 1502 and out.where("doc_id is null and not held_out").count() == 2
+
+
+def test_language_of_repeated_rows_and_rare_languages(spark):
+    d = spark.createDataFrame([(1, "aaa aaa", "xx")] * 300 + [(i, "bcd bcd", "yy") for i in range(2, 60)] + [(None, "zzz", "zz")], "doc_id long, text string, lang string")
+    net = langid.fit(d, max_docs=10, steps=30)
+    assert net.labels == ["xx", "yy"]
+    out = langid.predicted(d, net)
+    assert out.count() == 359 and out.where("doc_id is null and not held_out").count() == 1
+
+
 def test_exact_dedup(docs, odd, none):
     for df in (docs, odd, docs.union(docs.limit(0))):
         got = {r["doc_id"]: tuple(r)[1:] for r in cuckoo.exact_groups(df, per_shard=50).collect()}
@@ -274,6 +379,33 @@ def test_model_adds_spans_and_redacts(spark):
     assert spark.range(1).select(pii.redacted(F.lit("é\U0001f600abc"), spans)).first()[0] == "é\U0001f600[ip]c"
 
 
+def test_personal_data_of_odd_tables(spark, none):
+    assert pii.fit(none).model is None and pii.personal_spans(none, pii.SpanModel()).count() == 0
+    d = spark.createDataFrame([(None, "a@b.co"), (1, "a@b.co"), (1, "a@b.co")], "doc_id long, text string")
+    d = d.withColumns({c: F.lit(1) for c in ("raw", "met", "all_base", "proposed", "base_email", "added", "n_spans")})
+    assert pii.fit(d).model is None
+    got = pii.personal_spans(d, pii.SpanModel()).collect()
+    assert [(r["n_email"], r["spans"], r["n_spans"]) for r in got] == [(1, "email:0:6", 1)] * 3
+
+
+def test_personal_data_of_a_text_of_megabytes(spark):
+    n = 60_000
+    d = spark.createDataFrame([(1, " ".join(f"u{i}@ex.com (555) {i:07d} +1 555 {i:07d} " + "word " * 8 for i in range(n)))], "doc_id long, text string")
+    r = pii.personal_spans(d, pii.SpanModel()).first()
+    assert (r["n_email"], r["n_phone"], r["n_added"]) == (n, n, 0) and r["spans"].startswith("email:0:9,email:")
+
+
+def test_candidates_that_meet_base_matches(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice(["1.2.3.4", "+1 555 123 4567", " 555-1234 ", " a@b.co ", " x (at) y (dot) z ", " 4111 1111 1111 1111 ", ". "]) for _ in range(rng.choice([3, 30, 700])))) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.spans_table(d).collect():
+        base = [(b["start"], b["stop"]) for k in pii.KINDS for b in r[f"base_{k}"]]
+        for c in r["proposed"]:
+            assert c["met"] == any(a < c["stop"] and c["start"] < b for a, b in base)
+        assert all(x["stop"] <= y["start"] for x, y in zip(r["proposed"], r["proposed"][1:]))
+
+
 def test_model_finds_planted_obfuscated_spans(spark):
     rng = random.Random(11)
     digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
@@ -364,6 +496,17 @@ def test_token_counts(spark, docs, none):
     assert tokens.token_counts(none, path).count() == 0
 
 
+def test_other_kinds_of_vocabulary_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(Q.token_file(), encoding="utf-8"))
+    spec["pre_tokenizer"] = {"type": "Whitespace"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError):
+        tokens.Merges(str(path))
+
+
 def test_forgotten_counts_are_counted_again(docs, monkeypatch):
     texts = [t or "" for _, t in pairs(docs)]
     want = tokens.count_tokens(texts, Q.token_file())

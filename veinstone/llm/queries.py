@@ -17,49 +17,59 @@ def token_file() -> str:
 
 
 def op1_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by stupid backoff, orders 1 to 3, under the counts of all other texts."""
     return backoff.backoff_scores(table(spark, sf_dir, "documents", "doc_id", "text"), order=3)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes; copies is how often it is taken."""
     out = mixing.mixed(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labels of a page are those of its number: bad if of low quality or toxic."""
+    """The verdict on every page's url. The labels of a page are those of the document with its number: bad if of low quality or toxic, about a
+    quarter of all; so a rule need not make most of its pages bad, but must find them 1.4 times more often than chance."""
     labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).where("bad is not null")
-    return urls.judged(table(spark, sf_dir, "pages", "page_id", "url"), bad)
+    return urls.judged(table(spark, sf_dir, "pages", "page_id", "url"), bad, min_confidence=0.3, min_lift=1.4)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, by a network learned on documents not held out."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return langid.predicted(docs, langid.fit(docs))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole text, learned from labels of documents not held out."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts equal but for white space, one row for each document."""
     return cuckoo.exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of texts with similar shingle sets, one row for each document."""
     return partenum.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base matches and added spans of personal data in every whole text."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return pii.personal_spans(docs, pii.fit(docs))
 
 
 def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document holds, reworded or not."""
     return templates.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text."""
     return tokens.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), token_file())
 
 
@@ -84,10 +94,14 @@ l AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER
   sum(w) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavy FROM o),
 e AS (SELECT coalesce(min(r) FILTER (rest * w / heavy <= most), 1000000000) AS first FROM l),
 t AS (SELECT source, source_size, CASE WHEN r < first THEN most ELSE least((SELECT rest / heavy FROM l WHERE r = (SELECT first FROM e)) * w, most) END AS target FROM l, e),
-c AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-  ('0x' || substr(sha256('20240229:' || d.doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS copies,
-  (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS taken FROM c""",
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
+b AS (SELECT *, lpad(lower(hex(floor((rate - floor(rate)) * 281474976710656.0::DOUBLE)::BIGINT)), 12, '0') AS below FROM r),
+c AS (SELECT d.doc_id, d.size, b.*, sha256('20240229:' || d.doc_id) AS h FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+k AS (SELECT source, k, abs(floor(any_value(rate)) * any_value(source_size) + sum(CASE WHEN substr(h, k, 12) < below THEN size ELSE 0 END) - any_value(target)) AS off
+  FROM c, range(1, 49) AS g(k) GROUP BY source, k),
+p AS (SELECT source, min(struct_pack(off := off, k := k)).k AS k FROM k GROUP BY source),
+f AS (SELECT doc_id, size, source_size, target, floor(rate)::BIGINT + CASE WHEN substr(h, p.k, 12) < below THEN 1 ELSE 0 END AS copies FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM f""",
     "op6_exact_dedup": r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,

@@ -35,7 +35,10 @@ class Merges:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab = spec["model"]["vocab"]
+        before, inside = spec.get("pre_tokenizer") or {}, spec["model"]
+        if inside.get("type", "BPE") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec.get("normalizer") or any(inside.get(k) for k in ("dropout", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            raise ValueError(f"{path}: not a plain byte-level vocabulary with this module's split")
+        vocab = inside["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.bytes = np.array([vocab[c] for c in byte_symbols()], np.int64)
         self.width = max(vocab.values()) + 1
