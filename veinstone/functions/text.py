@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Words that search leaves out (fixed values).
 STOP_WORDS = (
-    "a an and are as at be by for from how in into is it its of on or that the their there these this to was what when where which who why with".split()
+    "a an and are as at be by do does for from has how in is it its of on or that the this to was what when where which who why with".split()
 )
 
 
@@ -55,6 +56,33 @@ def is_bot(name: Column) -> Column:
     return F.lower(name).rlike(r"\[bot\]$")
 
 
+@functools.cache
+def _plain() -> tuple[str, str, dict[str, str]]:
+    """Characters whose NFKD without combining marks U+0300 to U+036F is one other character, those, and those with several."""
+    one, to, more = [], [], {}
+    for c in map(chr, [*range(0x80, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)]):
+        if 0xD800 <= ord(c) < 0xE000 or "\u0300" <= c <= "\u036f":
+            continue
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not "\u0300" <= x <= "\u036f")
+        if len(bare) == 1 and bare != c and len(c) == 1:
+            one.append(c)
+            to.append(bare)
+        elif len(bare) > 1 and any(x.isascii() and x.isalnum() for x in bare):
+            more[c] = bare
+    return "".join(one), "".join(to), more
+
+
+def plain_letters(text: Column) -> Column:
+    """NFKD without combining marks U+0300 to U+036F, as far as letters a-z and digits go (syllables and the like, which hold none, stay).
+    Only texts beyond ASCII are rewritten."""
+    one, to, more = _plain()
+    wide = F.regexp_replace(F.translate(text, one, to), "[\\x{300}-\\x{36f}]", "")
+    table = F.create_map(*[F.lit(x) for pair in more.items() for x in pair])
+    spread = F.array_join(F.transform(F.split(wide, ""), lambda c: F.coalesce(table[c], c)), "")
+    rare = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in more) + "]"
+    return F.when(~text.rlike(r"[^\x00-\x7f]"), text).when(text.rlike(rare), spread).otherwise(wide)
+
+
 def singular(term: Column) -> Column:
     """ies as y in words of more than four letters, else without a last s that is not doubled, in words of more than three."""
     n = F.length(term)
@@ -63,9 +91,9 @@ def singular(term: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Search terms of text without accents: camelCase parted, lower case, cut at anything but a-z and 0-9, without single
-    letters and stop words, singular."""
-    parted = F.regexp_replace(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
+    """Search terms: camelCase parted, accents off, lower case, cut at anything but a-z and 0-9, without single
+    letters and stop words, singular. JVM-side expressions only."""
+    parted = plain_letters(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2"))
     raw = F.split(F.lower(parted), "[^a-z0-9]+")
     kept = F.filter(raw, lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
     return F.transform(kept, singular)

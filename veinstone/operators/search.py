@@ -6,39 +6,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veinstone.functions.numbers import rounded
 from veinstone.functions.text import terms
+from veinstone.operators.lineage import written
 
 
 class SearchIndex:
-    """postings(id, field, term, tf), lengths(id, field, len), averages(field, avg), n documents."""
+    """analysed(id, field, terms array, len), averages(field, avg), n documents."""
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, averages: DataFrame, n: int):
-        self.postings, self.lengths, self.averages, self.n = postings, lengths, averages, n
+    def __init__(self, analysed: DataFrame, averages: DataFrame, n: int):
+        self.analysed, self.averages, self.n = analysed, averages, n
 
 
 def index(docs: DataFrame, fields: list[str], analyse=terms) -> SearchIndex:
-    """An index of docs(id, fields...); null fields count as empty. Average lengths are over all documents, 1 where 0."""
+    """An index of docs(id, fields...); null fields count as empty. Average lengths are over all documents, 1 where 0.
+
+    Texts are analysed once and written to the shared folder."""
     each = docs.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), analyse(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in fields])).alias("x"))
-    each = each.select("id", "x.field", F.col("x.t").alias("terms"))
-    lengths = each.select("id", "field", F.size("terms").alias("len"))
-    averages = lengths.groupBy("field").agg(F.avg("len").alias("avg")).select("field", F.when(F.col("avg") > 0, F.col("avg")).otherwise(1.0).alias("avg"))
-    postings = each.select("id", "field", F.explode("terms").alias("term")).groupBy("id", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return SearchIndex(postings, lengths, averages, docs.count())
+    each = written(each.select("id", "x.field", F.col("x.t").alias("terms"), F.size("x.t").alias("len")))
+    averages = each.groupBy("field").agg(F.avg("len").alias("avg")).select("field", F.when(F.col("avg") > 0, F.col("avg")).otherwise(1.0).alias("avg"))
+    return SearchIndex(each, averages, docs.count())
 
 
-def search(idx: SearchIndex, queries: DataFrame, boosts: dict[str, float], limit: int = 8, k1: float = 1.2, b: float = 0.75, analyse=terms) -> DataFrame:
+def search(idx: SearchIndex, queries: DataFrame, boosts: dict[str, float], limit: int = 8, k1: float = 1.2, b: float = 0.75, analyse=terms, places: int = 6) -> DataFrame:
     """(query_id, id, score, rank) of queries(query_id, query): the best by score, ties by id; scores of 0 never.
 
     A term's weight in a document is the sum over fields of boost * tf / (1 - b + b * length / average),
-    its idf ln(1 + (n - df + 0.5) / (df + 0.5)). Only postings of asked terms are read on.
+    its idf ln(1 + (n - df + 0.5) / (df + 0.5)). Scores are rounded to so many places before they are ranked, as they are
+    added up in no set order. Only asked terms are counted and shuffled.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(analyse(F.col("query")))).alias("term"))
-    hit = idx.postings.join(asked.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.countDistinct("id").alias("df"))
+    said = idx.analysed.select("id", "field", "len", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    hit = said.groupBy("term", "id", "field", "len").agg(F.count(F.lit(1)).alias("tf"))
     boost: Column = F.create_map(*[x for f, v in boosts.items() for x in (F.lit(f), F.lit(float(v)))])[F.col("field")]
     norm = 1 - b + b * F.col("len") / F.col("avg")
-    weights = hit.join(idx.lengths, ["id", "field"]).join(F.broadcast(idx.averages), "field").groupBy("id", "term").agg(F.sum(boost * F.col("tf") / norm).alias("w"))
+    weights = written(hit.join(F.broadcast(idx.averages), "field").groupBy("term", "id").agg(F.sum(boost * F.col("tf") / norm).alias("w")))
+    df = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(idx.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weights.join(df, "term").select("id", "term", (idf * F.col("w") * (k1 + 1) / (F.col("w") + k1)).alias("s"))
-    scores = asked.join(part, "term").groupBy("query_id", "id").agg(F.sum("s").alias("score")).where("score > 0")
+    scores = asked.join(part, "term").groupBy("query_id", "id").agg(rounded(F.sum("s"), places).alias("score")).where("score > 0")
     return scores.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))).where(F.col("rank") <= limit)
