@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veinstone.operators.cochange import grouped_items, paired
 from veinstone.operators.lineage import written
 
 
@@ -87,23 +85,21 @@ def file_graph(files: DataFrame, imports: DataFrame, changes: DataFrame, sweep:
     in-degree, at most 1); files changed together at least min_changes times change_w times the
     Jaccard share; files of one directory dir_w over the other files there, for each pair.
     """
-    from veinstone.operators.cochange import cochange_pairs
-
     known = files.select("path").distinct()
     edges = imports.select("src", "dst").where("src <> dst").distinct()
     edges = edges.join(known.withColumnRenamed("path", "src"), "src", "left_semi").join(known.withColumnRenamed("path", "dst"), "dst", "left_semi")
     into = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("deg"))
     one = edges.join(into, "dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (import_w * F.least(F.lit(1.0), hub / F.col("deg"))).alias("w"))
-    sized = changes.where("grp is not null and item is not null").groupBy("grp").agg(F.collect_set("item").alias("items")).where(F.size("items") <= sweep)
-    seen = sized.select(F.explode("items").alias("path")).join(known, "path", "left_semi")
+    seen = written(grouped_items(changes, sweep).select("grp", F.explode("items").alias("path")).join(known, "path", "left_semi"))
     per = seen.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    present = changes.join(known.withColumnRenamed("path", "item"), "item", "left_semi").join(sized.select("grp"), "grp", "left_semi")
-    both = cochange_pairs(present, sweep).where(F.col("n_shared") >= min_changes)
+    both = paired(seen.groupBy("grp").agg(F.sort_array(F.collect_list("path")).alias("items"))).where(F.col("n_shared") >= min_changes)
     both = both.join(per.toDF("a", "na"), "a").join(per.toDF("b", "nb"), "b")
     two = both.select("a", "b", (change_w * F.col("n_shared") / (F.col("na") + F.col("nb") - F.col("n_shared"))).alias("w"))
-    folders = files.where(F.col("dir").isNotNull()).select("path", "dir").distinct().groupBy("dir").agg(F.sort_array(F.collect_list("path")).alias("paths")).where(F.size("paths") >= 2)
-    left = folders.select("paths", F.posexplode("paths").alias("i", "a"))
-    three = left.select("a", F.explode(F.expr("slice(paths, i + 2, size(paths))")).alias("b"), (dir_w / (F.size("paths") - 1)).alias("w"))
+    # pairs of a directory are what the graph is asked for; they come from a join, so that no directory has to fit one row
+    folders = files.where(F.col("dir").isNotNull()).select("path", "dir").distinct()
+    shared = folders.groupBy("dir").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    left = folders.join(shared, "dir").toDF("dir", "a", "n")
+    three = left.join(folders.toDF("b", "dir"), "dir").where("a < b").select("a", "b", (dir_w / (F.col("n") - 1)).alias("w"))
     return one.union(two).union(three).groupBy("a", "b").agg(F.sum("w").alias("weight"))
 
 
@@ -121,85 +117,68 @@ def rolled_up(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(F.struct(F.col("fa").alias("src"), F.col("fb").alias("dst")), F.struct(F.col("fb").alias("src"), F.col("fa").alias("dst")))).alias("e"), "weight").groupBy("e.src", "e.dst").agg(F.sum("weight").alias("weight"))
 
 
-def _local_moving(n: int, adj: list[dict[int, float]], resolution: float) -> tuple[list[int], bool]:
-    """One level: nodes in order move to the neighbouring community of most gain until none moves."""
-    degree = [sum(a.values()) + a.get(i, 0.0) for i, a in enumerate(adj)]
-    total2 = sum(degree)
-    own, tot = list(range(n)), list(degree)
-    moved_any, moved = False, True
-    while moved:
-        moved = False
-        for i in range(n):
-            links: dict[int, float] = {}
-            for j, w in adj[i].items():
-                if j != i:
-                    links[own[j]] = links.get(own[j], 0.0) + w
-            here = own[i]
-            tot[here] -= degree[i]
-            best, most = here, links.get(here, 0.0) - resolution * tot[here] * degree[i] / total2
-            for c in sorted(links):
-                gain = links[c] - resolution * tot[c] * degree[i] / total2
-                if gain > most + 1e-12:
-                    best, most = c, gain
-            tot[best] += degree[i]
-            if best != here:
-                own[i], moved, moved_any = best, True, True
-    number: dict[int, int] = {}
-    return [number.setdefault(c, len(number)) for c in own], moved_any
-
-
-def _communities(nodes: list, edges: list[tuple[int, int, float]], resolution: float) -> list[int]:
-    adj: list[dict[int, float]] = [{} for _ in nodes]
-    for a, b, w in edges:
-        adj[a][b] = adj[a].get(b, 0.0) + w
-        if a != b:
-            adj[b][a] = adj[b].get(a, 0.0) + w
-    label = list(range(len(nodes)))
-    if not any(w for a in adj for w in a.values()):
-        return label
-    while True:
-        level, moved = _local_moving(len(adj), adj, resolution)
-        if not moved:
-            return label
-        label = [level[x] for x in label]
-        up: list[dict[int, float]] = [{} for _ in range(max(level) + 1)]
-        for i, a in enumerate(adj):
-            for j, w in a.items():
-                if j >= i:
-                    x, y = level[i], level[j]
-                    up[x][y] = up[x].get(y, 0.0) + w
-                    if x != y:
-                        up[y][x] = up[y].get(x, 0.0) + w
-        adj = up
-
-
-def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(node, component, community) by Louvain's method on edges(a, b, weight), each connected component in its own task.
-
-    Modularity gains between components are never positive, so components can be clustered apart, given
-    the whole graph's weight; nodes are visited in order, a move needs a gain of more than 1e-12, ties go to the
-    lowest community. community is the smallest node in it. Memory holds one component at a time.
+def _moved(adj: DataFrame, state: DataFrame, total: float, resolution: float, turn: int) -> DataFrame:
+    """state(node, degree, community), after the nodes whose turn it is moved where modularity gains most.
+
+    adj(node, other, w) holds each edge both ways, without loops. Which nodes may move changes by hash from turn to turn, so that neighbours
+    seldom swap places; a lone node joins another lone one only if that has the smaller name."""
+    links = adj.join(state.select(F.col("node").alias("other"), F.col("community").alias("to")), "other").groupBy("node", "to").agg(F.sum("w").alias("links"))
+    sums = state.groupBy("community").agg(F.sum("degree").alias("sum"), F.count(F.lit(1)).alias("n"))
+    mine = state.join(sums, "community").where(F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(2)) == 0)
+    near = links.join(mine.toDF("own", "node", "degree", "own_sum", "own_n"), "node").join(sums.toDF("to", "sum", "n"), "to")
+    rest = F.col("sum") - F.when(F.col("to") == F.col("own"), F.col("degree")).otherwise(0.0)
+    gain = F.col("links") - resolution * rest * F.col("degree") / total
+    stay = F.max(F.when(F.col("to") == F.col("own"), gain))
+    alone = -resolution * (F.max("own_sum") - F.max("degree")) * F.max("degree") / total  # no link to its own community
+    allowed = (F.col("to") != F.col("own")) & ((F.col("own_n") > 1) | (F.col("n") > 1) | (F.col("to") < F.col("own")))
+    # of equal gains the smaller name
+    offer = F.min(F.when(allowed, F.struct((-gain).alias("loss"), F.col("to").alias("to"))))
+    best = near.groupBy("node").agg(offer.alias("offer"), F.coalesce(stay, alone).alias("stay")).where(-F.col("offer.loss") > F.col("stay") + 1e-12)
+    return state.join(best.select("node", "offer.to"), "node", "left").select("node", "degree", F.coalesce("to", "community").alias("community"))
+
+
+def louvain(edges: DataFrame, resolution: float = 1.0, tolerance: float = 1e-6, max_turns: int = 24, max_levels: int = 12) -> DataFrame:
+    """(node, community) by Louvain's method on edges(a, b, weight); community is the smallest node in it.
+
+    Local moving runs as rounds of joins and sums over all edges: link weights to neighbouring communities, totals of communities,
+    the best move of each node whose turn it is. A level ends when two turns one after the other bring less than `tolerance` of modularity; communities then become nodes, with
+    the summed weights as edges, until a level changes nothing. Each turn is written to the shared folder. No node's neighbours, component or
+    community have to fit one task. The same edges give the same communities. Null ends and weights not above 0 are left out.
     """
-    clean = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").where("a is not null and b is not null and weight > 0").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    clean = written(clean)
-    part = components(clean)
-    total = clean.agg(F.sum("weight")).first()[0] or 0.0
-    loops = clean.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    part = part.union(loops.join(part, "node", "left_anti"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted({*pdf["a"], *pdf["b"]})
-        at = {x: i for i, x in enumerate(nodes)}
-        own = pdf["weight"].sum()
-        label = _communities(nodes, [(at[a], at[b], w) for a, b, w in pdf[["a", "b", "weight"]].sort_values(["a", "b"]).itertuples(index=False)], resolution * own / total)
-        first: dict[int, object] = {}
-        for x, c in zip(nodes, label):
-            first.setdefault(c, x)
-        return pd.DataFrame({"node": nodes, "component": pdf["component"].iloc[0], "community": [first[c] for c in label]})
-
-    kind = dict(clean.dtypes)["a"]
-    keyed = clean.join(part.select(F.col("node").alias("a"), "component"), "a")
-    return keyed.groupBy("component").applyInPandas(run, f"node {kind}, component {kind}, community {kind}")
+    clean = edges.where("a is not null and b is not null and weight > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("w"))
+    level = written(clean)
+    total = 2.0 * (level.agg(F.sum("w")).first()[0] or 0.0)
+    ends = lambda e: F.explode(F.array(F.col("a"), F.col("b")))
+    names = written(level.select(ends(level).alias("node")).distinct().withColumn("community", F.col("node")))
+    for step in range(max_levels):
+        adj = written(level.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"), "w").select("e.*", "w"))
+        state = written(level.select(ends(level).alias("node"), "w").groupBy("node").agg(F.sum("w").alias("degree")).withColumn("community", F.col("node")))
+        best, score, idle = state, _quality(level, state, total, resolution), 0
+        first = score
+        for turn in range(max_turns):
+            state = written(_moved(adj, state, total, resolution, step * max_turns + turn))
+            now = _quality(level, state, total, resolution)
+            idle = 0 if now > score + tolerance else idle + 1
+            if now > score:
+                best, score = state, now
+            if idle == 2:
+                break
+        if score <= first:
+            break
+        # named by the smallest node of each community
+        to = written(best.join(best.groupBy("community").agg(F.min("node").alias("to")), "community").select("node", "to"))
+        names = written(names.join(to.withColumnRenamed("node", "community"), "community").select("node", F.col("to").alias("community")))
+        level = level.join(to.toDF("a", "x"), "a").join(to.toDF("b", "y"), "b").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w"))
+        level = written(level)
+    return names
+
+
+def _quality(level: DataFrame, state: DataFrame, total: float, resolution: float) -> float:
+    """Modularity of a level's communities."""
+    c = state.select("node", "community")
+    inside = level.join(c.toDF("a", "x"), "a").join(c.toDF("b", "y"), "b").where("x = y").agg(F.sum("w")).first()[0] or 0.0
+    ends = state.groupBy("community").agg(F.sum("degree").alias("d")).agg(F.sum(F.col("d") * F.col("d"))).first()[0] or 0.0
+    return 2 * inside / total - resolution * ends / (total * total) if total else 0.0
 
 
 def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from veinstone.functions.numbers import rounded
 from veinstone.operators import graph, membership
+from veinstone.operators.cochange import cochange_pairs
 from veinstone.operators.topk import top_k
+from veinstone.plans.cochange import SWEEP
 from veinstone.sources.tables import table
 
-SWEEP = 8
-
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     part = table(spark, sf_dir, "part")
@@ -144,8 +144,6 @@ def redirect_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of parts by co-change alone (no SQL: the result depends on the order of visits)."""
     _, _, changes = _inputs(spark, sf_dir)
-    from veinstone.operators.cochange import cochange_pairs
-
     return graph.louvain(cochange_pairs(changes, SWEEP).select("a", "b", F.col("n_shared").cast("double").alias("weight")))
 
 
