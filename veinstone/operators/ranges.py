@@ -10,15 +10,31 @@ from pyspark.sql import functions as F
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: int = 128, contains: bool = False) -> DataFrame:
     """left ⋈ right on keys where [start, stop] overlap (contains: where right's range holds left's), stops inclusive.
 
-    left has keys, start, stop; right has keys, r_start, r_stop; other columns must differ. Each range is dealt to the buckets of
-    `width` it touches and joined by equality on (keys, bucket); a pair counts only in the first bucket that both touch,
+    left has keys, start, stop; right has keys, r_start, r_stop; other columns must differ. A range's level is the least n for
+    which it is no longer than width * 2^n, so in buckets of that width it touches at most two, however long it is. Two ranges
+    meet in the buckets of the higher of their levels: each is dealt to its own level's buckets and to those of the levels above that the other
+    side has, and joined by equality on (keys, level, bucket). A pair counts only in the first bucket that both touch,
     so nothing has to be made distinct. No nested loop at any size.
     """
-    cell = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
-    x = left.where("start is not null and stop >= start").withColumn("bucket", cell("start", "stop"))
-    y = right.where("r_start is not null and r_stop >= r_start").withColumn("bucket", cell("r_start", "r_stop"))
-    both = x.join(y, [*keys, "bucket"]).where("start <= r_stop and r_start <= stop")
-    both = both.where(F.col("bucket") == F.floor(F.greatest("start", "r_start") / width)).drop("bucket")
+    size = lambda n: F.lit(width) * F.expr(f"shiftleft(1L, {n})")
+    level = lambda a, b: F.greatest(F.ceil(F.log2((F.col(b) - F.col(a) + 1) / width)), F.lit(0)).cast("int")
+    x = left.where("start is not null and stop >= start").withColumn("_own", level("start", "stop"))
+    y = right.where("r_start is not null and r_stop >= r_start").withColumn("_own", level("r_start", "r_stop"))
+    # at most some fifty levels, whatever the ranges
+    has_x, has_y = (sorted(r["_own"] for r in z.select("_own").distinct().collect()) for z in (x, y))
+
+    def dealt(z: DataFrame, a: str, b: str, above: list[int], same: int) -> DataFrame:
+        """With tag: the level, and whether it is the right side's (0) or the left's own (1)."""
+        up = F.transform(F.filter(F.array(*map(F.lit, above)).cast("array<int>"), lambda n: n > F.col("_own")), lambda n: F.struct(n.alias("n"), F.lit(1 - same).alias("of")))
+        own = F.array(F.struct(F.col("_own").alias("n"), F.lit(same).alias("of")))
+        if same:  # equal levels meet as the right side's
+            own = F.concat(own, F.array(F.struct(F.col("_own").alias("n"), F.lit(0).alias("of"))))
+        z = z.withColumn("_tag", F.explode(F.concat(own, up)))
+        cell = lambda c: F.floor(F.col(c) / size("_tag.n"))
+        return z.withColumn("_bucket", F.explode(F.sequence(cell(a), cell(b)))).drop("_own")
+
+    both = dealt(x, "start", "stop", has_y, 1).join(dealt(y, "r_start", "r_stop", has_x, 0), [*keys, "_tag", "_bucket"]).where("start <= r_stop and r_start <= stop")
+    both = both.where(F.col("_bucket") == F.floor(F.greatest("start", "r_start") / size("_tag.n"))).drop("_bucket", "_tag")
     return both.where("r_start <= start and r_stop >= stop") if contains else both
 
 
