@@ -33,8 +33,17 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for white space, the one with the smallest doc_id. Repeated rows of one doc_id stay together."""
-    return _without(docs, cuckoo.exact_groups(docs).where(~F.col("kept")))
+    """Of documents equal but for white space, the one with the smallest doc_id, or one of those without if none has one. Of repeated
+    rows of one doc_id, one of each text that stays."""
+    groups = written(cuckoo.exact_groups(docs))
+    # rows that their doc_id does not tell apart are judged by text; the others by doc_id alone
+    shared = written(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("gone")))
+    odd = docs.join(shared, F.col("doc_id") == F.col("gone"), "left_semi").unionByName(docs.where("doc_id is null"))
+    digest = odd.select(F.struct(*[odd[c] for c in odd.columns]).alias("row"), F.sha2(cuckoo.normalised(odd["text"]), 256).alias("digest"), odd["doc_id"].alias("id"))
+    stay = groups.where("kept").select(F.col("text_sha256").alias("digest"), F.col("keep_id").alias("stays")).distinct()
+    one = digest.join(stay, "digest").where(F.col("id").eqNullSafe(F.col("stays"))).dropDuplicates(["digest"]).select("row.*")
+    plain = _without(docs.where("doc_id is not null"), groups.where(~F.col("kept")).select("doc_id").union(shared))
+    return plain.unionByName(one)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
