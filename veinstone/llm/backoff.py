@@ -31,18 +31,31 @@ def grams(words: np.ndarray, owner: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def _own(owner: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """How often each word's n-gram occurs in its own text."""
-    if not len(owner):
-        return np.zeros(0)
-    order = np.lexsort((key, owner))
-    o, k = owner[order], key[order]
-    first = np.ones(len(o), bool)
-    first[1:] = (o[1:] != o[:-1]) | (k[1:] != k[:-1])
+def counted(g: list[np.ndarray], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """From grams: (distinct keys, how often each occurs, for each order where the n-gram at each word stands among
+    the keys, and how often it occurs in its own text). Where there is no n-gram both are of no meaning.
+
+    One stable sort by key brings equal n-grams together, those of one text next to each other, as texts come in order."""
+    every = np.concatenate(g)
+    if not len(every):
+        return every, np.zeros(0, np.int64), g, g
+    order = np.argsort(every, kind="stable")
+    k = every[order]
+    first = np.ones(len(k), bool)
+    first[1:] = k[1:] != k[:-1]
+    at, own = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
     group = np.cumsum(first) - 1
-    out = np.empty(len(o))
-    out[order] = np.bincount(group)[group]
-    return out
+    at[order] = group
+    keys, n = k[first], np.bincount(group)
+    who = np.tile(owner, len(g))[order]
+    first[1:] |= who[1:] != who[:-1]
+    begin = np.flatnonzero(first)
+    size = np.diff(begin, append=len(k))
+    own[order] = np.repeat(size, size)
+    if not keys[0]:  # no n-gram
+        keys, n, at = keys[1:], n[1:], np.maximum(at - 1, 0)
+    split = lambda x: np.split(x, len(g))
+    return keys & _KEY, n, split(at), split(own)
 
 
 def _words(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -54,23 +67,58 @@ def _words(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
-    """The lower `width` bytes of each number, all lowest bytes first, so that the zeros of small numbers compress."""
+    """The lower `width` bytes of each number, all lowest bytes first."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _unplanes(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+def _unplanes(data: np.ndarray, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = data[: n * width].reshape(width, n).T
     return out.view("<u8").ravel()
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """The steps between the upper seven bytes of sorted numbers; the lowest byte only marks presence."""
-    return _planes(np.diff(x >> U64(8), prepend=U64(0)), 7)
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(_unplanes(data, 7), dtype=U64) << U64(8)
+def _pack(keys: np.ndarray, base: int) -> bytes:
+    """The upper seven bytes of sorted keys from base on, as steps: their lower bits as they are, the rest of each step as so
+    many zeros before a one, near the fewest bits that random keys can be told in."""
+    step = np.diff(keys >> U64(8), prepend=U64(base))
+    n = len(step)
+    low = max(0, int(np.log2(max(1.0, float(step.sum()) / n))))
+    whole, rest = divmod(low, 8)
+    bits = [np.packbits((step >> U64(b) & U64(1)).astype(np.uint8)).tobytes() for b in range(8 * whole, low)]
+    ends = np.cumsum((step >> U64(low)).astype(np.int64)) + np.arange(n)
+    ones = np.zeros(int(ends[-1]) + 1, np.uint8)
+    ones[ends] = 1
+    return b"".join([n.to_bytes(4, "little"), bytes([low]), _planes(step, whole), *bits, np.packbits(ones).tobytes()])
+
+
+def _unpack(data: bytes, base: int) -> np.ndarray:
+    n, low = int.from_bytes(data[:4], "little"), data[4]
+    whole, rest = divmod(low, 8)
+    raw, each = np.frombuffer(data, np.uint8)[5:], -(-n // 8)
+    step = _unplanes(raw, n, whole)
+    at = n * whole
+    for b in range(8 * whole, low):
+        step |= np.unpackbits(raw[at : at + each], count=n).astype(U64) << U64(b)
+        at += each
+    ends = np.flatnonzero(np.unpackbits(raw[at:]))
+    step |= (np.diff(ends, prepend=-1) - 1).astype(U64) << U64(low)
+    return (np.cumsum(step, dtype=U64) + U64(base)) << U64(8)
+
+
+def _pack_small(x: np.ndarray, usual: int) -> bytes:
+    """Numbers most of which are `usual`: a bit for each that isn't, and those, as wide as the largest."""
+    odd = x != usual
+    width = (int(x.max()).bit_length() + 7) // 8
+    return b"".join([len(x).to_bytes(4, "little"), bytes([width]), np.packbits(odd).tobytes(), _planes(x[odd], width)])
+
+
+def _unpack_small(data: bytes, usual: int) -> np.ndarray:
+    n, width = int.from_bytes(data[:4], "little"), data[4]
+    raw, each = np.frombuffer(data, np.uint8)[5:], -(-n // 8)
+    odd = np.unpackbits(raw[:each], count=n).astype(bool)
+    out = np.full(n, usual, np.int64)
+    out[odd] = _unplanes(raw[each:], int(odd.sum()), width)
+    return out
 
 
 def backoff_scores(docs: DataFrame, order: int = 2, discount: float = 0.4, block_bytes: int = 8 << 20, shard_words: int = 2_000_000) -> DataFrame:
@@ -83,7 +131,8 @@ def backoff_scores(docs: DataFrame, order: int = 2, discount: float = 0.4, block
     [^\\x20\\x09-\\x0D]+, A-Z lower-cased. log_score is the sum of natural logarithms; null and
     empty texts have 0 words, 0 and no mean. Repeated rows are documents of their own.
 
-    Texts are dealt out by block, some 8 MB each. A block's distinct n-grams with their counts go to
+    Texts are dealt out by block, some 8 MB each, by hash of doc_id, length and input partition, so that copies of one row, or rows
+    without doc_id, spread too. A block's distinct n-grams with their counts go to
     the count tables' partitions by hash, one entry however often a block has an n-gram, so that none is hot; each
     partition adds up and answers every block in the order of its n-grams; blocks join the answers
     to their documents' n-grams. Tasks hold one block, or one partition of the tables, whose number grows with the input.
@@ -93,42 +142,40 @@ def backoff_scores(docs: DataFrame, order: int = 2, discount: float = 0.4, block
     blocks = max(1, -(-total["bytes"] // block_bytes))
     bits = max(2, int(np.ceil(np.log2(max(1, total["words"] * order / shard_words)))))
     everything = float(total["words"])
-    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", F.length("text"), F.spark_partition_id()), F.lit(blocks)).cast("int")
     dealt = slim.select(block.alias("block"), "doc_id", "text")
 
-    def told(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        words, owner = _words(pdf["text"])
-        g = grams(words, owner, order)
-        every = np.concatenate(g)
-        keys, n = np.unique(every[every != 0] & _KEY, return_counts=True)
-        return g, owner, keys, n
+    def base(shard: int) -> int:
+        return shard << (56 - bits)
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, keys, n = told(pdf)
+        words, owner = _words(pdf["text"])
+        every = np.concatenate(grams(words, owner, order))
+        keys, n = np.unique(every[every != 0] & _KEY, return_counts=True)
         edges = np.searchsorted(keys >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
-        rows = [(s, int(pdf["block"].iloc[0]), _pack(keys[a:b]), _planes(n[a:b], 4)) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+        rows = [(s, int(pdf["block"].iloc[0]), _pack(keys[a:b], base(s)), _pack_small(n[a:b], 1)) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
         return pd.DataFrame(rows, columns=["shard", "block", "keys", "counts"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [_unpack(k) for k in pdf["keys"]]
-        counts = np.concatenate([_unplanes(c, 4) for c in pdf["counts"]])
+        keys = [_unpack(k, base(int(pdf["shard"].iloc[0]))) for k in pdf["keys"]]
+        counts = np.concatenate([_unpack_small(c, 1) for c in pdf["counts"]])
         _, back = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(back, weights=counts).astype(np.uint64)[back] - counts  # in other blocks
+        sums = np.bincount(back, weights=counts).astype(np.int64)[back] - counts  # in other blocks
         ends = np.cumsum([len(k) for k in keys])
-        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "sums": [_planes(sums[e - len(k) : e], 8) for e, k in zip(ends, keys)]})
+        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "sums": [_pack_small(sums[e - len(k) : e], 0) for e, k in zip(ends, keys)]})
 
     def score(mine: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        g, owner, keys, n_here = told(mine)
+        words, owner = _words(mine["text"])
+        g = grams(words, owner, order)
+        keys, n_here, places, own = counted(g, owner)
         back = back.sort_values("shard")
-        sums = np.concatenate([_unplanes(b, 8) for b in back["sums"]]).astype(float) + n_here if len(back) else np.zeros(0)
+        sums = np.concatenate([_unpack_small(b, 0) for b in back["sums"]]) + n_here if len(back) else np.zeros(1)
         rows = len(mine)
         size = np.bincount(owner, minlength=rows)
         elsewhere = everything - size[owner]
         seen = []  # of each order: the count in all other documents of the n-gram that ends at each word
-        for h in g:
-            key = h & _KEY
-            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            seen.append(np.where(h != 0, (sums[at] if len(keys) else 0) - _own(owner, key), 0.0))
+        for h, at, same in zip(g, places, own):
+            seen.append(np.where(h != 0, sums[at] - same, 0.0) if len(h) else np.zeros(0))
         value = np.where(seen[0] > 0, np.log(np.maximum(seen[0], 1)) - np.log(np.maximum(elsewhere, 1)), np.log(discount) - np.log(elsewhere + 1))
         # steps down from the longest context that the text has there to the one used
         for n in range(1, order):
