@@ -53,6 +53,26 @@ def test_backoff(docs, odd, none, order):
     assert backoff.backoff_scores(none).count() == 0
 
 
+def test_packed_keys_and_counts_come_back():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for shard, n in ((0, 1), (0, 1000), (3, 1), (3, 9), (3, 50_000)):
+        keys = np.unique(rng.integers(0, 2**54, n).astype(np.uint64) + np.uint64(shard << 54)) << np.uint64(8)
+        assert np.array_equal(backoff._unpack(backoff._pack(keys, shard << 54), shard << 54), keys)
+    for x in (np.zeros(5, np.int64), np.array([1]), rng.integers(0, 3, 1001), rng.integers(0, 2**40, 77)):
+        for usual in (0, 1):
+            assert np.array_equal(backoff._unpack_small(backoff._pack_small(x, usual), usual), x)
+
+
+def test_backoff_of_repeated_rows_and_rows_without_doc_id(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (None, "a b d"), (None, "a b d"), (2, "b c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute.backoff(list(enumerate(t for _, t in rows)), 3)
+    got = sorted((r["doc_id"] or 0, r["n_words"], round(r["log_score"], 9)) for r in backoff.backoff_scores(d.withColumns({"block": F.lit(1), "shard": F.lit(2)}), 3).collect())
+    assert got == sorted((i or 0, want[k][0], round(want[k][1], 9)) for k, (i, _) in enumerate(rows))
+
+
 def test_registered_backoff_uses_trigrams(spark, docs):
     want = brute.backoff(pairs(docs), 3)
     got = {r["doc_id"]: r for r in Q.op1_backoff_scores(spark, DATA).collect()}

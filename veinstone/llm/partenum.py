@@ -35,6 +35,8 @@ from veinstone.operators.lineage import written
 NUM, DEN = 80, 100
 #: Signatures that more sets share are crowded.
 CROWD = 16
+#: A crowd whose pairs are compared is dealt out in shares of about so many members.
+SHARE = 256
 _LOW = U64(127)
 
 
@@ -75,8 +77,8 @@ def plan(band: int) -> tuple[int, int, int, int]:
 def signatures(h: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signature, owner, spare) of sets given as distinct hashes by owner; the lowest 7 bits of a signature are its band.
 
-    spare: how many more signatures of that band the set may leave out, after its empty ones; a set with too many empty
-    ones leaves out none of these."""
+    spare: how many more signatures of that band the set may leave out, after its empty ones. A set with too many empty
+    ones leaves out none of these, and must not leave out any other: its spare is -1."""
     low, high = bands()
     own = np.searchsorted(low, sizes, side="right") - 1
     out_s, out_o, out_k = [], [], []
@@ -114,7 +116,7 @@ def signatures(h: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> tuple[np.
             rows = np.repeat(whose, keep.sum(1))
             out_s.append(sig[keep])
             out_o.append(sets[rows])
-            out_k.append(np.where(hollow > t, t, t - hollow).astype(np.int32)[rows])
+            out_k.append(np.where(hollow > t, -1, t - hollow).astype(np.int32)[rows])
     if not out_s:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     return np.concatenate(out_s), np.concatenate(out_o), np.concatenate(out_k)
@@ -369,13 +371,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # places leave it possible: similar sets share at least `both` shingles, so one is among each's rarest n - both + 1
     crowds = more.where("sig is not null").select("sig", F.col("a").alias("rep"), F.col("spare").alias("place")).distinct().join(heavy.select("rep", "n"), "rep")
     crowds = written(crowds.join(part, F.col("rep") == F.col("node"), "left").select("sig", "rep", "n", "place", F.coalesce("component", "rep").alias("part")))
-    split = crowds.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("sig")
-    open_ = crowds.join(split, "sig", "left_semi")
-    left, right = open_.toDF("sig", "a", "n_a", "place_a", "part_a"), open_.toDF("sig", "b", "n_b", "place_b", "part_b")
+    # a large crowd is dealt over many tasks: each member once on the left, on the right once for each share of the left
+    split = crowds.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")).where("lo < hi").select("sig", "shares")
+    open_ = crowds.join(split, "sig")
+    left = open_.withColumn("share", F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int")).select("sig", "share", "rep", "n", "place", "part").toDF("sig", "share", "a", "n_a", "place_a", "part_a")
+    right = open_.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("sig", "share", "rep", "n", "place", "part").toDF("sig", "share", "b", "n_b", "place_b", "part_b")
     fit = F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM
     both = F.ceil((F.col("n_a") + F.col("n_b")) * NUM / (NUM + DEN))
     early = (F.col("place_a") <= F.col("n_a") - both + 1) & (F.col("place_b") <= F.col("n_b") - both + 1)
-    rest = written(left.join(right, (left["sig"] == right["sig"]) & fit & early & (F.col("part_a") < F.col("part_b"))).select("a", "b"))
+    rest = written(left.join(right, (left["sig"] == right["sig"]) & (left["share"] == right["share"]) & fit & early & (F.col("part_a") < F.col("part_b"))).select("a", "b"))
     rest = written(possible(rest, heavy, "doc_id").distinct())
     if not rest.isEmpty():
         part = written(components(links.union(verified(rest, slim))))
