@@ -26,6 +26,10 @@ def sampled(rows: DataFrame, most: int, by: list[str], group: Column | None = No
         cut = F.when(F.col("_group").eqNullSafe(F.lit(value)), F.lit(share)).otherwise(cut)
     # a hash as a number from 0 to 1, to 53 bits
     part = F.col("_place").cast("double") / float(2**64) + 0.5
-    few = told.where(part <= cut).dropDuplicates(["_group", "_place"])
-    ranked = few.withColumn("_rank", F.row_number().over(W.partitionBy("_group").orderBy("_place")))
-    return ranked.where(F.col("_rank") <= most).select(*columns)
+    few = told.where(part <= cut)
+    # the hash up to which a group's sample reaches; only hashes are ranked
+    ranked = few.select("_group", "_place").distinct().withColumn("_rank", F.row_number().over(W.partitionBy("_group").orderBy("_place")))
+    last = F.lit(None).cast("long")
+    for r in ranked.where(F.col("_rank") <= most).groupBy("_group").agg(F.max("_place").alias("last")).collect():
+        last = F.when(F.col("_group").eqNullSafe(F.lit(r["_group"])), F.lit(r["last"])).otherwise(last)
+    return few.where(F.col("_place") <= last).dropDuplicates(["_group", "_place"]).select(*columns)
