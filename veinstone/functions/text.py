@@ -121,7 +121,7 @@ def masked_email(email: Column) -> Column:
 def link_targets(text: Column) -> Column:
     """Targets of [[target]] and [[target|words]] outside `code`."""
     plain = F.regexp_replace(text, r"`[^`]*`", " ")
-    return F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(r"\[\[([^\]\[|]+)(?:\|[^\]\[]*)?\]\]"), F.lit(1)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(r"\[\[([^\]\[|]+)(?:\|[^\]\[]*)?\]\]"), F.lit(1)), lambda t: F.trim(t)))
 
 
 def shortened(text: Column, most: int) -> Column:
