@@ -47,7 +47,7 @@ def test_git_tables(spark, repo):
     commits = read(spark, repo, "commits").orderBy(F.col("date").desc()).collect()
     assert [(r["subject"], r["pr"], sorted(r["files"]), r["date_text"][-6:]) for r in commits] == [("Second (#7)", 7, ["a.py", "c.py"], "+01:00"), ("First", None, ["a.py", "b.bin"], "+01:00")]
     who = read(spark, repo, "authorship").where("subject like 'Second%'").first()
-    assert [tuple(f) for f in who["files"]] == [("a.py", 2, 1), ("c.py", 1, 0)] and [tuple(c) for c in who["co_authors"]] == [("Bo", "bo@example.com")]
+    assert [tuple(f) for f in who["files"]] == [("a.py", 2, 1, None), ("c.py", 1, 0, None)] and [tuple(c) for c in who["co_authors"]] == [("Bo", "bo@example.com")]
 
 
 def test_git_diff_and_blame(spark, repo):
@@ -57,6 +57,35 @@ def test_git_diff_and_blame(spark, repo):
     assert [r["lines"] for r in runs] == [1, 1, 1, 1] and runs[1]["sha"] == runs[3]["sha"] != runs[0]["sha"]
 
 
+def test_git_renames_mailmap_and_large_files(spark, tmp_path):
+    env = os.environ | {"GIT_CONFIG_GLOBAL": "/dev/null", "GIT_CONFIG_SYSTEM": "/dev/null", "GIT_AUTHOR_NAME": "al", "GIT_AUTHOR_EMAIL": "al@old.org", "GIT_COMMITTER_NAME": "al", "GIT_COMMITTER_EMAIL": "al@old.org"}
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True, env=env)
+    run("init", "-q", "-b", "main")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "old.txt").write_text("".join(f"line {i} of the text\n" for i in range(40)))
+    (tmp_path / "big.txt").write_text("x\n" * 4000 + "end")
+    (tmp_path / ".mailmap").write_text("Al Lee <al@new.org> <al@old.org>\n")
+    run("add", ".")
+    run("commit", "-qm", "First")
+    run("mv", "d/old.txt", "d/new.txt")
+    (tmp_path / "d" / "new.txt").write_text("".join(f"line {i} of the text\n" for i in range(41)))
+    run("add", ".")
+    run("commit", "-qm", "Second")
+    repo = str(tmp_path)
+    who = {r["subject"]: r for r in read(spark, repo, "authorship").collect()}
+    assert (who["Second"]["mapped_name"], who["Second"]["mapped_email"], who["Second"]["author_name"]) == ("Al Lee", "al@new.org", "al")
+    assert [tuple(f) for f in who["Second"]["files"]] == [("d/new.txt", 1, 0, "d/old.txt")]
+    ends = {"from": "HEAD~1", "to": "HEAD"}
+    assert [tuple(r) for r in read(spark, repo, "numstat", **ends).collect()] == [("d/new.txt", 1, 0, "d/old.txt")]
+    diff = read(spark, repo, "diff", **ends).first()
+    assert (diff["status"], diff["old_path"], diff["new_path"], [tuple(h) for h in diff["hunks"]]) == ("renamed", "d/old.txt", "d/new.txt", [(40, 0, 41, 1)])
+    big = read(spark, repo, "blob", path="big.txt", max_bytes="100").first()
+    assert (big["size"], big["lines"], big["text"], bytes(big["head"][:2])) == (8003, 4001, None, b"x\n")
+    assert read(spark, repo, "blob", path="none.txt").count() == 0
+    assert [r["path"] for r in read(spark, repo, "tree", under="d").collect()] == ["d/new.txt"]
+    assert [r["lines"] for r in read(spark, repo, "blame", under="d").orderBy("run").collect()] == [40, 1]
+
+
 def test_jsonl_forgives_only_the_last_line(spark, tmp_path):
     good = str(tmp_path / "good")
     append_jsonl(spark.createDataFrame([(1, "a")], "i int, s string").coalesce(1), good)

@@ -3,30 +3,38 @@
     spark.dataSource.register(GitSource)
     spark.read.format("git").option("repo", path).option("kind", "commits").option("rev", "HEAD").load()
 
-Kinds: tree, blobs, commits, authorship, diff (options from and to), blame. The revision is resolved once, when the
-source is opened, so that every task and retry reads the same snapshot. The repository must be readable on all
-executors. Scans of blobs and blame are parted by path; logs are one git process each.
+Kinds: tree, blobs, blob (option path), commits, authorship, diff and numstat (options from and to), blame. Option under:
+only paths in that folder. The revision is resolved once, when the source is opened, so that every task and retry reads the same snapshot. The
+repository must be readable on all executors. Scans of blobs and blame are parted by path, one git process a task for
+all of its blobs; logs and diffs are one process each, read as they come.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import subprocess
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+_FILES = "array<struct<path:string,added:long,deleted:long,old_path:string>>"
 SCHEMAS = {
     "tree": "path string, oid string, size long",
-    "blobs": "path string, oid string, size long, binary boolean, lines long, text string",
+    "blobs": "path string, oid string, size long, binary boolean, lines long, head binary, text string",
+    "blob": "path string, oid string, size long, binary boolean, lines long, head binary, text string",
     "commits": "sha string, parents array<string>, date_text string, date timestamp, subject string, files array<string>, pr int",
-    "authorship": "sha string, parents array<string>, author_name string, author_email string, author_date string, commit_date string, subject string, files array<struct<path:string,added:long,deleted:long>>, co_authors array<struct<name:string,email:string>>",
+    "authorship": f"sha string, parents array<string>, author_name string, author_email string, mapped_name string, mapped_email string, author_date string, commit_date string, subject string, files {_FILES}, co_authors array<struct<name:string,email:string>>",
     "diff": "status string, old_path string, new_path string, binary boolean, hunks array<struct<old_start:long,old_count:long,new_start:long,new_count:long>>",
+    "numstat": "path string, added long, deleted long, old_path string",
     "blame": "path string, run int, sha string, lines long",
 }
-#: Texts larger than this are not read, only counted.
+#: Texts larger than this are counted, with their head, but not held (option max_bytes).
 MAX_BYTES = 1_000_000
+#: How much of each file's start is looked at for a zero byte, and given as its head (fixed value).
+HEAD = 8_000
 
 
 def git(repo: str, *args: str, data: bytes | None = None) -> bytes:
@@ -51,17 +59,44 @@ def tree(repo: str, sha: str) -> Iterator[tuple[str, str, int]]:
                 yield path.decode(errors="replace"), oid.decode(), int(size)
 
 
-def pull_number(subject: str) -> int | None:
-    import re
+@contextmanager
+def streamed(repo: str, *args: str, write: bool = False):
+    """A git process whose output is read as it comes; it must end well once all was read."""
+    with subprocess.Popen(["git", "-C", repo, "-c", "core.quotepath=off", *args], stdin=subprocess.PIPE if write else None, stdout=subprocess.PIPE, stderr=subprocess.PIPE) as proc:
+        yield proc
+        if write:
+            proc.stdin.close()
+        rest, problem = proc.stdout.read(1), proc.stderr.read()
+        if proc.wait() and not rest:
+            raise RuntimeError(f"git {args[0]} failed: {problem.decode(errors='replace')[:300]}")
+
 
+def pull_number(subject: str) -> int | None:
+    """The pull request that a subject names (patterns: fixed values)."""
     found = re.search(r"^Merge pull request #(\d{1,9})\b", subject) or re.search(r"\(#(\d{1,9})\)\s*$", subject)
     return int(found[1]) if found else None
 
 
-def hunk_rows(patch: str) -> list[tuple[int, int, int, int]]:
-    import re
+#: A hunk's line numbers (fixed value).
+_HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
+
+
+def hunk_row(line: str) -> tuple[int, int, int, int] | None:
+    m = _HUNK.match(line)
+    return m and (int(m[1]), int(m[2] or 1), int(m[3]), int(m[4] or 1))
 
-    return [(int(a), int(b or 1), int(c), int(d or 1)) for a, b, c, d in re.findall(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", patch, re.M)]
+
+def stat_row(line: str) -> tuple[str, int | None, int | None, str | None] | None:
+    """(path, added, deleted, old path) of a line of numstat, whose renames are written a => b or pre{a => b}post."""
+    bits = line.split("\t")
+    if len(bits) != 3:
+        return None
+    added, deleted = (None if x == "-" else int(x) for x in bits[:2])
+    part = re.fullmatch(r"(.*?)\{(.*) => (.*)\}(.*)", bits[2]) or re.fullmatch(r"()(.*) => (.*)()", bits[2])
+    if not part:
+        return bits[2], added, deleted, None
+    whole = lambda mid: (part[1] + mid + part[4]).replace("//", "/")
+    return whole(part[3]), added, deleted, whole(part[2])
 
 
 class _Part(InputPartition):
@@ -74,7 +109,8 @@ class _Reader(DataSourceReader):
         self.repo, self.kind = options["repo"], options.get("kind", "tree")
         self.sha = resolve(self.repo, options.get("rev", "HEAD"))
         self.old, self.new = (resolve(self.repo, options[k]) if k in options else None for k in ("from", "to"))
-        self.parts = int(options.get("parts", "8"))
+        self.parts, self.most = int(options.get("parts", "8")), int(options.get("max_bytes", MAX_BYTES))
+        self.under, self.path = options.get("under", "").strip("/"), options.get("path")
 
     def partitions(self):
         n = self.parts if self.kind in ("blobs", "blame") else 1
@@ -83,29 +119,59 @@ class _Reader(DataSourceReader):
     def read(self, part: _Part):
         yield from getattr(self, f"_{self.kind}")(part)
 
+    def _files(self) -> Iterator[tuple[str, str, int]]:
+        return (row for row in tree(self.repo, self.sha) if not self.under or row[0].startswith(self.under + "/"))
+
     def _mine(self, part: _Part) -> list[tuple[str, str, int]]:
         pick = lambda path: int(hashlib.sha256(path.encode()).hexdigest()[:8], 16) % part.of == part.n
-        return [row for row in tree(self.repo, self.sha) if pick(row[0])]
+        return [row for row in self._files() if pick(row[0])]
 
     def _tree(self, part: _Part):
-        yield from tree(self.repo, self.sha)
+        yield from self._files()
+
+    def _blob(self, part: _Part):
+        """One file, none if there is no such file; larger than max_bytes without its text."""
+        yield from self._contents([row for row in tree(self.repo, self.sha) if row[0] == self.path])
 
     def _blobs(self, part: _Part):
-        for path, oid, size in self._mine(part):
-            if size > MAX_BYTES:
-                yield path, oid, size, None, None, None
-                continue
-            data = git(self.repo, "cat-file", "blob", oid)
-            binary = b"\0" in data[:8000]
-            lines = data.count(b"\n") + (bool(data) and not data.endswith(b"\n"))
-            yield path, oid, size, binary, lines, None if binary else data.decode(errors="replace")
+        yield from self._contents(self._mine(part))
+
+    def _contents(self, files: list[tuple[str, str, int]]):
+        """The files' contents from one process; of a large one only a piece at a time is in memory."""
+        if not files:
+            return
+        with streamed(self.repo, "cat-file", "--batch", write=True) as proc:
+            for path, oid, size in files:
+                proc.stdin.write(oid.encode() + b"\n")
+                proc.stdin.flush()
+                left = int(proc.stdout.readline().split()[2])
+                held, head, lines, last = [], b"", 0, b""
+                while left:
+                    piece = proc.stdout.read(min(left, 1 << 20))
+                    left -= len(piece)
+                    head = head or piece[:HEAD]
+                    lines, last = lines + piece.count(b"\n"), piece[-1:]
+                    if size <= self.most:
+                        held.append(piece)
+                proc.stdout.read(1)
+                binary = b"\0" in head
+                text = None if binary or size > self.most else b"".join(held).decode(errors="replace")
+                yield path, oid, size, binary, lines + (last not in (b"", b"\n")), head, text
 
     def _log(self, fmt: str, *more: str) -> Iterator[list[str]]:
         """Records of a log, each its fields and what follows them."""
-        out = git(self.repo, "log", "--date=iso-strict", f"--format=%x01{fmt}%x02", *more, self.sha).decode(errors="replace")
-        for record in out.split("\x01")[1:]:
-            head, _, rest = record.partition("\x02")
-            yield [*head.split("\x00"), rest]
+        scope = ["--", self.under] if self.under else []
+        with streamed(self.repo, "-c", f"mailmap.blob={self.sha}:.mailmap", "log", "--date=iso-strict", f"--format=%x01{fmt}%x02", *more, self.sha, *scope) as proc:
+            rest = b""
+            while True:
+                piece = proc.stdout.read(1 << 20)
+                *done, rest = (rest + piece).split(b"\x01") if piece else [rest, b""]
+                for record in done:
+                    head, found, body = record.decode(errors="replace").partition("\x02")
+                    if found:
+                        yield [*head.split("\x00"), body]
+                if not piece:
+                    return
 
     def _commits(self, part: _Part):
         from datetime import datetime
@@ -114,46 +180,69 @@ class _Reader(DataSourceReader):
             yield sha, parents.split(), date, datetime.fromisoformat(date), subject, [f for f in rest.split("\n") if f], pull_number(subject)
 
     def _authorship(self, part: _Part):
-        import re
-
-        for sha, parents, name, email, date, done, subject, body, rest in self._log("%H%x00%P%x00%an%x00%ae%x00%aI%x00%cI%x00%s%x00%b", "--numstat", "--no-renames"):
-            files = []
-            for line in rest.split("\n"):
-                bits = line.split("\t")
-                if len(bits) == 3:
-                    files.append((bits[2], *(None if x == "-" else int(x) for x in bits[:2])))
+        """With renames followed; mapped: the author as .mailmap of the revision has it."""
+        for sha, parents, name, email, known, mail, date, done, subject, body, rest in self._log("%H%x00%P%x00%an%x00%ae%x00%aN%x00%aE%x00%aI%x00%cI%x00%s%x00%b", "--numstat", "-M"):
+            files = [row for row in map(stat_row, rest.split("\n")) if row]
             others = {m.lower(): (n.strip(), m) for n, m in re.findall(r"(?im)^co-authored-by:\s*(.*?)\s*<([^<>]+)>\s*$", body) if m.lower() != email.lower()}
-            yield sha, parents.split(), name, email, date, done, subject, files, list(others.values())
+            yield sha, parents.split(), name, email, known, mail, date, done, subject, files, list(others.values())
+
+    def _numstat(self, part: _Part):
+        with streamed(self.repo, "diff", "--numstat", "-M", self.old, self.new, *(["--", self.under] if self.under else [])) as proc:
+            for line in proc.stdout:
+                row = stat_row(line.decode(errors="replace").rstrip("\n"))
+                if row:
+                    yield row
 
     def _diff(self, part: _Part):
+        """Names from one listing, hunks from one patch, whose files come in the same order (a changed type twice)."""
         status = {"A": "added", "D": "deleted", "M": "modified", "T": "modified"}
-        rows = git(self.repo, "diff", "--name-status", "-z", "-M", self.old, self.new).decode(errors="replace").split("\0")
-        at = 0
-        while at < len(rows) - 1:
-            kind = rows[at]
-            if kind[0] in "RC":
-                old, new, at = rows[at + 1], rows[at + 2], at + 3
-                kind = "renamed" if kind[0] == "R" else "added"
-            else:
-                old, new, at = rows[at + 1], rows[at + 1], at + 2
-                kind = status.get(kind[0], "modified")
-            patch = git(self.repo, "diff", "-U0", "-M", self.old, self.new, "--", *dict.fromkeys([old, new])).decode(errors="replace")
-            yield kind, None if kind == "added" else old, None if kind == "deleted" else new, "\nBinary files " in patch, hunk_rows(patch)
+        scope = ["--", self.under] if self.under else []
+        rows = iter(git(self.repo, "diff", "--name-status", "-z", "-M", self.old, self.new, *scope).decode(errors="replace").split("\0")[:-1])
+        with streamed(self.repo, "diff", "-U0", "-M", self.old, self.new, *scope) as proc:
+            sections = self._sections(proc.stdout)
+            for kind in rows:
+                old = next(rows)
+                new = next(rows) if kind[0] in "RC" else old
+                binary, hunks = next(sections)
+                if kind[0] == "T":
+                    more = next(sections)
+                    binary, hunks = binary or more[0], hunks + more[1]
+                word = "renamed" if kind[0] == "R" else "added" if kind[0] == "C" else status.get(kind[0], "modified")
+                yield word, None if word == "added" else old, None if word == "deleted" else new, binary, hunks
+
+    @staticmethod
+    def _sections(lines) -> Iterator[tuple[bool, list[tuple[int, int, int, int]]]]:
+        """(binary, hunks) of each file of a patch. Lines of the files' own stand behind a sign."""
+        now = None
+        for raw in lines:
+            line = raw.decode(errors="replace")
+            if line.startswith("diff --git "):
+                if now:
+                    yield tuple(now)
+                now = [False, []]
+            elif line.startswith("Binary files "):
+                now[0] = True
+            elif row := hunk_row(line):
+                now[1].append(row)
+        if now:
+            yield tuple(now)
 
     def _blame(self, part: _Part):
-        for path, _, size in self._mine(part):
-            if size > MAX_BYTES:
-                continue
-            shas = [line.split()[0] for line in git(self.repo, "blame", "--porcelain", self.sha, "--", path).decode(errors="replace").split("\n") if len(line) > 41 and line[40] == " " and not line.startswith("\t")]
-            run = 0
-            at = 0
-            while at < len(shas):
-                end = at
-                while end < len(shas) and shas[end] == shas[at]:
-                    end += 1
-                run += 1
-                yield path, run, shas[at], end - at
-                at = end
+        """Runs of lines by the commit they come from, moved and copied lines followed."""
+        for path, _, _ in self._mine(part):
+            run, last, n = 0, None, 0
+            with streamed(self.repo, "blame", "--porcelain", "-M", "-C", "-C", self.sha, "--", path) as proc:
+                for raw in proc.stdout:
+                    if raw[:1] == b"\t" or len(raw) < 42 or raw[40:41] != b" " or not re.match(rb"[0-9a-f]{40} \d", raw):
+                        continue
+                    sha = raw[:40].decode()
+                    if sha != last and n:
+                        run += 1
+                        yield path, run, last, n
+                        n = 0
+                    last, n = sha, n + 1
+            if n:
+                yield path, run + 1, last, n
 
 
 class GitSource(DataSource):
