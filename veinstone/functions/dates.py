@@ -59,4 +59,4 @@ def long_form(iso: Column) -> Column:
 
 
 def stale(seen: Column, now: Column, days: int = 7) -> Column:
-    return F.unix_micros(now) - F.unix_micros(seen) > days * 86_400_000_000
+    return F.unix_micros(now.cast("timestamp")) - F.unix_micros(seen.cast("timestamp")) > days * 86_400_000_000

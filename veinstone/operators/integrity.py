@@ -27,3 +27,16 @@ def same_members(one: DataFrame, two: DataFrame, keys: list[str]) -> bool:
     """Whether two tables hold the same sets of keys."""
     a, b = one.select(*keys).distinct(), two.select(*keys).distinct()
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def contained(sets: DataFrame, within: str, key: str, item: str) -> DataFrame:
+    """(within, key, other): of sets(within, key, item), those that hold all items of another set of the same `within`.
+
+    A set looks for its holders only where its rarest item occurs, so sets of common items alone meet many; each set fits a row."""
+    rows = sets.select(within, key, item).distinct()
+    whole = rows.groupBy(within, key).agg(F.collect_set(item).alias("_items"))
+    often = rows.groupBy(within, item).agg(F.count(F.lit(1)).alias("_n"))
+    rarest = rows.join(often, [within, item]).groupBy(within, key).agg(F.min(F.struct("_n", item)).alias("_m")).select(within, key, F.col(f"_m.{item}").alias(item))
+    small = whole.join(rarest, [within, key]).select(within, item, F.col(key).alias("other"), F.col("_items").alias("_held"))
+    met = whole.join(rows, [within, key]).join(small, [within, item]).where(F.col(key) != F.col("other"))
+    return met.where(F.size(F.array_except("_held", "_items")) == 0).select(within, key, "other")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from veinstone.plans import cochange, graphs, ledgers, people, prose, sequences, texts, updates
+from veinstone.plans import checks, cochange, graphs, ledgers, people, prose, sequences, texts, updates
 
-_MODULES = (cochange, graphs, sequences, texts, ledgers, updates, people, prose)
+_MODULES = (cochange, graphs, sequences, texts, ledgers, updates, people, prose, checks)
 
 
 def queries() -> dict[str, Callable]:

@@ -55,11 +55,10 @@ def eval_by_kind_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage_filtered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "orders").createOrReplaceTempView("usage_orders")
     return spark.sql("""
 SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'O') AS open, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1%') AS urgent,
-  cast(sum(CASE WHEN o_orderstatus = 'P' THEN floor(o_totalprice) ELSE 0 END) AS bigint) AS pending, (SELECT count(*) FROM usage_orders) AS all_orders
-FROM usage_orders GROUP BY o_custkey""")
+  cast(sum(CASE WHEN o_orderstatus = 'P' THEN floor(o_totalprice) ELSE 0 END) AS bigint) AS pending, (SELECT count(*) FROM {orders}) AS all_orders
+FROM {orders} GROUP BY o_custkey""", orders=table(spark, sf_dir, "orders"))
 
 
 def cost_case(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +96,8 @@ def set_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose set of parts holds that of another order of the same customer."""
-    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").withColumn("bucket", F.col("l_partkey") % 10).groupBy("l_orderkey").agg(F.array_sort(F.collect_set("bucket")).alias("parts"))
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "o_orderkey", "parts")
-    two = o.toDF("o_custkey", "other", "held")
-    return o.join(two, "o_custkey").where((F.col("o_orderkey") != F.col("other")) & (F.size(F.array_except("held", "parts")) == 0)).select("o_orderkey", "other")
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") % 10).alias("item"))
+    return integrity.contained(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").join(li, "o_orderkey"), "o_custkey", "o_orderkey", "item").select("o_orderkey", "other")
 
 
 def alias_multimap(spark: SparkSession, sf_dir: str) -> DataFrame:

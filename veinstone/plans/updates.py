@@ -51,7 +51,7 @@ def _revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def version_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions.current(_revisions(spark, sf_dir).where("kind <> 'P'")).select("feature", "seq", "body")
+    return versions.current(_revisions(spark, sf_dir)).select("feature", "seq", "body")
 
 
 def checked_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ ORACLES = {
     "claim_status": _S + """, f AS (SELECT claim, CASE WHEN claim % 11 = 0 AND NOT touched THEN 'stale-kept' WHEN status = 'stale' THEN 'stale' ELSE 'fresh' END AS status FROM st)
 SELECT f.claim, CASE WHEN f.claim % 9 = 0 AND EXISTS (SELECT 1 FROM f g WHERE g.claim IN (f.claim + 1, f.claim + 2) AND g.status = 'stale') THEN 'stale' ELSE f.status END AS status FROM f""",
     "update_plan": _S + """SELECT c_custkey AS feature, CASE WHEN c_custkey IN (SELECT path FROM st WHERE status = 'stale') THEN 'rewrite' WHEN c_custkey % 3 <> 0 AND c_custkey % 10 = 2 THEN 'whole' ELSE 'carried' END AS fate FROM customer""",
-    "version_current": "SELECT feature, seq, body FROM (SELECT o_custkey AS feature, o_orderkey AS seq, o_totalprice AS body, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders WHERE o_orderstatus <> 'P') WHERE r = 1",
+    "version_current": "SELECT feature, seq, body FROM (SELECT o_custkey AS feature, o_orderkey AS seq, o_totalprice AS body, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1",
     "checked_appends": """
 WITH h AS (SELECT o_custkey, max(o_orderkey) AS head FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
 n AS (SELECT o.o_custkey AS feature, o_orderkey AS seq, head, CASE WHEN o_orderkey % 7 = 0 THEN head - 1 ELSE head END AS parent, min(o_orderkey) OVER (PARTITION BY o.o_custkey) AS first FROM orders o LEFT JOIN h ON h.o_custkey = o.o_custkey WHERE o_orderkey % 2 = 1)
