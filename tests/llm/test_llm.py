@@ -484,6 +484,30 @@ def test_leaks_with_more_or_fewer_words(spark):
     assert got == want
 
 
+def test_reworded_items_are_found(spark):
+    """Items with other numbers (in digits or words), names and a few words put in, among texts that hold none."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    number = lambda: rng.choice([str(rng.randrange(2, 5000)), "twelve", "thirty", "five", "twenty five", "3.50"])
+    person = lambda: rng.choice(["Alice", "Bob Marley", "Maria", "Paul"])
+    items, docs, want = [], [], set()
+    for i in range(60):
+        shape = [rng.choice(["#", "@", *["w"] * 7]) for _ in range(rng.randrange(16, 50))]
+        plain = [word() if x == "w" else number() if x == "#" else person() for x in shape]
+        items.append((i, " ".join(plain)))
+        for j in range(3):
+            new = {}  # a value stands for the same one throughout
+            t = [v if x == "w" else new.setdefault(v, number() if x == "#" else person()) for x, v in zip(shape, plain)]
+            for _ in range(j):
+                t.insert(rng.randrange(len(t)), word())
+            docs.append((100 * i + j, " ".join([word() for _ in range(40)] + t + [word() for _ in range(40)])))
+            want.add((100 * i + j, i))
+    docs += [(10**6 + k, " ".join(rng.choice([word(), number(), person()]) for _ in range(120))) for k in range(60)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in templates.contaminated(d, b).collect()}
+    assert len(got & want) >= 0.9 * len(want) and not got - want
+
+
 def test_a_slot_beside_the_item_does_not_hide_it(spark):
     item = "5 apples lie in the old basket by the door and another 5 hang on the tree"
     d = spark.createDataFrame([(1, "In the year 1999 " + item), (2, "so: " + item)], "doc_id long, text string")
