@@ -62,6 +62,18 @@ def test_louvain_ring_of_cliques(spark):
     assert sorted(r["count"] for r in got) == [5] * 6
 
 
+def test_small_clusters_are_absorbed(spark):
+    big = [(f"a/b/f{i}", "A") for i in range(6)] + [(f"c/f{i}", "C") for i in range(7)]
+    small = [("a/b/x", "x"), ("c/y", "y"), ("c/z", "z"), ("q", "q")]
+    edges = [("c/y", "a/b/f0", 1.0), ("c/y", "c/z", 5.0)]
+    c = spark.createDataFrame(big + small, "node string, community string")
+    out = graph.absorbed(c, spark.createDataFrame(edges, "a string, b string, weight double"))
+    got = {r["node"]: r["community"] for r in out.collect()}
+    # y joins z first, both then the heaviest neighbour of the two; x goes by folder, q to the largest
+    assert got["a/b/x"] == got["a/b/f0"] == "a/b/f0" and got["c/y"] == got["c/z"] == "a/b/f0" and got["q"] == got["c/f0"]
+    assert {(r["id"], r["size"]) for r in graph.numbered(out).collect()} == {("c01", 9), ("c02", 8)}
+
+
 def test_range_join_is_complete_and_without_repeats(spark):
     rng = random.Random(2)
     left = [(i % 3, i, s, s + rng.randrange(400)) for i in range(200) for s in [rng.randrange(3000)]]

@@ -181,6 +181,49 @@ def _quality(level: DataFrame, state: DataFrame, total: float, resolution: float
     return 2 * inside / total - resolution * ends / (total * total) if total else 0.0
 
 
+def absorbed(clusters: DataFrame, edges: DataFrame, least: int = 5, max_rounds: int = 30) -> DataFrame:
+    """(node, community) of clusters(node, community), nodes being paths, once those of fewer than `least` nodes have joined others.
+
+    A small cluster joins the one with most edge weight to it, then the one with the deepest folder shared, then the larger,
+    then the smaller name. In a round those move that are smaller than a small target and whose target stays; after it all is weighed anew. Folders meet by
+    their prefixes, so no files are compared pair by pair. community becomes the smallest node."""
+    now = written(clusters.select("node", "community"))
+    for _ in range(max_rounds):
+        sizes = written(now.groupBy("community").agg(F.count(F.lit(1)).alias("size")))
+        small = sizes.where(F.col("size") < least)
+        if small.isEmpty() or sizes.limit(2).count() < 2:
+            break
+        c = now.select("node", "community")
+        e = edges.join(c.toDF("a", "x"), "a").join(c.toDF("b", "y"), "b").where("x <> y")
+        both = e.select(F.col("x").alias("community"), F.col("y").alias("to"), "weight").union(e.select(F.col("y").alias("community"), F.col("x").alias("to"), "weight"))
+        weight = both.join(small.select("community"), "community", "left_semi").groupBy("community", "to").agg(F.sum("weight").alias("weight"))
+        folders = F.slice(F.split("node", "/"), F.lit(1), F.size(F.split("node", "/")) - 1)
+        prefix = F.transform(F.sequence(F.lit(1), F.size("f")), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice("f", F.lit(1), n), "/").alias("prefix")))
+        deep = now.withColumn("f", folders).where("size(f) > 0").select("community", F.explode(prefix).alias("p")).select("community", "p.*").distinct()
+        depth = deep.join(small.select("community"), "community", "left_semi").join(deep.select(F.col("community").alias("to"), "prefix"), "prefix").where("community <> to").groupBy("community", "to").agg(F.max("depth").alias("depth"))
+        largest = sizes.orderBy(F.col("size").desc(), "community").limit(2).select(F.col("community").alias("to"))
+        # where nothing is shared the largest is a choice too; two, as one may be the cluster itself
+        some = small.select("community").crossJoin(F.broadcast(largest)).where("community <> to")  # two rows on the right
+        pairs = weight.join(depth, ["community", "to"], "full_outer").join(some.withColumn("any", F.lit(1)), ["community", "to"], "full_outer")
+        told = pairs.join(sizes.toDF("to", "to_size"), "to").join(small, "community")
+        best = told.groupBy("community", "size").agg(F.min(F.struct((-F.coalesce("weight", F.lit(0.0))).alias("w"), (-F.coalesce("depth", F.lit(0))).alias("d"), (-F.col("to_size")).alias("s"), "to", "to_size")).alias("m"))
+        moves = best.select("community", "size", "m.to", "m.to_size").where((F.col("to_size") >= least) | (F.struct("size", "community") < F.struct(F.col("to_size").alias("size"), F.col("to").alias("community"))))
+        moves = written(moves)
+        moves = moves.join(moves.select(F.col("community").alias("to")), "to", "left_anti").select("community", "to")
+        now = written(now.join(moves, "community", "left").select("node", F.coalesce("to", "community").alias("community")))
+    else:
+        raise RuntimeError(f"clusters were not absorbed in {max_rounds} rounds")
+    first = now.groupBy("community").agg(F.min("node").alias("first"))
+    return now.join(first, "community").select("node", F.col("first").alias("community"))
+
+
+def numbered(clusters: DataFrame) -> DataFrame:
+    """(community, id, size): clusters(node, community) as c01, c02, ... by size, then smallest node. There are few clusters."""
+    per = clusters.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"))
+    n = per.withColumn("n", F.row_number().over(W.orderBy(F.col("size").desc(), "first"))).withColumn("all", F.count(F.lit(1)).over(W.partitionBy()))
+    return n.select("community", F.concat(F.lit("c"), F.lpad(F.col("n").cast("string"), F.greatest(F.lit(2), F.length(F.col("all").cast("string"))), F.lit("0"))).alias("id"), "size")
+
+
 def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row: modularity of communities(node, community) on edges(a, b, weight)."""
     c = communities.select("node", "community")
