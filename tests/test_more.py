@@ -22,6 +22,20 @@ def test_symbols_and_imports(spark):
     assert {tuple(e) for e in symbols.import_edges(out).collect()} == {("pkg/main.py", "pkg/store.py", 2), ("pkg/store.py", "pkg/main.py", 2)}
 
 
+def test_bindings_and_calls(spark):
+    more = "import pkg.store\nimport pkg.store as st\nfrom pkg import store\n\ndef go():\n    pkg.store.save()\n    st.load.now()\n    store.save()\n    go()\n    len('x')\n\nstore.load()\n"
+    files = spark.createDataFrame([("pkg/main.py", SOURCE), ("pkg/store.py", "def save(): ...\ndef load(): ...\n"), ("pkg/__init__.py", ""), ("b.py", more)], "path string, text string")
+    out = symbols.parsed(files).persist()
+    got = {(r["path"], r["local"], r["imported"], r["target"]) for r in symbols.bindings(out).collect()}
+    assert got == {("pkg/main.py", "keep", "save", "pkg/store.py"), ("pkg/main.py", "load", "load", "pkg/store.py"), ("b.py", "pkg.store", None, "pkg/store.py"), ("b.py", "st", None, "pkg/store.py"), ("b.py", "store", None, "pkg/store.py")}
+    calls = {tuple(r) for r in symbols.call_edges(out).collect()}
+    assert calls == {
+        ("pkg/main.py", "run", "pkg/store.py", "save", 8), ("pkg/main.py", "A.go", "pkg/main.py", "A.go", 12),
+        ("b.py", "go", "pkg/store.py", "save", 6), ("b.py", "go", "pkg/store.py", "save", 8), ("b.py", "go", "b.py", "go", 9), ("b.py", None, "pkg/store.py", "load", 12),
+    }
+    out.unpersist()
+
+
 def test_table_functions(spark):
     udtf.register(spark)
     spark.createDataFrame([("a.py", SOURCE)], "path string, text string").createOrReplaceTempView("files")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veinstone.operators.ranges import innermost
+
 _SYMBOLS = "array<struct<name:string,kind:string,start:int,stop:int,exported:boolean>>"
 _IMPORTS = "array<struct<module:string,name:string,alias:string,line:int,level:int>>"
 _CALLS = "array<struct<name:string,line:int>>"
@@ -64,20 +66,55 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, PARSED)
 
 
-def import_edges(parsed_files: DataFrame) -> DataFrame:
-    """(src, dst, line): imports that resolve to a file of the repository, first line of each pair.
+def bindings(parsed_files: DataFrame) -> DataFrame:
+    """(path, line, local, imported, target): what each imported name of a file stands for, where it resolves to a file of the repository.
 
     A module's candidates are its file, its package and, for `from x import y`, y as a module of x; relative ones go up
-    from the file. Of several the first that exists counts; each is found by a join on the path.
+    from the file. Of several the first that exists counts; each is found by a join on the path. imported is null where the
+    name stands for a module as a whole; `import a.b` binds the name a.b.
     """
     up = F.expr("slice(split(path, '/'), 1, greatest(size(split(path, '/')) - i.level, 0))")
     base = F.when(F.col("i.level") > 0, F.array_join(up, "/")).otherwise(F.lit(""))
     inner = F.replace(F.col("i.module"), F.lit("."), F.lit("/"))
     stem = F.regexp_replace(F.concat_ws("/", base, inner), "^/+|/+$", "")
-    e = parsed_files.select("path", F.explode("imports").alias("i")).select("path", F.col("i.line").alias("line"), stem.alias("stem"), F.col("i.name").alias("name"))
+    bare = F.col("i.name").isNull() & (F.col("i.alias") == F.substring_index("i.module", ".", 1))
+    local = F.when(bare, F.col("i.module")).otherwise(F.col("i.alias"))
+    e = parsed_files.select("path", F.explode("imports").alias("i")).select("path", F.col("i.line").alias("line"), stem.alias("stem"), F.col("i.name").alias("name"), local.alias("local"))
     deep = F.concat_ws("/", "stem", "name")
-    options = F.array_compact(F.array(F.when(F.col("name").isNotNull(), F.concat(deep, F.lit(".py"))), F.when(F.col("name").isNotNull(), F.concat(deep, F.lit("/__init__.py"))), F.concat("stem", F.lit(".py")), F.concat("stem", F.lit("/__init__.py"))))
-    tried = e.select("path", "line", "name", "stem", F.posexplode(options).alias("rank", "dst"))
-    known = parsed_files.select(F.col("path").alias("dst"))
-    found = tried.join(known, "dst").groupBy("path", "line", "stem", "name").agg(F.min_by("dst", "rank").alias("dst")).where("dst <> path")
-    return found.groupBy(F.col("path").alias("src"), "dst").agg(F.min("line").alias("line"))
+    own = F.col("name").isNotNull()
+    options = F.array(F.when(own, F.concat(deep, F.lit(".py"))), F.when(own, F.concat(deep, F.lit("/__init__.py"))), F.concat("stem", F.lit(".py")), F.concat("stem", F.lit("/__init__.py")))
+    tried = e.select("path", "line", "name", "stem", "local", F.posexplode(options).alias("rank", "target")).where("target is not null")
+    known = parsed_files.select(F.col("path").alias("target"))
+    found = tried.join(known, "target").groupBy("path", "line", "stem", "name", "local").agg(F.min(F.struct("rank", "target")).alias("m")).where("m.target <> path")
+    return found.select("path", "line", "local", F.when(F.col("m.rank") >= 2, F.col("name")).alias("imported"), "m.target")
+
+
+def import_edges(parsed_files: DataFrame) -> DataFrame:
+    """(src, dst, line): imports that resolve to a file of the repository, first line of each pair."""
+    return bindings(parsed_files).groupBy(F.col("path").alias("src"), F.col("target").alias("dst")).agg(F.min("line").alias("line"))
+
+
+def call_edges(parsed_files: DataFrame) -> DataFrame:
+    """(src, caller, dst, callee, line): calls that resolve to a symbol of the repository; caller is null at a file's top level.
+
+    A dotted name is looked up by the longest of its beginnings that is bound by an import, the rest in the file that it stands
+    for; self.name in the innermost class around the call; else the whole name among the file's own symbols. All by equality joins, the innermost by the bucketed range join.
+    """
+    symbols = parsed_files.select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.kind", F.col("s.start").alias("r_start"), F.col("s.stop").alias("r_stop"))
+    calls = parsed_files.select("path", F.explode("calls").alias("c")).select("path", F.col("c.line").alias("line"), F.col("c.name").alias("call")).distinct()
+    at = calls.select("path", "line", F.col("line").alias("start"), F.col("line").alias("stop")).distinct()
+    by = ["path", "line"]
+    inside = innermost(at, symbols.select("path", "r_start", "r_stop", "name"), ["path"], by).select(*by, F.col("name").alias("caller"))
+    owner = innermost(at, symbols.where("kind = 'class'").select("path", "r_start", "r_stop", "name"), ["path"], by).select(*by, F.col("name").alias("class"))
+    parts = F.split("call", r"\.")
+    cut = calls.withColumn("n", F.explode(F.sequence(F.lit(1), F.size(parts))))
+    cut = cut.select("path", "line", "call", "n", F.array_join(F.slice(parts, F.lit(1), F.col("n")), ".").alias("local"), F.array_join(F.slice(parts, F.col("n") + 1, F.size(parts)), ".").alias("rest"))
+    bound = cut.join(bindings(parsed_files).select("path", "local", "imported", "target"), ["path", "local"])
+    callee = F.concat_ws(".", "imported", F.when(F.col("rest") != "", F.col("rest")))
+    one = bound.select("path", "line", "call", (-F.col("n")).alias("rank"), F.col("target").alias("dst"), callee.alias("callee"))
+    mine = calls.where(F.col("call").startswith("self.")).join(owner, by)
+    two = mine.select("path", "line", "call", F.lit(1).alias("rank"), F.col("path").alias("dst"), F.concat_ws(".", "class", F.substring("call", 6, 1 << 20)).alias("callee"))
+    three = calls.select("path", "line", "call", F.lit(2).alias("rank"), F.col("path").alias("dst"), F.col("call").alias("callee"))
+    known = symbols.select(F.col("path").alias("dst"), F.col("name").alias("callee")).distinct()
+    best = one.union(two).union(three).join(known, ["dst", "callee"]).groupBy("path", "line", "call").agg(F.min(F.struct("rank", "dst", "callee")).alias("m"))
+    return best.join(inside, by, "left").select(F.col("path").alias("src"), "caller", "m.dst", "m.callee", "line")
