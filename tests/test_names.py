@@ -80,3 +80,24 @@ def test_ranges_of_very_different_lengths_meet(spark):
     y = spark.createDataFrame([(1, 1, 7, 7), (1, 2, 0, 2 * 10**9), (1, 3, 10**6 + 299, 10**6 + 400), (1, 4, 10**9 + 1, 10**9 + 5)], "k int, j int, r_start int, r_stop int")
     got = sorted((r["i"], r["j"]) for r in ranges.overlaps(x, y, ["k"]).collect())
     assert got == [(1, 1), (1, 2), (1, 3), (2, 2), (3, 2), (3, 3)]
+
+
+def test_manifests_and_technologies(spark):
+    from veinstone.sources import manifests
+
+    rows = [
+        ("package.json", '{"dependencies": {"react": "1", "@scope/x": "2"}, "devDependencies": {"Vite": "3"}}'), ("sub/package.json", '{"dependencies": {"react": "1"}}'), ("bad/package.json", "{"),
+        ("requirements-dev.txt", "# tools\nDjango>=4\n-r other.txt\n  numpy == 1\n"), ("pyproject.toml", '[project]\ndependencies = [\n  "requests>=2",\n  "click"\n]\n[tool.poetry.dependencies]\npython = "3"\nrich = "1"\n[tool.x]\ny = 1\n'),
+        ("Cargo.toml", '[package]\nname = "z"\n[dependencies]\nserde = "1"\n[dev-dependencies]\ntokio = "1"\n'), ("go.mod", "module x.org/y\nrequire (\n\tgithub.com/a/b v1.2.3\n)\nrequire golang.org/x/net v0.1.0\n"),
+        ("docker-compose.yml", "services:\n  db:\n    image: postgres:16\n  web:\n    image: 'reg.io:5000/app@sha256:aa'\n"), ("notes.txt", "Django"), ("x/go.mod", None),
+    ]
+    d = manifests.declared(spark.createDataFrame(rows, "path string, text string"))
+    got = {(r["path"], r["ecosystem"], r["name"]) for r in d.collect()}
+    assert got == {
+        ("package.json", "npm", "react"), ("package.json", "npm", "@scope/x"), ("package.json", "npm", "vite"), ("sub/package.json", "npm", "react"), ("requirements-dev.txt", "pypi", "django"), ("requirements-dev.txt", "pypi", "numpy"),
+        ("pyproject.toml", "pypi", "requests"), ("pyproject.toml", "pypi", "click"), ("pyproject.toml", "pypi", "rich"), ("Cargo.toml", "cargo", "serde"), ("Cargo.toml", "cargo", "tokio"), ("go.mod", "go", "github.com/a/b"),
+        ("go.mod", "go", "golang.org/x/net"), ("docker-compose.yml", "image", "postgres"), ("docker-compose.yml", "image", "reg.io:5000/app"),
+    }
+    t = spark.createDataFrame([("React", "npm", "react", True), ("Scope", "npm", "@scope", True), ("Django", "pypi", "django", False), ("Flask", "pypi", "flask", False), ("Nothing", "npm", "reac", True)], "technology string, ecosystem string, name string, prefix boolean")
+    imports = spark.createDataFrame([("a.ts", "react-dom/client"), ("b.ts", "react"), ("c.py", "flask.views"), ("d.ts", "./x")], "path string, specifier string")
+    assert {tuple(r) for r in manifests.detected(d, imports, t).collect()} == {("React", "package.json", 2), ("Scope", "package.json", 0), ("Django", "requirements-dev.txt", 0), ("Flask", None, 1)}
