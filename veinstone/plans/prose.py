@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinstone.functions import names as N
+from veinstone.sources import manifests
 from veinstone.sources.tables import table
 
 
@@ -121,15 +122,40 @@ def shown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(spark, sf_dir).select("doc_id", F.sha2(N.tool_text(F.col("text")), 256).alias("tool"), N.markdown_text(F.col("text"), 200).alias("line"))
 
 
+def _requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as manifests: the words of a part's name are what it requires."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
+    path = F.concat(F.when(F.col("p_partkey") % 3 > 0, "sub/").otherwise(""), "p_brand", F.lit("/requirements.txt"))
+    return manifests.declared(p.select(path.alias("path"), F.replace("p_name", F.lit(" "), F.lit(">=1\n")).alias("text")))
+
+
+def declared_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _requirements(spark, sf_dir)
+
+
+def detected_technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
+    words = p.select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).distinct()
+    known = words.select(F.upper("name").alias("technology"), F.lit("pypi").alias("ecosystem"), "name", F.lit(False).alias("prefix"))
+    imports = p.select(F.concat_ws("/", "p_type", F.concat((F.col("p_partkey") % 50).cast("string"), F.lit(".py"))).alias("path"), F.concat(F.lower(F.substring_index("p_name", " ", 1)), F.lit(".sub")).alias("specifier"))
+    return manifests.detected(_requirements(spark, sf_dir), imports, known)
+
+
 _A = N.ABBREVIATED
+_R = """WITH r AS (SELECT DISTINCT CASE WHEN p_partkey % 3 > 0 THEN 'sub/' ELSE '' END || p_brand || '/requirements.txt' AS path, unnest(string_split(lower(p_name), ' ')) AS name FROM part)"""
 _CONTROL = r"[\p{Cc}\p{Zl}\p{Zp}\x{061C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]"
 _SPEC = "CASE WHEN page_id % 5 = 0 THEN '@' ELSE '' END || lower(regexp_replace(url, '^[a-z]+://', ''))"
 
 QUERIES = {
     "sentence_counts": sentence_counts, "unwritten_numbers": unwritten_numbers, "hook_texts": hook_texts, "wiki_links": wiki_links, "control_codes": control_codes, "canonical_props": canonical_props,
     "salted_keys": salted_keys, "package_roots": package_roots, "file_kinds": file_kinds, "routes": routes, "alias_lists": alias_lists, "word_runs": word_runs, "rotations": rotations, "remotes": remotes, "shown_texts": shown_texts,
+    "declared_packages": declared_packages, "detected_technologies": detected_technologies,
 }
 ORACLES = {
+    "declared_packages": _R + " SELECT path, 'requirements' AS kind, 'pypi' AS ecosystem, name FROM r",
+    "detected_technologies": _R + """, e AS (SELECT name, path, row_number() OVER (PARTITION BY name ORDER BY len(string_split(path, '/')), path) AS k FROM r),
+u AS (SELECT lower(split_part(p_name, ' ', 1)) AS name, count(DISTINCT p_type || '/' || (p_partkey % 50)) AS n FROM part GROUP BY 1)
+SELECT upper(e.name) AS technology, path AS evidence, coalesce(n, 0) AS importers FROM e LEFT JOIN u ON u.name = e.name WHERE k = 1""",
     "sentence_counts": rf"""
 WITH k AS (SELECT doc_id, regexp_replace(text, '((?:^|[\s(])(?:{_A})\.)\s+([\p{{Ll}}\d])', '\1' || chr(1) || '\2', 'g') AS t FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, list_transform(list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(2), 'g'), chr(2)), lambda p: p <> ''), lambda p: replace(p, chr(1), ' ')) AS s FROM k)
