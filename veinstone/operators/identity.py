@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinstone.functions.text import is_bot, noreply_login
+from veinstone.functions.text import is_bot, noreply_login, placeholder_email
 from veinstone.operators.graph import components
 
 
@@ -15,7 +15,7 @@ def pairs(commits: DataFrame) -> DataFrame:
     return clean.groupBy("name", "email").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
 
 
-def resolved(identity_pairs: DataFrame, shared: tuple[str, ...] = ("noreply@github.com",)) -> DataFrame:
+def resolved(identity_pairs: DataFrame) -> DataFrame:
     """(name, email, person, bot): person is the smallest pair key of those joined by a shared address (placeholders
     aside), a shared noreply login, a name that is another's login, or an equal full name of two words or more.
 
@@ -27,7 +27,7 @@ def resolved(identity_pairs: DataFrame, shared: tuple[str, ...] = ("noreply@gith
     full = F.lower(F.regexp_replace("name", r"\s+", " "))
     keys = F.array_compact(
         F.array(
-            F.when(~F.col("email").isin(*shared) & (F.col("email") != ""), F.concat(F.lit("e:"), "email")),
+            F.when(~placeholder_email(F.col("email")) & (F.col("email") != ""), F.concat(F.lit("e:"), "email")),
             F.when(login.isNotNull(), F.concat(F.lit("l:"), login)),
             F.when(full.rlike(r"\S \S"), F.concat(F.lit("n:"), full)),
             F.when(full.rlike(r"^[a-z0-9-]+$"), F.concat(F.lit("l:"), full)),
@@ -40,5 +40,5 @@ def resolved(identity_pairs: DataFrame, shared: tuple[str, ...] = ("noreply@gith
     part = components(keyed.select(F.concat(F.lit("k\u0002"), "a").alias("a"), F.concat(F.lit("p\u0002"), "b").alias("b")))
     named = part.where("node like 'p\u0002%'").select(F.expr("substring(node, 3)").alias("pair"), "component")
     out = p.join(named, "pair", "left").withColumn("component", F.coalesce("component", F.col("pair")))
-    people = out.groupBy("component").agg(F.min("pair").alias("person"), F.min(is_bot(F.col("name")).cast("int")).alias("b"))
+    people = out.groupBy("component").agg(F.min("pair").alias("person"), F.min(is_bot(F.col("name"), noreply_login(F.col("email"))).cast("int")).alias("b"))
     return out.join(people, "component").select("name", "email", "person", (F.col("b") == 1).alias("bot"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinstone.functions import names as N
+from veinstone.functions import text as T
 from veinstone.sources import manifests
 from veinstone.sources.tables import table
 
@@ -141,6 +142,14 @@ def detected_technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.detected(_requirements(spark, sf_dir), imports, known)
 
 
+def address_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared addresses, logins and bots among addresses made of customers' fields."""
+    c, k = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment"), F.col("c_custkey")
+    name = F.element_at(F.array(F.lit("Renovate"), F.col("c_mktsegment"), F.lit("x[bot]"), F.lit("Ann Lee")), (k % 4 + 1).cast("int"))
+    mail = F.element_at(F.array(F.lit("noreply@github.com"), F.concat(k.cast("string"), F.lit("+al-"), k.cast("string"), F.lit("@users.noreply.github.com")), F.lit("No-Reply@x.org"), F.lit("7+codecov[bot]@users.noreply.github.com"), F.concat(F.lit("a"), k.cast("string"), F.lit("@x.org"))), (k % 5 + 1).cast("int"))
+    return c.select("c_custkey", T.placeholder_email(mail).alias("shared"), T.noreply_login(mail).alias("login"), T.is_bot(name, T.noreply_login(mail)).alias("bot"), T.masked_email(mail).alias("masked"))
+
+
 _A = N.ABBREVIATED
 _R = """WITH r AS (SELECT DISTINCT CASE WHEN p_partkey % 3 > 0 THEN 'sub/' ELSE '' END || p_brand || '/requirements.txt' AS path, unnest(string_split(lower(p_name), ' ')) AS name FROM part)"""
 _CONTROL = r"[\p{Cc}\p{Zl}\p{Zp}\x{061C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]"
@@ -149,9 +158,13 @@ _SPEC = "CASE WHEN page_id % 5 = 0 THEN '@' ELSE '' END || lower(regexp_replace(
 QUERIES = {
     "sentence_counts": sentence_counts, "unwritten_numbers": unwritten_numbers, "hook_texts": hook_texts, "wiki_links": wiki_links, "control_codes": control_codes, "canonical_props": canonical_props,
     "salted_keys": salted_keys, "package_roots": package_roots, "file_kinds": file_kinds, "routes": routes, "alias_lists": alias_lists, "word_runs": word_runs, "rotations": rotations, "remotes": remotes, "shown_texts": shown_texts,
-    "declared_packages": declared_packages, "detected_technologies": detected_technologies,
+    "address_flags": address_flags, "declared_packages": declared_packages, "detected_technologies": detected_technologies,
 }
 ORACLES = {
+    "address_flags": """
+WITH c AS (SELECT c_custkey, ['noreply@github.com', c_custkey || '+al-' || c_custkey || '@users.noreply.github.com', 'No-Reply@x.org', '7+codecov[bot]@users.noreply.github.com', 'a' || c_custkey || '@x.org'][c_custkey % 5 + 1] AS m FROM customer)
+SELECT c_custkey, c_custkey % 5 IN (0, 2) AS shared, CASE c_custkey % 5 WHEN 1 THEN 'al-' || c_custkey WHEN 3 THEN 'codecov[bot]' END AS login, c_custkey % 4 IN (0, 2) OR c_custkey % 5 = 3 AS bot,
+  left(m, 1) || '***' || substr(m, instr(m, '@')) AS masked FROM c""",
     "declared_packages": _R + " SELECT path, 'requirements' AS kind, 'pypi' AS ecosystem, name FROM r",
     "detected_technologies": _R + """, e AS (SELECT name, path, row_number() OVER (PARTITION BY name ORDER BY len(string_split(path, '/')), path) AS k FROM r),
 u AS (SELECT lower(split_part(p_name, ' ', 1)) AS name, count(DISTINCT p_type || '/' || (p_partkey % 50)) AS n FROM part GROUP BY 1)
