@@ -27,9 +27,9 @@ BROADCAST_IDS = 1_000_000
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs but those whose doc_id is in ids; rows without doc_id stay."""
-    gone = written(ids.select(F.col("doc_id").alias("gone")).distinct())
+    gone = written(ids.select(F.col("doc_id").alias("_gone")).distinct())
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(side, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows of one doc_id, one of each text that stays."""
     groups = written(cuckoo.exact_groups(docs))
     # rows that their doc_id does not tell apart are judged by text; the others by doc_id alone
-    shared = written(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("gone")))
-    odd = docs.join(shared, F.col("doc_id") == F.col("gone"), "left_semi").unionByName(docs.where("doc_id is null"))
+    shared = written(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_gone")))
+    odd = docs.join(shared, F.col("doc_id") == F.col("_gone"), "left_semi").unionByName(docs.where("doc_id is null"))
     digest = odd.select(F.struct(*[odd[c] for c in odd.columns]).alias("row"), F.sha2(cuckoo.normalised(odd["text"]), 256).alias("digest"), odd["doc_id"].alias("id"))
     stay = groups.where("kept").select(F.col("text_sha256").alias("digest"), F.col("keep_id").alias("stays")).distinct()
     one = digest.join(stay, "digest").where(F.col("id").eqNullSafe(F.col("stays"))).dropDuplicates(["digest"]).select("row.*")
