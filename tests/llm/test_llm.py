@@ -596,3 +596,21 @@ def test_pipeline(spark):
         docs = after
     out = P.run(spark, DATA)
     assert "copy_no" in out.columns and {r[0] for r in out.select("doc_id").collect()} <= {r[0] for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as P
+
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [(1, "a  b c d e f"), (1, "a b c d e f"), (1, "other text"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "z z"), (None, "z  z"), (3, None), (4, ""), (5, text), (6, text + " fifteen"), (7, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en"), "n_chars": F.lit(1), "gone": F.lit(2), "digest": F.lit(3), "stays": F.lit(4)})
+    one = P.drop_copies(spark, d, DATA)
+    assert one.columns == d.columns
+    got = sorted(((r["doc_id"], " ".join((r["text"] or "").split())) for r in one.collect()), key=str)
+    assert got == sorted([(1, "a b c d e f"), (1, "other text"), (None, "z z"), (3, ""), (5, text), (6, text + " fifteen"), (7, "x")], key=str)
+    two = P.drop_near_copies(spark, one, DATA)
+    assert two.columns == d.columns and {r["doc_id"] for r in two.collect()} == {1, None, 3, 5, 7}
+    assert P.drop_leaks(spark, two, DATA).count() == two.count()
+    none = d.limit(0)
+    for name, stage in P.STAGES:
+        assert stage(spark, none, DATA).count() == 0, name
