@@ -33,3 +33,10 @@ def micros(dollars: Column) -> Column:
 def cap(estimate: Column, remaining: Column) -> Column:
     """1.5 times the estimate, at most what remains; null where nothing does."""
     return F.when(remaining > 0, F.least(F.ceil(estimate * 1.5), remaining))
+
+
+def reserve_micros(model: Column, tin: Column, most: Column, batch: Column) -> Column:
+    """What to set aside for a call: its input at the dearer of the plain and the cache-writing rate, and a quarter of the longest output."""
+    zero = F.lit(0).cast("long")
+    out = 0.25 * most
+    return micros(F.greatest(usd(model, tin, out, zero, zero, batch), usd(model, zero, out, tin, zero, batch)))

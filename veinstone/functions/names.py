@@ -184,3 +184,22 @@ def hook_text(text: Column) -> Column:
 def is_calendar_day(day: Column) -> Column:
     """YYYY-MM-DD of a day that exists."""
     return F.coalesce(day.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(day, "yyyy-MM-dd").isNotNull(), F.lit(False))
+
+
+def writes_name(ground: Column, token: Column) -> Column:
+    """Whether a text holds a name as a whole: no letter, digit or _ goes on where the name begins or ends in one."""
+    edge = "[A-Za-z0-9_]"
+    head = F.when(token.rlike("^" + edge), f"(?<!{edge})").otherwise("")
+    tail = F.when(token.rlike(edge + "$"), f"(?!{edge})").otherwise("")
+    return F.regexp_like(ground, F.concat(head, F.lit("\\Q"), token, F.lit("\\E"), tail))
+
+
+def known_revisions(text: Column, known: Column, most: int = 1000) -> Column:
+    """The first distinct full hashes of a list, one a line, that are among known, in lower case."""
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.lower(F.trim(x)))
+    return F.slice(F.array_distinct(F.filter(lines, lambda x: x.rlike("^[0-9a-f]{40}$") & F.array_contains(known, x))), 1, most)
+
+
+def judged_score(essential: Column, contradicts: Column) -> Column:
+    """1 if all essential facts are there and none is contradicted, else 0."""
+    return F.when(F.forall(essential, lambda x: x) & ~contradicts, 1).otherwise(0)
