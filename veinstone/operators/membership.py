@@ -40,6 +40,25 @@ def churn(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.select("feature", "moved", "base", rate.alias("churn"))
 
 
+def placement_votes(wanted: DataFrame, members: DataFrame, imports: DataFrame, changes: DataFrame) -> DataFrame:
+    """(path, signal, feature, votes) for each of wanted(path): members(path, feature) that it imports or that import it, from
+    imports(src, dst); that change with it, from changes(a, b, n), n votes each; and of its nearest folder that holds any."""
+    w, m = wanted.select("path").distinct(), members.select(F.col("path").alias("other"), "feature")
+    both = lambda d, a, b, *more: d.select(F.col(a).alias("path"), F.col(b).alias("other"), *more).union(d.select(F.col(b).alias("path"), F.col(a).alias("other"), *more))
+    tally = lambda d, signal, n: d.join(w, "path", "left_semi").join(m, "other").groupBy("path", F.lit(signal).alias("signal"), "feature").agg(n.cast("long").alias("votes"))
+    one = tally(both(imports, "src", "dst").distinct(), "imports", F.count(F.lit(1)))
+    two = tally(both(changes, "a", "b", "n"), "changes", F.sum("n"))
+    parts = F.split("path", "/")
+    prefix = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("folder")))
+    inside = lambda d: d.where(F.size(parts) > 1).withColumn("p", F.explode(prefix))
+    # a folder's features are counted before they meet the paths below it
+    held = inside(members.select("path", "feature")).groupBy(F.col("p.folder").alias("folder"), "feature").agg(F.count(F.lit(1)).alias("votes"))
+    near = inside(w).select("path", "p.depth", "p.folder").join(held, "folder")
+    deepest = near.groupBy("path").agg(F.max("depth").alias("depth"))
+    three = near.join(deepest, ["path", "depth"]).select("path", F.lit("folder").alias("signal"), "feature", "votes")
+    return one.union(two).union(three)
+
+
 def placed(signals: DataFrame) -> DataFrame:
     """(path, state, features) of new files from votes (path, signal, feature, votes).
 

@@ -104,6 +104,17 @@ def new_file_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership.placed(votes)
 
 
+def placement_by_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every tenth part would go, by what it refers to, what it is ordered with and its nearest folder."""
+    p, k = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type", "p_size"), F.col("p_partkey")
+    path = F.concat_ws("/", "p_brand", "p_type", F.concat(F.lit("p"), k.cast("string")))
+    named = p.select(k.alias("key"), path.alias("path"), F.concat_ws("-", "p_brand", (F.col("p_size") % 3).cast("string")).alias("feature"))
+    imports = named.select("key", F.col("path").alias("src")).join(named.select((F.col("key") - 1).alias("key"), F.col("path").alias("dst")), "key").select("src", "dst")
+    line = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").join(named.select(F.col("key").alias("l_partkey"), "path"), "l_partkey")
+    pairs = cochange_pairs(line.select(F.col("l_orderkey").alias("grp"), F.col("path").alias("item")), SWEEP).select("a", "b", F.col("n_shared").alias("n"))
+    return membership.placed(membership.placement_votes(named.where("key % 10 = 0"), named.where("key % 10 > 0"), imports, pairs))
+
+
 def graph_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers are files; each refers to custkey // 3 and custkey // 2."""
     c = table(spark, sf_dir, "customer", "c_custkey")
@@ -191,6 +202,7 @@ QUERIES = {
     "membership_churn": membership_churn,
     "drifted_features": drifted_features,
     "new_file_placement": new_file_placement,
+    "placement_by_signals": placement_by_signals,
     "entry_points": graph_entry_points,
     "connected_components": linked_customers,
     "ancestors_closure": ancestors_closure,
@@ -218,6 +230,17 @@ SELECT m.path, m.feature, floor(CASE WHEN m.role = 'core' THEN 1.0 ELSE 0.5 END
 WITH v AS (SELECT l_suppkey AS path, o_orderstatus AS signal, c_mktsegment AS feature, count(*) AS votes FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   WHERE l_returnflag = 'R' AND o_orderstatus IN ('F', 'O', 'P') GROUP BY 1, 2, 3),
 t AS (SELECT DISTINCT path, feature FROM (SELECT *, max(votes) OVER (PARTITION BY path, signal) AS top FROM v) WHERE votes = top)
+SELECT path, CASE WHEN count(*) = 1 THEN 'decided' ELSE 'disputed' END AS state, string_agg(feature, ',' ORDER BY feature) AS features FROM t GROUP BY path""",
+    "placement_by_signals": f"""
+WITH n AS (SELECT p_partkey AS k, p_brand || '/' || p_type AS d, p_brand AS b, p_brand || '/' || p_type || '/p' || p_partkey AS path, p_brand || '-' || (p_size % 3) AS feature FROM part),
+m AS (SELECT * FROM n WHERE k % 10 > 0), w AS (SELECT * FROM n WHERE k % 10 = 0),
+v1 AS (SELECT w.path, 'i' AS signal, m.feature, count(*) AS votes FROM w JOIN m ON m.k IN (w.k - 1, w.k + 1) GROUP BY 1, 2, 3),
+l AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS k FROM lineitem JOIN part ON p_partkey = l_partkey), s AS (SELECT g FROM l GROUP BY g HAVING count(*) <= {SWEEP}),
+v2 AS (SELECT w.path, 'c', m.feature, count(*) FROM w JOIN l x ON x.k = w.k JOIN s ON s.g = x.g JOIN l y ON y.g = x.g JOIN m ON m.k = y.k GROUP BY 1, 2, 3),
+v3 AS (SELECT w.path, 'f', m.feature, count(*) FROM w JOIN m ON m.d = w.d GROUP BY 1, 2, 3
+  UNION ALL SELECT w.path, 'f', m.feature, count(*) FROM w JOIN m ON m.b = w.b WHERE w.d NOT IN (SELECT d FROM m) GROUP BY 1, 2, 3),
+v AS (SELECT * FROM v1 UNION ALL SELECT * FROM v2 UNION ALL SELECT * FROM v3),
+t AS (SELECT DISTINCT path, feature FROM (SELECT *, max(votes) OVER (PARTITION BY path, signal) AS top FROM v) WHERE votes = top)
 SELECT path, CASE WHEN count(*) = 1 THEN 'decided' ELSE 'disputed' END AS state, string_agg(feature, ',' ORDER BY feature) AS features FROM t GROUP BY path""",
     "entry_points": """
 WITH e AS (SELECT c_custkey AS src, c_custkey // 3 AS dst FROM customer UNION SELECT c_custkey, c_custkey // 2 FROM customer)
