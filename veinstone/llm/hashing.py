@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -17,7 +19,7 @@ _VALUE[65:91] = _VALUE[97:123]
 _BASE = U64(0x9E3779B97F4A7C15)
 _ROLL = _RNG.integers(1, 2**63, 16, dtype=np.int64).astype(U64) | U64(1)
 #: Texts are hashed in pieces of about so many bytes, cut at white space, to bound memory.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,6 +80,20 @@ def grouped(texts: list[bytes], size: int = PIECE) -> Iterator[tuple[int, int]]:
         yield i, len(texts)
 
 
+def slices(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(i, j, texts i to j - 1 in UTF-8) of a column of strings, about `size` bytes at a time, at least one text; null is empty.
+
+    Only one slice of the batch exists as Python objects at a time."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    i, total = 0, 0
+    for j, n in enumerate([*lengths.tolist(), None]):
+        if j > i and (n is None or total + n > size):
+            yield i, j, [t or b"" for t in column.slice(i, j - i).cast(kind).to_pylist()]
+            i, total = j, 0
+        total += n or 0
+
+
 def batch_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words of all texts, how many each text has)."""
     if len(texts) == 1:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from veinstone.llm.bitmap import KeyBitmap
 from veinstone.operators.graph import components
-from veinstone.llm.hashing import U64, batch_words, distinct, grouped, mix, shingles
+from veinstone.llm.hashing import U64, batch_words, distinct, mix, shingles, slices
 from veinstone.operators.lineage import written
 
 #: Similarity as a fraction: 80 / 100.
@@ -122,11 +122,10 @@ def signatures(h: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> tuple[np.
     return np.concatenate(out_s), np.concatenate(out_o), np.concatenate(out_k)
 
 
-def _sets(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of texts: (first, last, hashes, owner, sizes, class), class the hash of the whole set, 0 if empty."""
-    raw = [t.encode() if t else b"" for t in texts]
-    for i, j in grouped(raw):
-        h, owner = distinct(*shingles(*batch_words(raw[i:j])))
+    for i, j, raw in slices(texts):
+        h, owner = distinct(*shingles(*batch_words(raw)))
         sizes = np.bincount(owner, minlength=j - i)
         total = np.zeros(j - i, U64)
         np.add.at(total, owner, mix(h))
@@ -163,7 +162,7 @@ def classes(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             n, c, k = [np.zeros(0, np.int64)], [np.zeros(0, U64)], []
-            for _, _, h, owner, sizes, cls in _sets(batch.column(1).to_pylist()):
+            for _, _, h, owner, sizes, cls in _sets(batch.column(1)):
                 n.append(sizes)
                 c.append(cls)
                 k += parity_sketches(h, owner, sizes)
@@ -179,7 +178,7 @@ def signature_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             seen = np.zeros(0, U64)
-            for _, _, h, owner, sizes, cls in _sets(batch.column(0).to_pylist()):
+            for _, _, h, owner, sizes, cls in _sets(batch.column(0)):
                 _, first = np.unique(cls, return_index=True)
                 fresh = np.zeros(len(cls), bool)
                 fresh[first] = True
@@ -285,7 +284,7 @@ def _elements(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 continue
             doc, text = doc.take(pa.array(keep)), text.take(pa.array(keep))
             blobs = []
-            for _, _, h, owner, sizes, _ in _sets(text.to_pylist()):
+            for _, _, h, owner, sizes, _ in _sets(text):
                 ends = np.cumsum(sizes)
                 blobs += [h[e - z : e].tobytes() for e, z in zip(ends, sizes)]
             yield pa.RecordBatch.from_arrays([doc, pa.array(blobs, pa.binary())], ["doc_id", "elements"])

@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veinstone.llm.bitmap import KeyBitmap
-from veinstone.llm.hashing import PIECE, U64, grouped, mix, word_hashes
+from veinstone.llm.hashing import U64, grouped, mix, slices, word_hashes
 
+#: Texts are read about so many bytes at a time; a word takes some thirty numbers of eight bytes on the way.
+PIECE = 1 << 18
 WINDOW = 8
 #: A window must have so many plain words.
 PLAIN = 4
@@ -64,7 +66,7 @@ def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Both hashes are the same for plain words. A word that begins with a digit, or is a number in words, is a number. A
     capitalised, not all-capital word is a name if no sentence begins with it, or it is a known first name."""
     templates, values, counts = [], [], []
-    for i, j in grouped(texts):
+    for i, j in grouped(texts, PIECE):
         if len(texts[i]) > 2 * PIECE:  # one long text, piece by piece
             data, at, fresh, n = texts[i], 0, True, 0
             while at < len(data):
@@ -218,9 +220,8 @@ def _table(frame: DataFrame, id_: str, sizes: list[int] | None, known) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()]
-            for i, j in grouped(texts):
-                out = list(_found(ids[i:j], texts[i:j], sizes, None if known is None else known.value))
+            for i, j, texts in slices(batch.column(1), PIECE):
+                out = list(_found(batch.column(0).slice(i, j - i).to_pylist(), texts, sizes, None if known is None else known.value))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
