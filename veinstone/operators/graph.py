@@ -118,7 +118,7 @@ def rolled_up(edges: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def _moved(adj: DataFrame, state: DataFrame, total: float, resolution: float, turn: int) -> DataFrame:
-    """state(node, degree, community), after the nodes whose turn it is moved where modularity gains most.
+    """state(node, degree, community, moved), after the nodes whose turn it is moved where modularity gains most.
 
     adj(node, other, w) holds each edge both ways, without loops. Which nodes may move changes by hash from turn to turn, so that neighbours
     seldom swap places; a lone node joins another lone one only if that has the smaller name."""
@@ -134,15 +134,15 @@ def _moved(adj: DataFrame, state: DataFrame, total: float, resolution: float, tu
     # of equal gains the smaller name
     offer = F.min(F.when(allowed, F.struct((-gain).alias("loss"), F.col("to").alias("to"))))
     best = near.groupBy("node").agg(offer.alias("offer"), F.coalesce(stay, alone).alias("stay")).where(-F.col("offer.loss") > F.col("stay") + 1e-12)
-    return state.join(best.select("node", "offer.to"), "node", "left").select("node", "degree", F.coalesce("to", "community").alias("community"))
+    return state.join(best.select("node", "offer.to"), "node", "left").select("node", "degree", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved"))
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, tolerance: float = 1e-6, max_turns: int = 24, max_levels: int = 12) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, tolerance: float = 0.01, max_turns: int = 12, max_levels: int = 12) -> DataFrame:
     """(node, community) by Louvain's method on edges(a, b, weight); community is the smallest node in it.
 
     Local moving runs as rounds of joins and sums over all edges: link weights to neighbouring communities, totals of communities,
-    the best move of each node whose turn it is. A level ends when two turns one after the other bring less than `tolerance` of modularity; communities then become nodes, with
-    the summed weights as edges, until a level changes nothing. Each turn is written to the shared folder. No node's neighbours, component or
+    the best move of each node whose turn it is. A level ends when in two turns one after the other no more than the share `tolerance` of its nodes move; if modularity grew, communities then become nodes, with
+    the summed weights as edges, until a level brings nothing. Each turn is written to the shared folder. No node's neighbours, component or
     community have to fit one task. The same edges give the same communities. Null ends and weights not above 0 are left out.
     """
     clean = edges.where("a is not null and b is not null and weight > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("w"))
@@ -153,20 +153,16 @@ def louvain(edges: DataFrame, resolution: float = 1.0, tolerance: float = 1e-6,
     for step in range(max_levels):
         adj = written(level.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"), "w").select("e.*", "w"))
         state = written(level.select(ends(level).alias("node"), "w").groupBy("node").agg(F.sum("w").alias("degree")).withColumn("community", F.col("node")))
-        best, score, idle = state, _quality(level, state, total, resolution), 0
-        first = score
+        first, nodes, idle = _quality(level, state, total, resolution), state.count(), 0
         for turn in range(max_turns):
-            state = written(_moved(adj, state, total, resolution, step * max_turns + turn))
-            now = _quality(level, state, total, resolution)
-            idle = 0 if now > score + tolerance else idle + 1
-            if now > score:
-                best, score = state, now
+            state = written(_moved(adj, state.select("node", "degree", "community"), total, resolution, step * max_turns + turn))
+            idle = idle + 1 if state.where("moved").count() <= tolerance * nodes else 0
             if idle == 2:
                 break
-        if score <= first:
+        if _quality(level, state, total, resolution) <= first:
             break
         # named by the smallest node of each community
-        to = written(best.join(best.groupBy("community").agg(F.min("node").alias("to")), "community").select("node", "to"))
+        to = written(state.join(state.groupBy("community").agg(F.min("node").alias("to")), "community").select("node", "to"))
         names = written(names.join(to.withColumnRenamed("node", "community"), "community").select("node", F.col("to").alias("community")))
         level = level.join(to.toDF("a", "x"), "a").join(to.toDF("b", "y"), "b").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w"))
         level = written(level)
