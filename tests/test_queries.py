@@ -39,7 +39,9 @@ def test_entry_without_the_llm_folders(tmp_path):
         gone = shutil.ignore_patterns("llm", ".git", "__pycache__", *([] if keep_pipeline else ["corpus_pipeline.py"]))
         shutil.copytree(root, copy, ignore=gone)
         code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and not any(k.startswith('op') for k in q); print(len(q))"
-        env = {**os.environ, "PYTHONPATH": str(copy)}
+        # the copy comes first, then what this process inherited without the repository itself
+        inherited = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and os.path.abspath(p) != root]
+        env = {**os.environ, "PYTHONPATH": os.pathsep.join([str(copy), *inherited])}
         out = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True)
         assert out.returncode == 0 and int(out.stdout) == len(QUERIES), out.stderr
         out = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider"], cwd=copy, env=env, capture_output=True, text=True)
