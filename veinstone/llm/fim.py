@@ -123,8 +123,11 @@ def transformed(docs: DataFrame, percent: int = 50, spm_percent: int = 80, seed:
     new = ["n", "form", "prefix_chars", "middle_chars", "output"]
     kept = docs.drop(*[c for c in docs.columns if c in new])
     digits = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
-    draws = [F.conv(F.substring("_digits", 1 + 8 * k, 8), 16, 10).cast("long").alias(f"_h{k}") for k in range(4)]
-    given = kept.withColumn("_digits", digits).select(*[kept[c] for c in kept.columns], *draws)
+    tag = "_h"
+    while any(c.startswith(tag) for c in kept.columns):
+        tag = "_" + tag
+    draws = [F.conv(F.substring(digits, 1 + 8 * k, 8), 16, 10).cast("long").alias(f"{tag}{k}") for k in range(4)]
+    given = kept.select("*", *draws)
     names, width = kept.columns, len(kept.columns)
     of = names.index("text")
 
