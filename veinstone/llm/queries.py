@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm import ann, backoff, cuckoo, fim, langid, mixing, partenum, pii, quality, templates, tokens, urls
+from veinstone.llm import ann, backoff, crosstok, cuckoo, fim, langid, mixing, partenum, pii, quality, templates, tokens, urls
 from veinstone.sources.tables import table
 
 
@@ -80,6 +80,14 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's tokens of two vocabularies aligned, and its links weighed by how many documents hold them."""
+    import public_tokenizers
+
+    paths = [str(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return crosstok.scored(table(spark, sf_dir, "documents", "doc_id", "text"), *paths)
+
+
 def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth one, through learned partitions."""
     return ann.search(ann.build(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20))
@@ -97,6 +105,7 @@ QUERIES = {
     "op9_template_leaks": op9_template_leaks,
     "op10_token_counts": op10_token_counts,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_cross_tokenizer": op12_cross_tokenizer,
     "op13_nearest": op13_nearest,
 }
 ORACLES = {
