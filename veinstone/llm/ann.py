@@ -355,7 +355,7 @@ def search(index: Index) -> DataFrame:
                     out["best"].append([{"score": s, "vec_id": v} for s, v in zip(score[a:b].tolist(), named[a:b].tolist())])
                 out["h1"] += two["h1"].iloc[i : i + STEP].to_list()
                 out["h2"] += two["h2"].iloc[i : i + STEP].to_list()
-        return pd.DataFrame(out)
+        return pd.DataFrame({name: pd.Series(x, dtype=object) for name, x in out.items()})
 
     found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(compare, schema)
     each = found.select("h1", "h2", F.explode("best").alias("b")).select("h1", "h2", "b.vec_id", "b.score")
