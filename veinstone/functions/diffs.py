@@ -1,66 +1,117 @@
-"""Sequence and word differences (vectorised: order-dependent, so no column expression gives them)."""
+"""Sequence and word differences. Which elements stay depends on all that follow, so pandas functions find them, a pair of cells at a time."""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from itertools import zip_longest
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Beyond so many cells everything counts as deleted, then inserted.
+#: Fixed value: where (old + 1) * (new + 1) is more, everything counts as deleted, then inserted.
 MAX_CELLS = 1_000_000
 
 
-def diff(old: list, new: list) -> list[tuple[str, str]]:
-    """(op, value) of a longest-common-subsequence difference: =, - or +; where both would do, a deletion comes first."""
-    n, m = len(old), len(new)
-    if (n + 1) * (m + 1) > MAX_CELLS:
-        return [("-", x) for x in old] + [("+", x) for x in new]
-    table = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = table[i], table[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if old[i] == new[j] else max(below[j], row[j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and old[i] == new[j]:
-            out.append(("=", old[i]))
-            i, j = i + 1, j + 1
-        elif i < n and (j == m or table[i + 1][j] >= table[i][j + 1]):
-            out.append(("-", old[i]))
-            i += 1
-        else:
-            out.append(("+", new[j]))
+def kept_pairs(old: list, new: list) -> list[tuple[int, int]]:
+    """Which elements a longest common subsequence keeps, as places in both, in order.
+
+    The lengths of the common subsequences of old[i:] with every end of new are one integer a row: bit k is 0 where the length grows as
+    new's end gets longer by its k-th element from behind (bit-parallel, in words of the machine). An element of old is kept if it stands in both here, or if
+    without it the length would be less; then with its next occurrence in new."""
+    m, where = len(new), {}
+    for j, x in enumerate(new):
+        where.setdefault(x, []).append(j)
+    bits = {x: sum(1 << (m - 1 - j) for j in at) for x, at in where.items()}
+    full = (1 << m) - 1
+    rows = [full]
+    for x in reversed(old):
+        v, hit = rows[-1], rows[-1] & bits.get(x, 0)
+        rows.append(((v + hit) | (v - hit)) & full)
+    rows.reverse()
+    out, j = [], 0
+    for i, x in enumerate(old):
+        if j == m:
+            break
+        mask = (1 << (m - j)) - 1
+        needed = (rows[i] & mask).bit_count() < (rows[i + 1] & mask).bit_count()  # fewer ones: longer
+        if new[j] == x or needed:
+            at = where[x]
+            j = at[bisect_left(at, j)]
+            out.append((i, j))
             j += 1
     return out
 
 
+def runs(old: list, new: list) -> list[tuple[str, list]]:
+    """(op, elements) in order: = kept, - deleted, + inserted. Between two kept elements the deleted come before the inserted."""
+    pairs = [] if (len(old) + 1) * (len(new) + 1) > MAX_CELLS else kept_pairs(old, new)
+    out: list[tuple[str, list]] = []
+    i = j = 0
+    for a, b in [*pairs, (len(old), len(new))]:
+        if i < a:
+            out.append(("-", old[i:a]))
+        if j < b:
+            out.append(("+", new[j:b]))
+        if a < len(old) and b < len(new):
+            if out and out[-1][0] == "=":
+                out[-1][1].append(old[a])
+            else:
+                out.append(("=", [old[a]]))
+        i, j = a + 1, b + 1
+    return out
+
+
+def _elements(cell) -> list:
+    return [] if cell is None else cell.split("\n") if isinstance(cell, str) else list(cell)
+
+
+def _words(cell) -> list[str]:
+    return re.findall(r"\s+|\S+", cell or "")
+
+
+def _function(old: Column, new: Column, cut, shape, kind: str) -> Column:
+    """cut makes a list of what a cell holds, shape rows of the runs of two lists."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([list(shape(runs(cut(x), cut(y)))) for x, y in zip(a, b)], dtype=object)
+
+    return F.pandas_udf(run, kind)(old, new)
+
+
+def diff(old: list, new: list) -> list[tuple[str, str]]:
+    """(op, value), one for each element."""
+    return [(op, v) for op, values in runs(old, new) for v in values]
+
+
 _OPS = "array<struct<op:string,value:string>>"
 
 
 def line_diff(old: Column, new: Column) -> Column:
     """Array of (op, value) between two arrays of strings, or two texts by line."""
+    return _function(old, new, _elements, lambda found: ({"op": op, "value": v} for op, values in found for v in values), _OPS)
 
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        cut = lambda x: [] if x is None else x.split("\n") if isinstance(x, str) else list(x)
-        return pd.Series([[{"op": o, "value": v} for o, v in diff(cut(x), cut(y))] for x, y in zip(a, b)])
 
-    return F.pandas_udf(run, _OPS)(old, new)
+def word_diff(old: Column, new: Column) -> Column:
+    """The same by words and white space, one entry for each run."""
+    return _function(old, new, _words, lambda found: ({"op": op, "value": "".join(values)} for op, values in found), _OPS)
 
 
-def word_diff(old: Column, new: Column) -> Column:
-    """The same by words and white space, runs of one op joined."""
-    import re
+def _beside(found: list[tuple[str, list]]):
+    """Rows of (kind, before, after); found ends each gap before the next kept run."""
+    for k, (op, values) in enumerate(found):
+        ahead = found[k + 1][1] if op == "-" and k + 1 < len(found) and found[k + 1][0] == "+" else []
+        if op == "=":
+            yield from ({"kind": "context", "before": v, "after": v} for v in values)
+        elif op == "-":
+            for a, b in zip_longest(values, ahead):
+                yield {"kind": "changed" if a is not None and b is not None else "removed" if b is None else "added", "before": a, "after": b}
+        elif not k or found[k - 1][0] != "-":
+            yield from ({"kind": "added", "before": None, "after": v} for v in values)
 
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            merged: list[dict] = []
-            for op, v in diff(re.findall(r"\s+|\S+", x or ""), re.findall(r"\s+|\S+", y or "")):
-                if merged and merged[-1]["op"] == op:
-                    merged[-1]["value"] += v
-                else:
-                    merged.append({"op": op, "value": v})
-            out.append(merged)
-        return pd.Series(out)
-
-    return F.pandas_udf(run, _OPS)(old, new)
+
+def changed_rows(old: Column, new: Column) -> Column:
+    """Array of (kind, before, after) between two arrays of strings: context rows; deleted elements beside the inserted ones that follow them, in order,
+    as changed; what is left over of either as removed or added."""
+    return _function(old, new, _elements, _beside, "array<struct<kind:string,before:string,after:string>>")
