@@ -129,3 +129,16 @@ def test_query_same_as_plain_version(spark, paths):
     got = [tuple(r) for r in Q.op12_cross_tokenizer(spark, DATA).collect()]
     assert sorted(got) == sorted(plain(rows, paths))
     assert crosstok.scored(spark.createDataFrame([], "doc_id long, text string"), *paths).count() == 0
+
+
+def test_words_of_large_groups_and_a_small_memory(paths, monkeypatch):
+    v = crosstok.Vocabularies(*paths)
+    some = [t or "" for t in texts()]
+    want = crosstok.Words(v).aligned(some)
+    monkeypatch.setattr(crosstok, "LARGE_GROUP", 0)
+    monkeypatch.setattr(crosstok, "REMEMBERED", 10)
+    w = crosstok.Words(v)
+    for i, t in enumerate(some):
+        numbers, shows, pairs, times = w.aligned([t])
+        assert numbers[0].tolist()[:4] == want[0][i].tolist()[:4] and shows == [want[1][i]]
+        assert pairs[0].tolist() == want[2][i].tolist() and times[0].tolist() == want[3][i].tolist()

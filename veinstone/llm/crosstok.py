@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +31,10 @@ SLICE = 1 << 19
 #: A table of at most so many pairs of ids is sent to all executors; a larger one is joined by shuffle.
 BROADCAST_PAIRS = 1_500_000
 #: A pair of ids as one number: a * WIDTH + b.
-WIDTH = 1 << 24
+WIDTH = 1 << 20
+
+#: Groups of more links are counted by distinct ids.
+LARGE_GROUP = 1 << 12
 
 _NONE = np.zeros(0, np.int64)
 
@@ -124,13 +129,17 @@ class Vocabularies:
         pieces = [self.two.id_to_piece(i) for i in range(self.two.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.two.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
+        if max(len(self.a_bytes), len(self.b_bytes)) > WIDTH:
+            raise ValueError("a vocabulary has too many ids")
+        #: What stands for each token in the text of groups: a's within and at the end of a side, then b's.
+        self.shown = np.array([f"{i}{mark}" for n, marks in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for i in range(n) for mark in marks], object)
         #: Characters that stand side by side in some piece: only between those can pieces join.
         self.joined = {p[k : k + 2].replace("▁", " ") for p in pieces for k in range(len(p) - 1)}
-        if any(x[0] != " " and x[1] == " " for x in self.joined) or "\n" in "".join(self.joined):
+        if any(x[0] != " " and x[1] == " " for x in self.joined) or any("\n" in p for p in pieces):
             raise ValueError(f"{b_path}: pieces go on over the end of a word")
 
     def encode_a(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.one.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.one.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_b(self, texts: list[str]) -> list[list[int]]:
         """The library puts a space before each text but the empty one. Where more follows a first space, that one is left out; else a line feed, which joins
@@ -165,19 +174,32 @@ def _vocabularies(a_path: str, b_path: str) -> Vocabularies:
     return Vocabularies(a_path, b_path)
 
 
+#: White space and what follows up to the next space or line feed that stands behind something else.
+_WORD = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*)?|\s+")
+
+
 def words(text: str) -> list[str]:
-    """A space and the text, cut before each space that follows no white space: there tokens of both kinds end, and what follows is
+    """A space and the text, cut before each space or line feed that follows no white space: there tokens of both kinds end, and what follows is
     tokenised as if it stood alone."""
-    parts = text.split(" ")
-    out, held = [], " " + parts[0]
-    for p in parts[1:]:
-        if held[-1].isspace():
-            held += " " + p
-        else:
-            out.append(held)
-            held = " " + p
-    out.append(held)
-    return out
+    return _WORD.findall(" " + text)
+
+
+def _by_owner(owner: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by owner (below 2^23) and pair, an owner's repeated pairs added up."""
+    key = (owner << 40) | pairs
+    order = np.argsort(key)
+    key, times = key[order], times[order]
+    if len(key):
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, times = key[new], np.add.reduceat(times, new)
+    return key >> 40, key & ((1 << 40) - 1), times
+
+
+def _pieces(items: list, sizes: np.ndarray) -> Iterator[list]:
+    at = 0
+    for n in sizes.tolist():
+        yield items[at : at + n]
+        at += n
 
 
 class Words:
@@ -191,61 +213,79 @@ class Words:
         self.known: dict[str, int] = {}
         self.chars = 0
         self.texts: list[str] = []
-        self.numbers = np.zeros((1024, 5), np.int64)  # n_a, n_b, n_groups, n_links, whether the bytes are the word's
-        self.first = np.zeros(1025, np.int64)
-        self.pairs, self.times = np.zeros(4096, np.int64), np.zeros(4096, np.int64)
+        self.numbers = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links, whether the bytes are the word's
+        self.first = np.zeros(1, np.int64)
+        self.pairs, self.times = _NONE, _NONE
 
     def learn(self, fresh: list[str]) -> None:
-        for word, a, b in zip(fresh, self.v.encode_a(fresh), self.v.encode_b(fresh)):
-            raw = word.encode()
-            at = len(self.texts)
-            self.known[word] = at
-            self.chars += len(word)
-            same = b"".join([self.v.a_bytes[i] for i in a]) == raw and b"".join([self.v.b_bytes[i] for i in b]) == raw
-            groups = ()
-            if same:
-                x, y = np.array(a, np.int64), np.array(b, np.int64)
-                f = fragment(Open(x, np.cumsum(self.v.a_size[x]), y, np.cumsum(self.v.b_size[y])))
-                groups = (f.head, *f.groups)
-            self.texts.append(shown(groups))
-            pairs, times = linked(groups)
-            if at + 1 >= len(self.numbers):
-                self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)])
-                self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-            self.numbers[at] = len(a), len(b), len(groups), int(times.sum()), same
-            begin = self.first[at]
-            end = self.first[at + 1] = begin + len(pairs)
-            while end > len(self.pairs):
-                self.pairs, self.times = (np.concatenate([z, np.zeros_like(z)]) for z in (self.pairs, self.times))
-            self.pairs[begin:end], self.times[begin:end] = pairs, times
+        """All words at once: as each word has as many bytes in both vocabularies, offsets over all of them are comparable."""
+        a_ids, b_ids = self.v.encode_a(fresh), self.v.encode_b(fresh)
+        raw = [w.encode() for w in fresh]
+        a_of, b_of = self.v.a_bytes.__getitem__, self.v.b_bytes.__getitem__
+        same = np.array([b"".join(map(a_of, a)) == r and b"".join(map(b_of, b)) == r for a, b, r in zip(a_ids, b_ids, raw)])
+        if not same.all():
+            none: list[int] = []
+            a_ids, b_ids = ([x if ok else none for x, ok in zip(ids, same.tolist())] for ids in (a_ids, b_ids))
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a_ids, b_ids))
+        a_end, b_end = np.cumsum(self.v.a_size[a]), np.cumsum(self.v.b_size[b])
+        ends = np.intersect1d(a_end, b_end, assume_unique=True)
+        in_a, in_b = np.searchsorted(ends, a_end), np.searchsorted(ends, b_end)
+        n_a, n_b = np.bincount(in_a, minlength=len(ends)), np.bincount(in_b, minlength=len(ends))
+        word_end = np.cumsum([len(r) if ok else 0 for r, ok in zip(raw, same)])
+        of = np.searchsorted(word_end, ends)  # a group's word
+        # each a with each b of its group; of large groups repeated ids are counted first
+        large = n_a * n_b > LARGE_GROUP
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        many = np.where(large[in_a], 0, n_b[in_a])
+        other = np.repeat(first_b[in_a], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        words_, pairs, times = [np.repeat(of[in_a], many)], [np.repeat(a, many) * WIDTH + b[other]], [np.ones(int(many.sum()), np.int64)]
+        for g in np.flatnonzero(large).tolist():
+            p, t = linked([Open(a[first_a[g] : first_a[g] + n_a[g]], _NONE, b[first_b[g] : first_b[g] + n_b[g]], _NONE)])
+            words_.append(np.full(len(p), of[g]))
+            pairs.append(p)
+            times.append(t)
+        word, pair, time = _by_owner(np.concatenate(words_), np.concatenate(pairs), np.concatenate(times))
+        n = len(fresh)
+        per = lambda x: np.bincount(of, x, n).astype(np.int64)
+        numbers = np.stack([[len(x) for x in a_ids], [len(x) for x in b_ids], np.bincount(of, minlength=n), per(n_a * n_b), same], axis=1).astype(np.int64)
+        at = len(self.texts)
+        self.numbers = np.concatenate([self.numbers, numbers])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(word, minlength=n))])
+        self.pairs, self.times = np.concatenate([self.pairs, pair]), np.concatenate([self.times, time])
+        # each token's text with what follows it: a comma within its side of a group, | behind the a side, ; behind the b side
+        last_a, last_b = (np.append(x[1:] != x[:-1], True) if len(x) else np.zeros(0, bool) for x in (in_a, in_b))
+        codes = np.zeros(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + first_b[in_a]] = 2 * a + last_a
+        codes[np.arange(len(b)) + (first_a + n_a)[in_b]] = 2 * len(self.v.a_bytes) + 2 * b + last_b
+        self.texts += ["".join(x)[:-1] for x in _pieces(self.v.shown[codes].tolist(), numbers[:, 0] + numbers[:, 1])]
+        self.known.update(zip(fresh, range(at, at + n)))
+        self.chars += sum(map(len, fresh))
 
     def aligned(self, texts: list[str]) -> tuple[np.ndarray, list[str], list[np.ndarray], list[np.ndarray]]:
         """(numbers, groups as text, pairs, times) of each text, composed of its words."""
         if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.forget()
         cut = [words(t) if t else [] for t in texts]
-        self.learn(list({w for ws in cut for w in ws}.difference(self.known)))
+        fresh = {w for ws in cut for w in ws}.difference(self.known)
+        if fresh:
+            self.learn(list(fresh))
         at = [[self.known[w] for w in ws] for ws in cut]
-        flat = np.array([i for ids in at for i in ids], np.int64)
-        owner = np.repeat(np.arange(len(texts)), [len(ids) for ids in at])
-        numbers = np.zeros((len(texts), 5), np.int64)
-        np.add.at(numbers, owner, self.numbers[flat])
-        fine = numbers[:, 4] == [len(ids) for ids in at]
+        sizes = np.array([len(ids) for ids in at])
+        flat = np.fromiter(chain.from_iterable(at), np.int64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        sums = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(self.numbers[flat], axis=0)])
+        ends = np.cumsum(sizes)
+        numbers = sums[ends] - sums[ends - sizes]
+        fine = numbers[:, 4] == sizes
         numbers[~fine] = 0
         shows = [";".join([self.texts[i] for i in ids]) if ok else "" for ids, ok in zip(at, fine.tolist())]
         # links: of each text's distinct words, as often as the word occurs
         keep = fine[owner]
         key, n = np.unique(owner[keep] * len(self.texts) + flat[keep], return_counts=True)
-        owner, word = np.divmod(key, len(self.texts))
+        owner, word = np.divmod(key, max(1, len(self.texts)))
         many = self.first[word + 1] - self.first[word]
         place = np.repeat(self.first[word], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        owner, pairs, times = np.repeat(owner, many), self.pairs[place], self.times[place] * np.repeat(n, many)
-        order = np.lexsort((pairs, owner))
-        owner, pairs, times = owner[order], pairs[order], times[order]
-        if len(pairs):
-            new = np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])])
-            times = np.add.reduceat(times, np.flatnonzero(new))
-            owner, pairs = owner[new], pairs[new]
+        owner, pairs, times = _by_owner(np.repeat(owner, many), self.pairs[place], self.times[place] * np.repeat(n, many))
         ends = np.searchsorted(owner, np.arange(1, len(texts)))
         return numbers, shows, np.split(pairs, ends), np.split(times, ends)
 
