@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from veinstone.plans import checks, cochange, graphs, ledgers, people, prose, sequences, stored, texts, updates
+from veinstone.plans import checks, cochange, evolution, graphs, ledgers, people, prose, sequences, stored, texts, updates
 
-_MODULES = (cochange, graphs, sequences, texts, ledgers, updates, people, prose, checks, stored)
+_MODULES = (cochange, graphs, sequences, texts, ledgers, updates, people, prose, checks, stored, evolution)
 
 
 def queries() -> dict[str, Callable]:
