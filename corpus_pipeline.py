@@ -46,14 +46,41 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return plain.unionByName(one)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(docs with _key and _odd, whether any row is odd). _key tells documents apart: the doc_id, where no other row has it; else a hash of the text, 61 bits above all doc_ids, so that rows without
+    doc_id and different texts under one doc_id are documents of their own, and repeated rows are one."""
+    shared = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_shared")))
+    n = shared.count()
+    side = F.broadcast(shared) if n <= BROADCAST_IDS else shared
+    marked = docs.join(side, F.col("doc_id") == F.col("_shared"), "left")
+    by_text = F.lit(2**62) + F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(2**61 - 1))
+    odd = F.col("doc_id").isNull() | F.col("_shared").isNotNull()
+    keyed = marked.withColumns({"_odd": odd, "_key": F.when(odd, by_text).otherwise(F.col("doc_id"))}).drop("_shared")
+    return keyed, n > 0 or not docs.where("doc_id is null").isEmpty()
+
+
+def _dropped(keyed: DataFrame, ids: DataFrame) -> DataFrame:
+    """keyed but the rows whose _key is among ids(doc_id)."""
+    gone = written(ids.select(F.col("doc_id").alias("_gone")).distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return keyed.join(side, F.col("_key") == F.col("_gone"), "left_anti")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by similar shingle sets, the document with the smallest doc_id."""
-    return _without(docs, partenum.near_duplicates(docs).where("component_id <> doc_id"))
+    """Of each group linked by similar shingle sets, the document with the smallest doc_id. Rows that doc_id doesn't tell apart are judged by text, and come behind; of repeated rows one stays."""
+    keyed, some_odd = _keyed(docs)
+    links = partenum.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    out = _dropped(keyed, links.where("component_id <> doc_id"))
+    if not some_odd:
+        return out.select(*docs.columns)
+    return out.where("not _odd").unionByName(out.where("_odd").dropDuplicates(["_key"])).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, reworded or not."""
-    return _without(docs, templates.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text")))
+    """Documents that hold no benchmark item, reworded or not. Rows that doc_id doesn't tell apart are judged by text."""
+    keyed, _ = _keyed(docs)
+    found = templates.contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return _dropped(keyed, found).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
