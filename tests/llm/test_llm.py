@@ -611,6 +611,13 @@ def test_pipeline_stages_on_odd_rows(spark):
     two = P.drop_near_copies(spark, one, DATA)
     assert two.columns == d.columns and {r["doc_id"] for r in two.collect()} == {1, None, 3, 5, 7}
     assert P.drop_leaks(spark, two, DATA).count() == two.count()
+    # under one doc_id, and without any, each text is judged for itself
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
+    rows = [(1, text), (2, text + " fifteen"), (2, "quite another text"), (2, "quite another text"), (None, text + " sixteen"), (None, "a text of its own"), (3, item + " " + item), (3, "no item here")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en"), "n_chars": F.lit(1)})
+    near = P.drop_near_copies(spark, d, DATA)
+    assert sorted((tuple(r)[:2] for r in near.collect()), key=str) == sorted([rows[0], rows[2], rows[5], rows[6], rows[7]], key=str)
+    assert sorted((tuple(r)[:2] for r in P.drop_leaks(spark, near, DATA).collect()), key=str) == sorted([rows[0], rows[2], rows[5], rows[7]], key=str)
     none = d.limit(0)
     for name, stage in P.STAGES:
         assert stage(spark, none, DATA).count() == 0, name
