@@ -436,6 +436,10 @@ def test_model_finds_planted_obfuscated_spans(spark):
         rows.append((i, f"Write a mail to {name()}@{name()}.com soon." + noise if i % 2 else f"Please call +1 ({digits(3)}) {digits(3)}-{digits(4)} now." + noise))
     for i in range(1200, 1240):
         kind, head, span = ("email", "Write a mail to ", f"{name()} (at) {name()} (dot) com") if i % 2 else ("phone", "Please call ", f"({digits(3)}) {digits(3)}-{digits(4)}")
+        if i % 4 == 1:  # spelled as no altered copy is
+            span = span.replace("(at)", rng.choice(["AT", "[ AT ]".replace(" ", ""), "<at>"])).replace("(dot)", rng.choice(["DOT", "[Dot]", "<dot>"]))
+        if i % 4 == 2:
+            span = span.replace("(", "").replace(") ", "/")
         planted[i] = f"{kind}:{len(head)}:{len(head + span)}"
         rows.append((i, f"{head}{span} now, in {digits(5)} days"))
     d = spark.createDataFrame(rows, "doc_id long, text string")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veinstone.llm.hashing import U64, batch_words, grouped, mix
 from veinstone.llm.mixing import n_words
+from veinstone.operators.lineage import written
 
 _RNG = np.random.default_rng(99)
 _ROLL = _RNG.integers(1, 2**63, 8, dtype=np.int64).astype(U64) | U64(1)
@@ -121,7 +122,7 @@ def _unpack_small(data: bytes, usual: int) -> np.ndarray:
     return out
 
 
-def backoff_scores(docs: DataFrame, order: int = 2, discount: float = 0.4, block_bytes: int = 8 << 20, shard_words: int = 2_000_000) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 2, discount: float = 0.4, block_bytes: int = 8 << 20, shard_words: int = 2_000_000, stable: bool = False) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score, n_backed_off for every row of docs(doc_id, text).
 
     A word scores, from the longest context of up to order - 1 words down, the count of context and
@@ -135,7 +136,8 @@ def backoff_scores(docs: DataFrame, order: int = 2, discount: float = 0.4, block
     without doc_id, spread too. A block's distinct n-grams with their counts go to
     the count tables' partitions by hash, one entry however often a block has an n-gram, so that none is hot; each
     partition adds up and answers every block in the order of its n-grams; blocks join the answers
-    to their documents' n-grams. Tasks hold one block, or one partition of the tables, whose number grows with the input.
+    to their documents' n-grams. As both ends have to find the same rows in a block, the dealt rows are written first; stable says that docs comes
+    out in the same partitions whenever it is read, as files do, so that this can be left out. Tasks hold one block, or one partition of the tables, whose number grows with the input.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(n_words(F.col("text"))), F.lit(0)).alias("words")).first()
@@ -144,6 +146,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, discount: float = 0.4, block
     everything = float(total["words"])
     block = F.pmod(F.xxhash64("doc_id", F.length("text"), F.spark_partition_id()), F.lit(blocks)).cast("int")
     dealt = slim.select(block.alias("block"), "doc_id", "text")
+    dealt = dealt if stable else written(dealt)
 
     def base(shard: int) -> int:
         return shard << (56 - bits)

@@ -18,7 +18,7 @@ def token_file() -> str:
 
 def op1_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text scored by stupid backoff, orders 1 to 3, under the counts of all other texts."""
-    return backoff.backoff_scores(table(spark, sf_dir, "documents", "doc_id", "text"), order=3)
+    return backoff.backoff_scores(table(spark, sf_dir, "documents", "doc_id", "text"), order=3, stable=True)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
