@@ -94,7 +94,14 @@ def plain_letters(text: Column) -> Column:
     wide = F.regexp_replace(F.translate(text, one, to), "[\\x{300}-\\x{36f}]", "")
     table = F.create_map(*[F.lit(x) for pair in more.items() for x in pair])
     spread = F.array_join(F.transform(F.split(wide, ""), lambda c: F.coalesce(table[c], c)), "")
-    rare = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in more) + "]"
+    # a few ranges that hold them all: a class of single characters would be tried one by one at each place
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, more)):
+        if ranges and c - ranges[-1][1] <= 24:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    rare = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
     return F.when(~text.rlike(r"[^\x00-\x7f]"), text).when(text.rlike(rare), spread).otherwise(wide)
 
 
@@ -108,7 +115,8 @@ def singular(term: Column) -> Column:
 def terms(text: Column) -> Column:
     """Search terms: camelCase parted, accents off, lower case, cut at anything but a-z and 0-9, without single
     letters and stop words, singular. JVM-side expressions only."""
-    parted = plain_letters(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2"))
+    # through an array of one, so that the text is parted once and not in every branch
+    parted = F.transform(F.array(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2")), plain_letters)[0]
     raw = F.split(F.lower(parted), "[^a-z0-9]+")
     kept = F.filter(raw, lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
     return F.transform(kept, singular)

@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veinstone.functions.diffs import changed_rows
-from veinstone.operators import evolution, history, merging, registry, scans
+from veinstone.operators import deltas, evolution, history, merging, registry, scans
+from veinstone.operators.cochange import cochange_pairs
+from veinstone.operators.lineage import written
+from veinstone.plans.cochange import SWEEP
 from veinstone.sources.tables import table
 
 
@@ -135,6 +138,30 @@ def claim_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.paragraphs(rows, ["o_custkey"], ["o_orderkey"], F.col("len"), F.col("files"), orphan=60).select("o_custkey", "o_orderkey", "group")
 
 
+def updated_cochange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of parts of orders, brought up to date: what was shipped from 1998 on is added to what was before, and every tenth order's returned parts are taken out."""
+    line = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_shipdate", "l_returnflag")
+    rows = line.select(F.col("l_orderkey").alias("grp"), F.col("l_partkey").alias("item"), (F.year("l_shipdate") < 1998).alias("early"), F.expr("l_orderkey % 10 = 0 and l_returnflag = 'R'").alias("out"))
+    old = rows.where("early").select("grp", "item")
+    sign = F.when(F.col("out"), -1).otherwise(1)
+    signed = rows.where("out or not early").select("grp", "item", sign.alias("sign"))
+    pairs = written(cochange_pairs(old, SWEEP))
+    return deltas.updated_pairs(pairs, old, signed, SWEEP)
+
+
+def carried_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of customers' orders after every twentieth order came in: those without a new one carry theirs forward, and only the others' orders are read again."""
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice")
+    version = F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.max("o_orderkey").cast("string")).alias("version")
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("o_custkey").agg(version, F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("largest"))
+
+    previous = written(summed(o.where("o_orderkey % 20 <> 0")))
+    now = o.groupBy("o_custkey").agg(version)
+    return deltas.carried_forward(previous, now, ["o_custkey"], "version", lambda rest: summed(o.join(rest.select("o_custkey"), "o_custkey", "left_semi")))
+
+
 def claim_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of what changed from each turn of a conversation to the next, sentence by sentence (no SQL: a longest common subsequence)."""
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("claims", F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+"))
@@ -173,6 +200,8 @@ QUERIES = {
     "script_problems": script_problems,
     "claim_paragraphs": claim_paragraphs,
     "claim_changes": claim_changes,
+    "updated_cochange": updated_cochange,
+    "carried_summaries": carried_summaries,
 }
 _P = """
 WITH st AS (SELECT s_suppkey AS id, s_suppkey * 7 % 100 AS rank, unnest(list_distinct(['e' || (s_suppkey % 37), 'e' || (s_suppkey % 23), 'l' || (s_suppkey % 11), 'n' || (s_suppkey % 5)])) AS key FROM supplier),
@@ -214,4 +243,12 @@ w AS (SELECT c, k, r, 1 AS g, 1 AS held, n AS len, n, files FROM c WHERE r = 1 U
   SELECT x.c, x.k, x.r, CASE WHEN cut THEN w.g + 1 ELSE w.g END, CASE WHEN cut THEN 1 ELSE w.held + 1 END, CASE WHEN cut THEN x.n ELSE w.len + x.n END, x.n, CASE WHEN cut THEN x.files ELSE list_concat(w.files, x.files) END
   FROM w JOIN c x ON x.c = w.c AND x.r = w.r + 1, LATERAL (SELECT w.held >= 2 AND (w.len >= 550 OR (len(x.files) > 0 AND len(w.files) > 0 AND NOT list_has_any(x.files, w.files))) AS cut))
 SELECT c AS o_custkey, k AS o_orderkey, CASE WHEN g > 1 AND held = 1 AND n < 60 AND r = max(r) OVER (PARTITION BY c) THEN g - 1 ELSE g END AS "group" FROM w""",
+    "updated_cochange": """
+WITH l AS (SELECT l_orderkey AS g, l_partkey AS i, year(l_shipdate) < 1998 AS early, l_orderkey % 10 = 0 AND l_returnflag = 'R' AS gone FROM lineitem),
+n AS (SELECT g, i FROM l GROUP BY g, i HAVING CASE WHEN bool_or(early) THEN sum(CASE WHEN gone THEN -1 WHEN early THEN 0 ELSE 1 END) >= 0 ELSE sum(CASE WHEN gone THEN -1 ELSE 1 END) > 0 END),
+c AS (SELECT g FROM n GROUP BY g HAVING count(*) <= 50)
+SELECT x.i AS a, y.i AS b, count(*) AS n_shared FROM n x JOIN n y ON x.g = y.g AND x.i < y.i WHERE x.g IN (SELECT g FROM c) GROUP BY 1, 2""",
+    "carried_summaries": """
+SELECT o_custkey, count(*) || ':' || max(o_orderkey) AS version, count(*) AS n, max(o_totalprice) AS largest,
+  CASE WHEN count(*) FILTER (o_orderkey % 20 = 0) = 0 THEN 'carried' WHEN count(*) FILTER (o_orderkey % 20 <> 0) = 0 THEN 'new' ELSE 'changed' END AS state FROM orders GROUP BY o_custkey""",
 }
