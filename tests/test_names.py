@@ -101,3 +101,11 @@ def test_manifests_and_technologies(spark):
     t = spark.createDataFrame([("React", "npm", "react", True), ("Scope", "npm", "@scope", True), ("Django", "pypi", "django", False), ("Flask", "pypi", "flask", False), ("Nothing", "npm", "reac", True)], "technology string, ecosystem string, name string, prefix boolean")
     imports = spark.createDataFrame([("a.ts", "react-dom/client"), ("b.ts", "react"), ("c.py", "flask.views"), ("d.ts", "./x")], "path string, specifier string")
     assert {tuple(r) for r in manifests.detected(d, imports, t).collect()} == {("React", "package.json", 2), ("Scope", "package.json", 0), ("Django", "requirements-dev.txt", 0), ("Flask", None, 1)}
+
+
+def test_sentences_and_names_with_odd_characters(spark):
+    d = spark.createDataFrame([("one\x02two. e.g.  this\x01 stays! Next? 3 more.",)], "t string")
+    assert d.select(N.sentences(F.col("t"))).first()[0] == ["one\x02two.", "e.g. this\x01 stays!", "Next?", "3 more."]
+    rows = [("a \\E b", "\\E", True), ("x.y z", "x.y", True), ("xzy", "x.y", False), ("f(a)[0]^$ q", "f(a)[0]^$", True), ("call ab_c now", "ab", False), ("é ü", "é", True)]
+    got = spark.createDataFrame([r[:2] for r in rows], "g string, t string").select(N.writes_name(F.col("g"), F.col("t"))).collect()
+    assert [r[0] for r in got] == [r[2] for r in rows]

@@ -147,9 +147,9 @@ def unwritten_numbers(text: Column, cited: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """A text cut behind . ! ? and white space; not behind a shortened word before a small letter or digit."""
-    kept = F.regexp_replace(text, r"((?:^|[\s(])(?:" + ABBREVIATED + r")\.)\s+(?=[\p{Ll}\d])", "$1\x01")
-    parts = F.split(F.regexp_replace(kept, r"([.!?])\s+", "$1\x02"), "\x02")
-    return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.translate(p, "\x01", " "))
+    short = r"(?:^|[\s(])(?:" + ABBREVIATED + r")\."
+    parts = F.split(text, r"(?<=[.!?])(?:(?<!" + short + r")\s++|\s++(?![\p{Ll}\d]))")
+    return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.regexp_replace(p, "(" + short + r")\s+(?=[\p{Ll}\d])", "$1 "))
 
 
 def remote_name(url: Column) -> Column:
@@ -191,7 +191,8 @@ def writes_name(ground: Column, token: Column) -> Column:
     edge = "[A-Za-z0-9_]"
     head = F.when(token.rlike("^" + edge), f"(?<!{edge})").otherwise("")
     tail = F.when(token.rlike(edge + "$"), f"(?!{edge})").otherwise("")
-    return F.regexp_like(ground, F.concat(head, F.lit("\\Q"), token, F.lit("\\E"), tail))
+    plain = F.regexp_replace(token, r"([!-/:-@\[-\^`{-~])", r"\\$1")
+    return F.regexp_like(ground, F.concat(head, plain, tail))
 
 
 def known_revisions(text: Column, known: Column, most: int = 1000) -> Column:

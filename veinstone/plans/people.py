@@ -97,7 +97,7 @@ def membership_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def test_only_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type", "p_size")
-    files = p.select(F.concat_ws("/", "p_brand", "p_type").alias("feature"), F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 3 > 0, "/tests/a.py").otherwise("/a.py")).alias("path"))
+    files = p.select(F.concat_ws("/", "p_brand", "p_type", (F.col("p_partkey") % 40).cast("string")).alias("feature"), F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 3 > 0, "/tests/a.py").otherwise("/a.py")).alias("path"))
     return impact.test_only_features(files, test_file(F.col("path")))
 
 
@@ -230,7 +230,7 @@ WITH m AS (SELECT 'p' || p_partkey || CASE WHEN p_partkey % 7 = 1 THEN 'x' ELSE
   UNION ALL SELECT 'p' || s_suppkey, 0, 'n' || s_nationkey, 0.5 FROM supplier)
 SELECT member, feature, weight FROM (SELECT *, row_number() OVER (PARTITION BY member ORDER BY late, feature, weight) AS r FROM m) WHERE r = 1""",
     "test_only_features": """
-WITH f AS (SELECT p_brand || '/' || p_type AS feature, bool_and(p_size % 3 > 0) AS t FROM part GROUP BY 1)
+WITH f AS (SELECT p_brand || '/' || p_type || '/' || (p_partkey % 40) AS feature, bool_and(p_size % 3 > 0) AS t FROM part GROUP BY 1)
 SELECT feature FROM f WHERE t AND EXISTS (SELECT 1 FROM f WHERE NOT t)""",
     "upserted_rows": """
 WITH r AS (SELECT p_partkey AS k, p_size::BIGINT AS size, 0::BIGINT AS seq, 0 AS new FROM part UNION ALL SELECT l_partkey, l_quantity::BIGINT, l_orderkey * 10 + l_linenumber, 1 FROM lineitem WHERE l_returnflag = 'R')

@@ -21,11 +21,10 @@ def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unwritten_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of each turn of a conversation that the turn before doesn't hold."""
-    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").groupBy("conv_id", "turn").agg(F.max("text").alias("text"))
-    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("cited"))
-    both = c.join(before, ["conv_id", "turn"]).where("text is not null and cited is not null")
-    return both.select("conv_id", "turn", F.explode(N.unwritten_numbers(F.col("text"), F.col("cited"))).alias("number"))
+    """Numbers of each document that the one numbered before it doesn't hold."""
+    c = table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")
+    before = c.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("cited"))
+    return c.join(before, "doc_id").select("doc_id", F.explode(N.unwritten_numbers(F.col("text"), F.col("cited"))).alias("number"))
 
 
 def hook_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,9 +173,8 @@ WITH k AS (SELECT doc_id, regexp_replace(text, '((?:^|[\s(])(?:{_A})\.)\s+([\p{{
 s AS (SELECT doc_id, list_transform(list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(2), 'g'), chr(2)), lambda p: p <> ''), lambda p: replace(p, chr(1), ' ')) AS s FROM k)
 SELECT doc_id, len(s) AS n, sha256(array_to_string(s, chr(10))) AS h FROM s""",
     "unwritten_numbers": r"""
-WITH c AS (SELECT conv_id, turn, max(text) AS text FROM conversations GROUP BY 1, 2), b AS (SELECT x.conv_id, x.turn, x.text, y.text AS cited FROM c x JOIN c y ON x.conv_id = y.conv_id AND x.turn = y.turn + 1),
-n AS (SELECT DISTINCT conv_id, turn, cited, unnest(regexp_extract_all(regexp_replace(text, '`[^`]*`', ' ', 'g'), '\d+(?:[.,]\d+)*')) AS number FROM b WHERE cited IS NOT NULL)
-SELECT conv_id, turn, number FROM n WHERE NOT regexp_matches(cited, '(^|[^0-9.,])' || replace(number, '.', '\.') || '($|[^0-9.,]|[.,]($|[^0-9]))')""",
+WITH n AS (SELECT DISTINCT x.doc_id, y.text AS cited, unnest(regexp_extract_all(regexp_replace(x.text, '`[^`]*`', ' ', 'g'), '\d+(?:[.,]\d+)*')) AS number FROM documents x JOIN documents y ON x.doc_id = y.doc_id + 1 WHERE y.text IS NOT NULL)
+SELECT doc_id, number FROM n WHERE NOT regexp_matches(cited, '(^|[^0-9.,])' || replace(number, '.', '\.') || '($|[^0-9.,]|[.,]($|[^0-9]))')""",
     "hook_texts": r"""
 WITH a AS (SELECT conv_id, turn, regexp_replace(trim(text, ' '), '[.!?:\x{2026}]+$', '') AS s FROM conversations WHERE text IS NOT NULL),
 b AS (SELECT conv_id, turn, rtrim(regexp_replace(s, '[.!?:\x{2026}]+(["\x{201d}\x{2019}'')\]]+)$', '\1')) AS s FROM a)
