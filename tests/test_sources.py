@@ -126,3 +126,31 @@ def test_stream_job_states(spark, folder):
     got = {r["user_id"]: (r["state"] or None, r["attempts"], r["applied"], r["ignored"]) for r in spark.sql("select * from jobs").collect()}
     want = {r["user_id"]: (r["state"], r["attempts"], r["applied"], r["ignored"]) for r in job_states(spark.read.parquet(folder)).collect()}
     assert got == want
+
+
+def test_git_names_and_messages_with_odd_characters(spark, tmp_path):
+    env = os.environ | {"GIT_CONFIG_GLOBAL": "/dev/null", "GIT_CONFIG_SYSTEM": "/dev/null", "GIT_AUTHOR_NAME": "al", "GIT_AUTHOR_EMAIL": "al@old.org", "GIT_COMMITTER_NAME": "al", "GIT_COMMITTER_EMAIL": "al@old.org"}
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True, env=env)
+    run("init", "-q", "-b", "main")
+    names = ["a => b.txt", 'a"b.txt', "t\tab.txt", "é ü.txt", "{x => y}/z.txt", "0" * 40, "back\\slash", "two b/words"]
+    (tmp_path / "{x => y}").mkdir()
+    (tmp_path / "two b").mkdir()
+    for n in [*names, "m"]:
+        (tmp_path / n).write_text("".join(f"{n} {i}\n" for i in range(9)))
+    run("add", ".")
+    run("commit", "-qm", "First\x01here", "-m", "1\t2\tno file\n\x02")
+    run("commit", "-q", "--allow-empty", "-m", "Empty")
+    for n in names:
+        (tmp_path / n).write_text("".join(f"{n} {i}\n" for i in range(9)) + "more\n")
+    run("mv", "m", 'n"q\tt')
+    run("add", ".")
+    run("commit", "-qm", "Third")
+    repo, ends = str(tmp_path), {"from": "HEAD~2", "to": "HEAD"}
+    commits = {r["subject"]: sorted(r["files"]) for r in read(spark, repo, "commits").collect()}
+    assert commits == {"First\x01here": sorted([*names, "m"]), "Empty": [], "Third": sorted([*names, "m", 'n"q\tt'])}
+    who = {r["subject"]: sorted(map(tuple, r["files"]), key=str) for r in read(spark, repo, "authorship").collect()}
+    third = sorted([*((n, 1, 0, None) for n in names), ('n"q\tt', 0, 0, "m")], key=str)
+    assert who["Third"] == third and who["Empty"] == [] and len(who["First\x01here"]) == 9
+    assert sorted((tuple(r) for r in read(spark, repo, "numstat", **ends).collect()), key=str) == third
+    diff = {r["new_path"]: (r["status"], r["old_path"], [tuple(h) for h in r["hunks"]]) for r in read(spark, repo, "diff", **ends).collect()}
+    assert diff == {n: ("modified", n, [(9, 0, 10, 1)]) for n in names} | {'n"q\tt': ("renamed", "m", [])}

@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -86,17 +86,29 @@ def hunk_row(line: str) -> tuple[int, int, int, int] | None:
     return m and (int(m[1]), int(m[2] or 1), int(m[3]), int(m[4] or 1))
 
 
-def stat_row(line: str) -> tuple[str, int | None, int | None, str | None] | None:
-    """(path, added, deleted, old path) of a line of numstat, whose renames are written a => b or pre{a => b}post."""
-    bits = line.split("\t")
-    if len(bits) != 3:
-        return None
-    added, deleted = (None if x == "-" else int(x) for x in bits[:2])
-    part = re.fullmatch(r"(.*?)\{(.*) => (.*)\}(.*)", bits[2]) or re.fullmatch(r"()(.*) => (.*)()", bits[2])
-    if not part:
-        return bits[2], added, deleted, None
-    whole = lambda mid: (part[1] + mid + part[4]).replace("//", "/")
-    return whole(part[3]), added, deleted, whole(part[2])
+def stat_rows(tokens: Iterable[str]) -> Iterator[tuple[str, int | None, int | None, str | None]]:
+    """(path, added, deleted, old path) of numstat's tokens between NULs; of a rename both names follow as tokens of their own."""
+    rest = iter(tokens)
+    for token in rest:
+        added, deleted, path = token.split("\t", 2)
+        old = None if path else next(rest)
+        yield path or next(rest), None if added == "-" else int(added), None if deleted == "-" else int(deleted), old
+
+
+def tokens_of(stream) -> Iterator[str]:
+    """What stands between a stream's NULs; nothing else parts it, so names and messages may hold anything."""
+    rest = b""
+    while piece := stream.read(1 << 20):
+        *done, rest = (rest + piece).split(b"\0")
+        for token in done:
+            yield token.decode(errors="replace")
+    if rest:
+        yield rest.decode(errors="replace")
+
+
+def plain_name(name: str) -> str:
+    """A name as git's patches show it, without quotes and what they escape."""
+    return name[1:-1].encode().decode("unicode_escape").encode("latin-1", "replace").decode(errors="replace") if name[:1] == '"' else name
 
 
 class _Part(InputPartition):
@@ -158,72 +170,76 @@ class _Reader(DataSourceReader):
                 text = None if binary or size > self.most else b"".join(held).decode(errors="replace")
                 yield path, oid, size, binary, lines + (last not in (b"", b"\n")), head, text
 
-    def _log(self, fmt: str, *more: str) -> Iterator[list[str]]:
-        """Records of a log, each its fields and what follows them."""
+    def _log(self, fields: tuple[str, ...], *more: str) -> Iterator[tuple[list[str], list[str]]]:
+        """Each commit's fields, and the tokens of its files. An empty token begins a commit: no file has an empty name, and fields are counted."""
         scope = ["--", self.under] if self.under else []
-        with streamed(self.repo, "-c", f"mailmap.blob={self.sha}:.mailmap", "log", "--date=iso-strict", f"--format=%x01{fmt}%x02", *more, self.sha, *scope) as proc:
-            rest = b""
-            while True:
-                piece = proc.stdout.read(1 << 20)
-                *done, rest = (rest + piece).split(b"\x01") if piece else [rest, b""]
-                for record in done:
-                    head, found, body = record.decode(errors="replace").partition("\x02")
-                    if found:
-                        yield [*head.split("\x00"), body]
-                if not piece:
-                    return
+        fmt = "".join("%x00" + f for f in fields)
+        with streamed(self.repo, "-c", f"mailmap.blob={self.sha}:.mailmap", "log", "-z", "--date=iso-strict", f"--format={fmt}", *more, self.sha, *scope) as proc:
+            now = None
+            for token in tokens_of(proc.stdout):
+                if now is None:
+                    now = ([], [])
+                elif len(now[0]) < len(fields):
+                    now[0].append(token)
+                elif token:
+                    # the first file stands behind a line feed
+                    now[1].append(token if now[1] else token.removeprefix("\n"))
+                else:
+                    yield now
+                    now = ([], [])
+            if now and len(now[0]) == len(fields):
+                yield now
 
     def _commits(self, part: _Part):
         from datetime import datetime
 
-        for sha, parents, date, subject, rest in self._log("%H%x00%P%x00%cI%x00%s", "--name-only", "--no-renames"):
-            yield sha, parents.split(), date, datetime.fromisoformat(date), subject, [f for f in rest.split("\n") if f], pull_number(subject)
+        for (sha, parents, date, subject), files in self._log(("%H", "%P", "%cI", "%s"), "--name-only", "--no-renames"):
+            yield sha, parents.split(), date, datetime.fromisoformat(date), subject, files, pull_number(subject)
 
     def _authorship(self, part: _Part):
         """With renames followed; mapped: the author as .mailmap of the revision has it."""
-        for sha, parents, name, email, known, mail, date, done, subject, body, rest in self._log("%H%x00%P%x00%an%x00%ae%x00%aN%x00%aE%x00%aI%x00%cI%x00%s%x00%b", "--numstat", "-M"):
-            files = [row for row in map(stat_row, rest.split("\n")) if row]
+        for fields, rest in self._log(("%H", "%P", "%an", "%ae", "%aN", "%aE", "%aI", "%cI", "%s", "%b"), "--numstat", "-M"):
+            sha, parents, name, email, known, mail, date, done, subject, body = fields
             others = {m.lower(): (n.strip(), m) for n, m in re.findall(r"(?im)^co-authored-by:\s*(.*?)\s*<([^<>]+)>\s*$", body) if m.lower() != email.lower()}
-            yield sha, parents.split(), name, email, known, mail, date, done, subject, files, list(others.values())
+            yield sha, parents.split(), name, email, known, mail, date, done, subject, list(stat_rows(rest)), list(others.values())
 
     def _numstat(self, part: _Part):
-        with streamed(self.repo, "diff", "--numstat", "-M", self.old, self.new, *(["--", self.under] if self.under else [])) as proc:
-            for line in proc.stdout:
-                row = stat_row(line.decode(errors="replace").rstrip("\n"))
-                if row:
-                    yield row
+        with streamed(self.repo, "diff", "-z", "--numstat", "-M", self.old, self.new, *(["--", self.under] if self.under else [])) as proc:
+            yield from stat_rows(tokens_of(proc.stdout))
 
     def _diff(self, part: _Part):
-        """Names from one listing, hunks from one patch, whose files come in the same order (a changed type twice)."""
+        """Names from one listing, hunks from one patch, whose files come in the same order (a changed type twice); each section's own names are held against the listing."""
         status = {"A": "added", "D": "deleted", "M": "modified", "T": "modified"}
         scope = ["--", self.under] if self.under else []
         rows = iter(git(self.repo, "diff", "--name-status", "-z", "-M", self.old, self.new, *scope).decode(errors="replace").split("\0")[:-1])
-        with streamed(self.repo, "diff", "-U0", "-M", self.old, self.new, *scope) as proc:
+        with streamed(self.repo, "-c", "core.quotePath=false", "diff", "-U0", "-M", self.old, self.new, *scope) as proc:
             sections = self._sections(proc.stdout)
             for kind in rows:
                 old = next(rows)
                 new = next(rows) if kind[0] in "RC" else old
-                binary, hunks = next(sections)
+                names, binary, hunks = next(sections)
+                if names != f"a/{old} b/{new}" and [plain_name(n) for n in re.findall(r'"(?:[^"\\]|\\.)*"|[ab]/.*?(?= "|$)', names)] != [f"a/{old}", f"b/{new}"]:
+                    raise ValueError(f"{self.repo}: the patch has {names} where {old} is listed")
                 if kind[0] == "T":
                     more = next(sections)
-                    binary, hunks = binary or more[0], hunks + more[1]
+                    binary, hunks = binary or more[1], hunks + more[2]
                 word = "renamed" if kind[0] == "R" else "added" if kind[0] == "C" else status.get(kind[0], "modified")
                 yield word, None if word == "added" else old, None if word == "deleted" else new, binary, hunks
 
     @staticmethod
-    def _sections(lines) -> Iterator[tuple[bool, list[tuple[int, int, int, int]]]]:
-        """(binary, hunks) of each file of a patch. Lines of the files' own stand behind a sign."""
+    def _sections(lines) -> Iterator[tuple[str, bool, list[tuple[int, int, int, int]]]]:
+        """(names, binary, hunks) of each file of a patch. Lines of the files' own stand behind a sign."""
         now = None
         for raw in lines:
             line = raw.decode(errors="replace")
             if line.startswith("diff --git "):
                 if now:
                     yield tuple(now)
-                now = [False, []]
+                now = [line.removeprefix("diff --git ").rstrip("\n"), False, []]
             elif line.startswith("Binary files "):
-                now[0] = True
+                now[1] = True
             elif row := hunk_row(line):
-                now[1].append(row)
+                now[2].append(row)
         if now:
             yield tuple(now)
 
