@@ -136,7 +136,7 @@ def test_words_of_large_groups_and_a_small_memory(paths, monkeypatch):
     some = [t or "" for t in texts()]
     want = crosstok.Words(v).aligned(some)
     monkeypatch.setattr(crosstok, "LARGE_GROUP", 0)
-    monkeypatch.setattr(crosstok, "REMEMBERED", 10)
+    monkeypatch.setattr(crosstok, "REMEMBERED", 100)
     w = crosstok.Words(v)
     for i, t in enumerate(some):
         numbers, shows, pairs, times = w.aligned([t])
