@@ -28,3 +28,19 @@ def test_constraints(spark):
     f = spark.createDataFrame([("a", "active", None), ("b", "redirect", "a"), ("c", "redirect", "d"), ("d", "redirect", "c"), ("e", "redirect", "gone")], "id string, status string, target string")
     m = spark.createDataFrame([("p", "a"), ("q", "b")], "path string, feature string")
     assert {tuple(r) for r in C.manifest(f, m).collect()} == {("c", "redirect cycle"), ("d", "redirect cycle"), ("e", "redirect to nothing"), ("b", "members of an inactive feature")}
+
+
+def test_stated_dates(spark):
+    from veinstone.functions.dates import stated_dates
+
+    said = {
+        "on 0 March 2026 and 31 April 2026, then 29 February 2024": [("0 March 2026", "", ""), ("31 April 2026", "", ""), ("29 February 2024", "2024-02-29", "2024-02-29")],
+        "2026-13 2026-00-01 2026-02-30 2026-1": [("2026-13", "", ""), ("2026-00-01", "", ""), ("2026-02-30", "", ""), ("2026", "2026-01-01", "2026-12-31")],
+        "From Jan. until SEPT 2020; Sept. 5, 2021 it ended": [("Jan.", "2020-01-01", "2020-01-31"), ("SEPT 2020", "2020-09-01", "2020-09-30"), ("Sept. 5, 2021", "2021-09-05", "2021-09-05")],
+        "May be, march on; 1850 or 20260 or v2026": [],
+        "3rd may 1999, 2024-02-01T01:02:03.5+01:00": [("3rd may 1999", "1999-05-03", "1999-05-03"), ("2024-02-01T01:02:03.5+01:00", "2024-02-01", "2024-02-01")],
+        "": [],
+    }
+    d = spark.createDataFrame([(t,) for t in said] + [(None,)], "t string").select("t", stated_dates(F.col("t")).alias("d"))
+    got = {r["t"]: r["d"] and [tuple(x) for x in r["d"]] for r in d.collect()}
+    assert got.pop(None) is None and {t: x or [] for t, x in got.items()} == said

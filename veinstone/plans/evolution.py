@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veinstone.functions.dates import stated_dates as dates_of
 from veinstone.functions.diffs import changed_rows
 from veinstone.operators import deltas, evolution, history, merging, registry, scans
 from veinstone.operators.cochange import cochange_pairs
@@ -162,6 +163,19 @@ def carried_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deltas.carried_forward(previous, now, ["o_custkey"], "version", lambda rest: summed(o.join(rest.select("o_custkey"), "o_custkey", "left_semi")))
 
 
+def stated_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates that sentences about orders state, in eight ways."""
+    o, k = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate"), F.col("o_orderkey")
+    d = lambda form: F.date_format("o_orderdate", form)
+    said = (
+        F.concat(F.lit("It shipped on "), d("d MMMM yyyy"), F.lit(", at last.")), F.concat(F.lit("On "), d("MMM"), F.lit(". "), d("d"), F.lit("th, "), d("yyyy"), F.lit(" it left")),
+        F.concat(F.lit("During "), d("MMMM yyyy"), F.lit("; May came later")), F.concat(F.lit("at "), d("yyyy-MM-dd"), F.lit("T10:00:00Z sharp")), F.concat(F.lit("("), d("yyyy-MM"), F.lit(")")),
+        F.concat(F.lit("Back in "), d("yyyy"), F.lit(", item x1995 and 19951 moved")), F.concat(F.lit("Between January and "), d("MMMM yyyy"), F.lit(" all was well")), F.concat(F.lit("by 31 February "), d("yyyy"), F.lit(" or never")),
+    )
+    text = F.element_at(F.array(*said), (k % 8 + 1).cast("int"))
+    return o.select("o_orderkey", F.explode(dates_of(text)).alias("s")).select("o_orderkey", F.col("s.text").alias("stated"), F.col("s.from").alias("first"), F.col("s.to").alias("last"))
+
+
 def claim_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of what changed from each turn of a conversation to the next, sentence by sentence (no SQL: a longest common subsequence)."""
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("claims", F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+"))
@@ -200,6 +214,7 @@ QUERIES = {
     "script_problems": script_problems,
     "claim_paragraphs": claim_paragraphs,
     "claim_changes": claim_changes,
+    "stated_dates": stated_dates,
     "updated_cochange": updated_cochange,
     "carried_summaries": carried_summaries,
 }
@@ -251,4 +266,9 @@ SELECT x.i AS a, y.i AS b, count(*) AS n_shared FROM n x JOIN n y ON x.g = y.g A
     "carried_summaries": """
 SELECT o_custkey, count(*) || ':' || max(o_orderkey) AS version, count(*) AS n, max(o_totalprice) AS largest,
   CASE WHEN count(*) FILTER (o_orderkey % 20 = 0) = 0 THEN 'carried' WHEN count(*) FILTER (o_orderkey % 20 <> 0) = 0 THEN 'new' ELSE 'changed' END AS state FROM orders GROUP BY o_custkey""",
+    "stated_dates": """
+WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS f, o_orderdate::DATE AS d, year(o_orderdate) AS y, monthname(o_orderdate) AS m, strftime(o_orderdate, '%Y-%m') AS ym FROM orders),
+r AS (SELECT o_orderkey, CASE f WHEN 0 THEN day(d) || ' ' || m || ' ' || y WHEN 1 THEN substr(m, 1, 3) || '. ' || day(d) || 'th, ' || y WHEN 2 THEN m || ' ' || y WHEN 3 THEN d || 'T10:00:00Z' WHEN 4 THEN ym WHEN 5 THEN y::VARCHAR WHEN 6 THEN m || ' ' || y ELSE '31 February ' || y END AS stated,
+  CASE WHEN f IN (0, 1, 3) THEN d::VARCHAR WHEN f IN (2, 4, 6) THEN ym || '-01' WHEN f = 5 THEN y || '-01-01' ELSE '' END AS first, CASE WHEN f IN (0, 1, 3) THEN d::VARCHAR WHEN f IN (2, 4, 6) THEN last_day(d)::VARCHAR WHEN f = 5 THEN y || '-12-31' ELSE '' END AS last FROM o)
+SELECT * FROM r UNION ALL SELECT o_orderkey, 'January', y || '-01-01', y || '-01-31' FROM o WHERE f = 6""",
 }
