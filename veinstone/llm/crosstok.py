@@ -216,22 +216,6 @@ class Words:
         self.numbers = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links, whether the bytes are the word's
         self.first = np.zeros(1, np.int64)
         self.pairs, self.times = _NONE, _NONE
-        self.used = np.zeros(0, np.int64)  # in how many texts each word was met since it was last weighed
-
-    def weigh(self) -> None:
-        """Forgets the words that were hardly met, so that there is room for as many new ones; all, if too many were."""
-        keep = np.flatnonzero(self.used > 2)
-        if len(keep) > REMEMBERED // 2 or self.chars > REMEMBERED_CHARS and sum(len(w) for w, i in self.known.items() if self.used[i] > 2) > REMEMBERED_CHARS // 2:
-            return self.forget()
-        place = np.full(len(self.used), -1)
-        place[keep] = np.arange(len(keep))
-        self.known = {w: p for w, p in zip(self.known, place[list(self.known.values())].tolist()) if p >= 0}
-        self.chars = sum(map(len, self.known))
-        self.texts = [self.texts[i] for i in keep.tolist()]
-        many = (self.first[1:] - self.first[:-1])[keep]
-        at = np.repeat(self.first[keep], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        self.pairs, self.times, self.numbers = self.pairs[at], self.times[at], self.numbers[keep]
-        self.first, self.used = np.concatenate([[0], np.cumsum(many)]), np.zeros(len(keep), np.int64)
 
     def learn(self, fresh: list[str]) -> None:
         """All words at once: as each word has as many bytes in both vocabularies, offsets over all of them are comparable."""
@@ -274,14 +258,13 @@ class Words:
         codes[np.arange(len(a)) + first_b[in_a]] = 2 * a + last_a
         codes[np.arange(len(b)) + (first_a + n_a)[in_b]] = 2 * len(self.v.a_bytes) + 2 * b + last_b
         self.texts += ["".join(x)[:-1] for x in _pieces(self.v.shown[codes].tolist(), numbers[:, 0] + numbers[:, 1])]
-        self.used = np.concatenate([self.used, np.zeros(n, np.int64)])
         self.known.update(zip(fresh, range(at, at + n)))
         self.chars += sum(map(len, fresh))
 
     def aligned(self, texts: list[str]) -> tuple[np.ndarray, list[str], list[np.ndarray], list[np.ndarray]]:
         """(numbers, groups as text, pairs, times) of each text, composed of its words."""
         if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-            self.weigh()
+            self.forget()
         cut = [words(t) if t else [] for t in texts]
         fresh = {w for ws in cut for w in ws}.difference(self.known)
         if fresh:
@@ -300,7 +283,6 @@ class Words:
         keep = fine[owner]
         key, n = np.unique(owner[keep] * len(self.texts) + flat[keep], return_counts=True)
         owner, word = np.divmod(key, max(1, len(self.texts)))
-        self.used += np.bincount(word, minlength=len(self.used))
         many = self.first[word + 1] - self.first[word]
         place = np.repeat(self.first[word], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         owner, pairs, times = _by_owner(np.repeat(owner, many), self.pairs[place], self.times[place] * np.repeat(n, many))
