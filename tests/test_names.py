@@ -73,6 +73,15 @@ def test_first_parents_and_merge_bases(spark):
     assert {r["node"] for r in impact.merge_bases(e, "x", "a").collect()} == {"a"}
 
 
+def test_the_oldest_row_of_a_key_that_all_ask_for(spark):
+    # 10^10 pairs share the key
+    asked = spark.range(100_000).select(F.col("id").alias("query_id"), F.array(F.lit("k"), F.col("id").cast("string")).alias("keys"))
+    rows = spark.range(100_000).select("id", (F.col("id") % 9 + 1).alias("at"), F.array(F.lit("k")).alias("keys"))
+    late = spark.createDataFrame([(100_001, 0, ["5"]), (100_000, 0, ["5", "6"])], "id long, at long, keys array<string>")
+    got = impact.oldest_match(asked, rows.union(late)).groupBy("id").count().collect()
+    assert {tuple(r) for r in got} == {(0, 99_998), (100_000, 2)}
+
+
 def test_ranges_of_very_different_lengths_meet(spark):
     from veinstone.operators import ranges
 

@@ -69,10 +69,13 @@ def pruned(rows: DataFrame, keep: DataFrame, cited: DataFrame, key: str) -> Data
 
 
 def oldest_match(asked: DataFrame, rows: DataFrame) -> DataFrame:
-    """(query_id, id) of the oldest of rows(id, at, keys array) that shares a key with asked(query_id, keys array); ties by id."""
+    """(query_id, id) of the oldest of rows(id, at, keys array) that shares a key with asked(query_id, keys array); ties by id.
+
+    Each key's oldest row is found before queries meet it, so a key that many ask for and many hold costs its rows, not its pairs."""
     a = asked.select("query_id", F.explode(F.array_distinct("keys")).alias("key"))
     r = rows.select("id", "at", F.explode(F.array_distinct("keys")).alias("key"))
-    return a.join(r, "key").groupBy("query_id").agg(F.min(F.struct("at", "id")).alias("m")).select("query_id", "m.id")
+    oldest = r.groupBy("key").agg(F.min(F.struct("at", "id")).alias("m"))
+    return a.join(oldest, "key").groupBy("query_id").agg(F.min("m").alias("m")).select("query_id", "m.id")
 
 
 def swept_leases(jobs: DataFrame, now: Column, most: int = 3) -> DataFrame:
