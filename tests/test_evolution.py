@@ -147,6 +147,39 @@ def test_effects_of_insertions_and_edits(spark):
     assert got == {(1, "between", True), (1, "on", True), (2, "between", False), (2, "behind", False), (2, "before", False)}
 
 
+def test_people_go_where_most_keys_are_shared(spark):
+    """People and groups of few and of many keys against all pairs."""
+    rng = random.Random(4)
+    kind = {"e": "email", "l": "login", "n": "name"}
+    some = lambda n: [rng.choice("eln") + str(rng.randrange(5)) for _ in range(n)]
+    people = [(i, rng.randrange(9), some(rng.choice([0, 1, 3, 4, 12]))) for i in range(40)]
+    keys = [(g, kind[k[0]], k, rng.random() < 0.2) for g in range(60) for k in some(rng.choice([1, 3, 4, 14]))]
+    pairs = [(g, rng.choice("pq"), k, rng.randrange(4)) for g, _, k, _ in keys if rng.random() < 0.8]
+    stored, group_keys = spark.createDataFrame(people, "id int, rank int, keys array<string>"), spark.createDataFrame(keys, "group int, kind string, key string, placeholder boolean")
+    held = spark.createDataFrame(pairs, "group int, pair string, key string, commits int")
+    got = {r.id: r.group for r in registry.assigned(stored, group_keys, held).collect()}
+    want = {}
+    for i, _, own in people:
+        offers = []
+        for g in range(60):
+            shared = {(k, what) for x, what, k, fake in keys if x == g and not fake and k in own}
+            if shared:
+                names = {k for k, _ in shared}
+                n = [sum(what == w for _, what in shared) for w in ("email", "login", "name")]
+                offers.append(([-x for x in n], -sum(c for _, c in {(p, c) for x, p, k, c in pairs if x == g and k in names}), g))
+        if offers:
+            want[i] = min(offers)[2]
+    assert got == want and len(want) > 20
+
+
+def test_people_of_common_keys_are_not_compared_with_every_group(spark):
+    # 6 * 10^9 pairs share the key
+    stored = spark.range(60_000).select("id", F.lit(1).alias("rank"), F.array(F.lit("n")).alias("keys"))
+    groups = spark.range(100_000).select(F.col("id").alias("group"), F.lit("name").alias("kind"), F.lit("n").alias("key"), F.lit(False).alias("placeholder"))
+    pairs = groups.select("group", F.lit("p").alias("pair"), "key", (F.col("group") % 7).alias("commits"))
+    assert [tuple(r) for r in registry.assigned(stored, groups, pairs).groupBy("group", "target").count().orderBy("count").collect()] == [(6, None, 1), (6, 0, 59_999)]
+
+
 def test_assigned_people(spark):
     stored = spark.createDataFrame([("ann", 1, ["e:a", "n:x"]), ("bob", 2, ["e:b", "n:x"]), ("old", 3, ["e:a2"]), ("far", 4, ["e:none", None]), ("ph", 5, ["e:shared"])], "id string, rank int, keys array<string>")
     keys = spark.createDataFrame([(1, "email", "e:a", False), (1, "email", "e:a2", None), (1, "email", "e:shared", True), (2, "name", "n:x", False), (2, "email", "e:b", False), (3, "name", "n:new", False)], "group int, kind string, key string, placeholder boolean")
