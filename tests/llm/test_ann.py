@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +116,15 @@ def test_query_finds_nine_in_ten(spark):
     for q, best in got.items():
         assert [(-s, i) for _, i, s in best] == sorted((-s, i) for _, i, s in best) and q not in {i for _, i, _ in best}
         assert all(abs(s - float(np.dot(np.array(x[q], float), np.array(x[i], float)))) < 1e-12 for _, i, s in best)
+
+
+def test_nothing_is_trained_in_the_driver(spark, monkeypatch):
+    here, real = os.getpid(), ann.trained_router
+
+    def traced(*args, **more):
+        assert os.getpid() != here
+        return real(*args, **more)
+
+    monkeypatch.setattr(ann, "trained_router", traced)
+    cells = spark.createDataFrame([(i, i, [float(i % 7), float(i % 5) + 1.0, 1.0]) for i in range(60)], "h1 long, h2 long, vec array<double>")
+    assert ann.fit(cells).parts == ann.LEAST_PARTS

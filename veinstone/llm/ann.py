@@ -217,23 +217,31 @@ def fit(cells: DataFrame, seed: int = 5) -> Tree | None:
     n = cells.count()
     if not n:
         return None
-    few = sampled(cells.select("h1", "h2", "vec"), SAMPLE, ["h1", "h2"], seed=seed).select("vec").toPandas()
-    root = trained_router(_matrix(few["vec"]), min(_parts(n), len(few)), seed=seed)
-    below: dict[int, Router] = {}
-    if n > root.parts * PART_ROWS:
-        told = _with_parts(cells.select("h1", "h2", "vec"), root, "part")
-        sizes = {r["part"]: r["n"] for r in told.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-        large = {k: min(MOST_PARTS, -(-v // PART_ROWS)) for k, v in sizes.items() if v > PART_ROWS}
+
+    def routers(some: DataFrame, parts: dict[int, int]) -> dict[int, Router]:
+        """A router for each part of some(part, vec), a bounded sample, each trained in a task: only weights reach the driver."""
 
         def train(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             x = _matrix(pdf["vec"])
-            r = trained_router(x, min(large[key[0]], len(x)), seed=seed)
+            x = x[np.lexsort(x.T)]  # in whatever order they came
+            r = trained_router(x, min(parts[key[0]], len(x)), seed=seed)
             return pd.DataFrame({"part": [key[0]], "weights": [[w.ravel() for w in (r.w1, r.b1, r.w2, r.b2)]]})
 
-        some = sampled(told.where(F.col("part").isin(*large)), SAMPLE, ["h1", "h2"], group=F.col("part"), seed=seed).select("part", "vec")
+        out = {}
         for r in some.groupBy("part").applyInPandas(train, "part int, weights array<array<double>>").collect():
             w1, b1, w2, b2 = (np.array(w) for w in r["weights"])
-            below[r["part"]] = Router(w1.reshape(-1, len(b1)), b1, w2.reshape(len(b1), len(b2)), b2)
+            out[r["part"]] = Router(w1.reshape(-1, len(b1)), b1, w2.reshape(len(b1), len(b2)), b2)
+        return out
+
+    few = sampled(cells.select("h1", "h2", "vec"), SAMPLE, ["h1", "h2"], seed=seed)
+    root = routers(few.select(F.lit(0).alias("part"), "vec"), {0: _parts(n)})[0]
+    below: dict[int, Router] = {}
+    if n > root.parts * PART_ROWS:
+        told = _with_parts(cells.select("h1", "h2", "vec"), root, "part")
+        sizes = {r["part"]: r["n"] for r in told.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+        large = {k: min(MOST_PARTS, -(-v // PART_ROWS)) for k, v in sizes.items() if v > PART_ROWS}
+        some = sampled(told.where(F.col("part").isin(*large)), SAMPLE, ["h1", "h2"], group=F.col("part"), seed=seed).select("part", "vec")
+        below = routers(some, large)
     return Tree(root, below)
 
 
