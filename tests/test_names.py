@@ -82,6 +82,20 @@ def test_the_oldest_row_of_a_key_that_all_ask_for(spark):
     assert {tuple(r) for r in got} == {(0, 99_998), (100_000, 2)}
 
 
+def test_first_parents_never_pass_the_driver(spark):
+    p = spark.range(2, 3000).select(F.col("id").alias("sha"), (F.col("id") - 1).alias("first_parent"))
+    plans = []
+    from veinstone.operators import lineage
+
+    real = lineage.written
+    lineage.written = lambda df: plans.append(df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")) or real(df)
+    try:
+        assert impact.first_parent_path(p, 2999).count() == 2999
+    finally:
+        lineage.written = real
+    assert plans and not any("BroadcastHashJoin" in x for x in plans)
+
+
 def test_ranges_of_very_different_lengths_meet(spark):
     from veinstone.operators import ranges
 

@@ -102,7 +102,8 @@ def heartbeats(jobs: DataFrame, beats: DataFrame, lease: str) -> DataFrame:
 def first_parent_path(parents: DataFrame, start, stop=None, max_rounds: int = 40) -> DataFrame:
     """(sha, place) of the commits from start down its first parents, place from 0, to the one before stop (or the root), from parents(sha, first_parent).
 
-    Pointer doubling: a round doubles how far each commit on the path looks ahead, so a history of a million commits takes twenty."""
+    Pointer doubling: a round doubles how far each commit on the path looks ahead, so a history of a million commits takes twenty.
+    Its joins are never by broadcast: keys in a row take few bytes in a file, and many more in the driver."""
     from veinstone.operators.lineage import written
 
     spark = parents.sparkSession
@@ -110,11 +111,11 @@ def first_parent_path(parents: DataFrame, start, stop=None, max_rounds: int = 40
     path = written(spark.range(1).select(F.lit(start).alias("sha"), F.lit(0).cast("long").alias("place")))
     n = 1
     for _ in range(max_rounds):
-        more = path.join(hop, "sha").select(F.col("to").alias("sha"), (F.col("place") + n).alias("place"))
+        more = path.join(hop.hint("merge"), "sha").select(F.col("to").alias("sha"), (F.col("place") + n).alias("place"))
         path = written(path.union(more))
         if path.count() < 2 * n:
             break
-        hop, n = written(hop.join(hop.toDF("to", "next"), "to").select("sha", F.col("next").alias("to"))), 2 * n
+        hop, n = written(hop.join(hop.toDF("to", "next").hint("merge"), "to").select("sha", F.col("next").alias("to"))), 2 * n
     if stop is None:
         return path
     end = path.where(F.col("sha") == F.lit(stop)).agg(F.min("place").alias("_end"))
