@@ -47,6 +47,62 @@ def test_redirects(spark):
     assert got["a"] == ("c", "done") and got["b"] == ("c", "done") and got["x"][1] == "cycle"
 
 
+def test_file_graph_by_folders_is_the_whole_graph(spark):
+    """Files in one and in several folders, in one feature and in two, against all pairs of them."""
+    rng = random.Random(3)
+    names = [f"f{i:02}" for i in range(40)]
+    files = spark.createDataFrame([(f, d) for f in names for d in rng.sample("ABCD", rng.choice([1, 1, 1, 2]))] + [("x", None)], "path string, dir string")
+    imports = spark.createDataFrame([(rng.choice(names), rng.choice([*names, "x", "gone"])) for _ in range(60)], "src string, dst string")
+    changes = spark.createDataFrame([(g, rng.choice(names)) for g in range(50) for _ in range(4)], "grp int, item string")
+    member = spark.createDataFrame([(f, rng.choice("PQR"), rng.choice(["core", "other"])) for f in names if f != "f07"], "path string, feature string, role string")
+    told = {}
+    for dirs in files.where("dir is not null").toPandas().groupby("dir")["path"].apply(list):
+        for a in dirs:
+            for b in dirs:
+                if a < b:
+                    told[a, b] = told.get((a, b), 0.0) + 0.3 / (len(dirs) - 1)
+    for r in graph.signals(files, imports, changes).collect():
+        told[r.a, r.b] = told.get((r.a, r.b), 0.0) + r.w
+    got = graph.file_graph(files, imports, changes).collect()
+    assert len(got) == len(told) and all(abs(r.weight - told[r.a, r.b]) < 1e-9 for r in got)
+    whole = graph.file_graph(files, imports, changes).withColumn("weight", rounded(F.col("weight"), 6))
+    small = graph.compact_file_graph(files, imports, changes)
+    assert {tuple(r) for r in graph.top_files(small, 5).collect()} == {tuple(r) for r in graph.top_neighbours(whole, 5).select("node", "neighbour", "weight", "rank").collect()}
+    assert {tuple(r) for r in membership.centrality_of_files(small, member).collect()} == {tuple(r) for r in membership.centrality(whole, member).collect()}
+    both = member.union(spark.createDataFrame([("f01", "P", "core"), ("f02", "Q", "core")], member.schema)).distinct()
+    one = {(r.src, r.dst): r.weight for r in graph.rolled_up_files(graph.signals(files, imports, changes), graph.folders_of(files), both).collect()}
+    two = {(r.src, r.dst): r.weight for r in graph.rolled_up(graph.file_graph(files, imports, changes), both).collect()}
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in two)
+
+
+def test_a_large_folder_needs_no_pairs(spark):
+    # 5 * 10^9 pairs of one folder
+    files = spark.range(100_000).select(F.format_string("p%06d", "id").alias("path"), F.lit("d").alias("dir"))
+    none = spark.createDataFrame([], "src string, dst string")
+    small = graph.compact_file_graph(files, none, none.toDF("grp", "item"))
+    top = graph.top_files(small, 2)
+    assert top.count() == 200_000 and {r.neighbour for r in top.select("neighbour").distinct().collect()} == {"p000000", "p000001", "p000002"}
+
+
+def test_closure_by_shortest_paths(spark, monkeypatch):
+    """Loops, forks and a long chain; pairs already known are not joined with one another again."""
+    rng = random.Random(2)
+    edges = {(rng.randrange(60), rng.randrange(60)) for _ in range(90)} | {(100 + i, 101 + i) for i in range(70)}
+    rows = []
+    real = graph.written
+    monkeypatch.setattr(graph, "written", lambda df: (lambda out: rows.append(out.count()) or out)(real(df)))
+    got = {tuple(r) for r in graph.ancestors(spark.createDataFrame(list(edges), "node int, parent int")).collect()}
+    want, more = set(edges), set(edges)
+    while more:
+        more = {(a, d) for a, b in more for c, d in edges if b == c} - want
+        want |= more
+    assert got == want
+    # a chain's pairs are found once each: n ahead, then all that is known from there
+    rows.clear()
+    assert graph.ancestors(spark.createDataFrame([(i, i + 1) for i in range(64)], "node int, parent int")).count() == 64 * 65 // 2
+    assert max(rows) <= 64 * 65 // 2
+
+
 def test_louvain_two_triangles(spark):
     e = [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("d", "e", 1.0), ("e", "f", 1.0), ("d", "f", 1.0), ("c", "d", 0.1)]
     frame = spark.createDataFrame(e, "a string, b string, weight double")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veinstone.functions.numbers import rounded
+from veinstone.operators.spreading import spread
 
 
 def centrality(edges: DataFrame, membership: DataFrame, floor: float = 0.05) -> DataFrame:
@@ -20,6 +21,28 @@ def centrality(edges: DataFrame, membership: DataFrame, floor: float = 0.05) ->
     return m.join(share, "path", "left").select("path", "feature", rounded(role * F.greatest(F.lit(floor), F.coalesce("share", F.lit(0.0))), 3).alias("weight"))
 
 
+def centrality_of_files(g, membership: DataFrame, floor: float = 0.05, places: int = 6) -> DataFrame:
+    """centrality() of a whole graph.FileGraph, weights rounded to so many places: a file's pairs by folder alone are counted by feature, not met one by one."""
+    near = g.near.select("a", "b", rounded(F.col("weight"), places).alias("weight"))
+    m = membership.select("path", "feature", "role")
+    both = near.select(F.col("a").alias("path"), F.col("b").alias("other"), "weight").union(near.select(F.col("b").alias("path"), F.col("a").alias("other"), "weight"))
+    n = 2 * near.count()
+    met = spread(both, n, "other").join(m.select(F.col("path").alias("other"), F.col("feature").alias("of")), "other", "left")
+    met = spread(met.groupBy("path", "of").agg(F.sum("weight").alias("weight")), n, "path")
+    folder = g.folders.select("dir", "path", rounded(F.col("w"), places).alias("w"))
+    mates = folder.join(m.select("path", F.col("feature").alias("of")), "path", "left").groupBy("dir", "of").agg(F.count(F.lit(1)).alias("n"))
+    by_folder = folder.join(mates, "dir").select("path", "of", (F.col("n") * F.col("w")).alias("weight"))
+    # a file is no mate of its own, and pairs met above have their folders' part already
+    away = folder.join(m.select("path", F.col("feature").alias("of")), "path", "left").select("path", "of", (-F.col("w")).alias("weight"))
+    told = g.inside.select("dir", F.col("a").alias("path"), F.col("b").alias("other")).union(g.inside.select("dir", F.col("b").alias("path"), F.col("a").alias("other")))
+    told = told.join(folder, ["dir", "path"]).join(m.select(F.col("path").alias("other"), F.col("feature").alias("of")), "other", "left").select("path", "of", (-F.col("w")).alias("weight"))
+    every = met.union(by_folder).union(away).union(told).groupBy("path", "of").agg(F.sum("weight").alias("weight"))
+    share = m.select("path", "feature").join(every, "path").groupBy("path", "feature").agg(F.sum(F.when(F.col("of") == F.col("feature"), F.col("weight")).otherwise(0.0)).alias("own"), F.sum("weight").alias("all"))
+    share = share.select("path", "feature", F.when(F.col("all") > 1e-9, F.col("own") / F.col("all")).alias("share"))
+    role = F.when(F.col("role") == "core", 1.0).otherwise(0.5)
+    return m.join(share, ["path", "feature"], "left").select("path", "feature", rounded(role * F.greatest(F.lit(floor), F.coalesce("share", F.lit(0.0))), 3).alias("weight"))
+
+
 def churn(before: DataFrame, after: DataFrame) -> DataFrame:
     """(feature, moved, base, churn) between two memberships (path, feature, weight).
 
