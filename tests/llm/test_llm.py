@@ -625,3 +625,19 @@ def test_pipeline_stages_on_odd_rows(spark):
     none = d.limit(0)
     for name, stage in P.STAGES:
         assert stage(spark, none, DATA).count() == 0, name
+
+
+def test_personal_data_is_learned_from_every_document(spark, monkeypatch):
+    class Told(Exception):
+        pass
+
+    def stop(df):
+        raise Told(df.where("label = 1").count(), df.where("label = 0").count())
+
+    monkeypatch.setattr(pii, "written", stop)
+    d = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("call +49 30 1234567 or 99 12 "), F.col("id").cast("string")).alias("text"))
+    with pytest.raises(Told) as one:
+        pii.fit(d)
+    with pytest.raises(Told) as two:
+        pii.fit(d.union(d.limit(500)))
+    assert one.value.args == two.value.args and one.value.args[0] > 20_000

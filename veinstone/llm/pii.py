@@ -11,7 +11,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veinstone.llm.samples import sampled
 from veinstone.operators.lineage import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -40,8 +39,6 @@ HINTS = {
 FEATURES = ("length", "digits", "dots", "blanks", "dashes", "parens", "at_sign", "spelled", "parts", "longest", "luhn", "octets", "letters_before", "letters_after", *HINTS)
 #: Where the digits of a card at even places from the right are doubled (fixed rule: 2d, less 9 if above 9).
 _DOUBLED = "0246813579"
-#: The sample that the trees learn from is dealt to so many tasks.
-TASKS = 48
 
 
 def luhn(digits: Column) -> Column:
@@ -229,7 +226,7 @@ def _altered(kind: str, found: Column, style: Column) -> Column:
 
 
 def altered_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, style, kind, start, stop, text: each base match, altered, with the text just before and after it. Addresses
+    """doc_id, style, kind, from, start, stop, text: each base match (which began at from), altered, with the text just before and after it. Addresses
     of hosts are left out: whatever has their format is a base match."""
     told = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kinds = [k for k in KINDS if k != "ip"]
@@ -245,19 +242,19 @@ def altered_copies(docs: DataFrame) -> DataFrame:
         new = F.when(F.col("m.kind") == k, _altered(k, F.col("m.found"), style)).otherwise(new)
     before = F.substring(F.col("text"), F.greatest(F.col("m.start") - 39, F.lit(1)), F.least(F.col("m.start"), F.lit(40)))
     after = F.substring(F.col("text"), F.col("m.stop") + 1, F.lit(20))
-    told = told.select("doc_id", style.alias("style"), "m.kind", before.alias("before"), new.alias("new"), after.alias("after"))
-    return told.select("doc_id", "style", "kind", F.length("before").alias("start"), (F.length("before") + F.length("new")).alias("stop"), F.concat("before", "new", "after").alias("text"))
+    told = told.select("doc_id", style.alias("style"), "m.kind", F.col("m.start").alias("from"), before.alias("before"), new.alias("new"), after.alias("after"))
+    return told.select("doc_id", "style", "kind", "from", F.length("before").alias("start"), (F.length("before") + F.length("new")).alias("stop"), F.concat("before", "new", "after").alias("text"))
 
 
 def labelled(docs: DataFrame) -> DataFrame:
-    """doc_id, style, label, c: candidates that meet no base match, the only ones that can be added. 1 for those that an altered
+    """doc_id, style, label, from, c: candidates that meet no base match, the only ones that can be added. 1 for those that an altered
     copy of a base match gives, with its kind and style; 0, and style -1, for those of the texts. Some of the latter may be personal data: positives are learned
     against what is unlabelled, no rule says which of it is not."""
-    copies = spans_table(altered_copies(docs), "style", "kind", "start", "stop").select("doc_id", "style", "kind", "start", "stop", F.explode("proposed").alias("c"))
+    copies = spans_table(altered_copies(docs), "style", "kind", "from", "start", "stop").select("doc_id", "style", "kind", "from", "start", "stop", F.explode("proposed").alias("c"))
     ours = (F.col("c.kind") == F.col("kind")) & (F.col("c.start") < F.col("stop")) & (F.col("start") < F.col("c.stop"))
-    good = copies.where(ours & ~F.col("c.met")).select("doc_id", "style", F.lit(1.0).alias("label"), "c")
+    good = copies.where(ours & ~F.col("c.met")).select("doc_id", "style", F.lit(1.0).alias("label"), "from", "c")
     found = spans_table(docs).select("doc_id", F.lit(-1).alias("style"), F.explode("proposed").alias("c"))
-    return good.union(found.where(~F.col("c.met")).select("doc_id", "style", F.lit(0.0).alias("label"), "c"))
+    return good.union(found.where(~F.col("c.met")).select("doc_id", "style", F.lit(0.0).alias("label"), F.lit(-1).alias("from"), "c"))
 
 
 def _tree(node, x: Column) -> Column:
@@ -281,17 +278,18 @@ class SpanModel:
         return 1 / (1 + F.exp(-2 * margin))
 
 
-def fit(docs: DataFrame, max_docs: int = 20_000, precision: float = 0.8, least: int = 10, trees: int = 8, depth: int = 4) -> SpanModel:
-    """Learns from a sample, by hash, of at most max_docs different documents which candidates look like personal data.
+def fit(docs: DataFrame, precision: float = 0.8, least: int = 10, trees: int = 8, depth: int = 4) -> SpanModel:
+    """Learns from all documents which candidates look like personal data; repeated documents count once.
 
     Positives are candidates that altered copies of base matches give, in their place between the words around them; what else the texts propose is unlabelled and counts against
-    them (positive-unlabelled learning). Trees are trained on two thirds of the styles of alteration and on what seven tenths of the sample's documents propose, and calibrated on the
+    them (positive-unlabelled learning). Trees are trained on two thirds of the styles of alteration and on what seven tenths of the documents propose, and calibrated on the
     other styles and the other documents: each kind's threshold is set from the lowest score, in hundredths, from which on at least `least`
     candidates have the precision asked for, unlabelled ones all taken as wrong, so the true precision is no less; it lies halfway to the next score below. Kinds with fewer held-out positives share a threshold over all kinds. Without both labels, or a threshold that reaches it, nothing is added.
     """
-    sample = sampled(docs.select("doc_id", "text"), max_docs, ["doc_id", "text"], seed=17).select(F.xxhash64("doc_id", "text").alias("doc_id"), "text").repartition(TASKS, "doc_id")
-    told = labelled(sample).select(F.pmod(F.xxhash64(F.lit(18), "doc_id"), F.lit(10)).alias("fold"), "style", "label", "c")
-    told = written(told.select("fold", "style", "c.kind", "label", *[F.col("c.x")[f].alias(f) for f in FEATURES]))
+    told = labelled(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"))
+    # candidates are shuffled, no texts; those of one document differ in their places, those of its copies agree
+    told = told.select("doc_id", F.pmod(F.xxhash64(F.lit(18), "doc_id"), F.lit(10)).alias("fold"), "style", "label", "from", "c.kind", "c.start", "c.stop", *[F.col("c.x")[f].alias(f) for f in FEATURES])
+    told = written(told.dropDuplicates(["doc_id", "style", "from", "start", "stop"]).drop("doc_id", "from", "start", "stop"))
     unlabelled, held_out = F.col("style") < 0, _held_out(F.col("style"))
     train = told.where(F.when(unlabelled, F.col("fold") < 7).otherwise(~held_out))
     if train.select("label").distinct().count() < 2:
