@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veinstone.functions import text as T
 from veinstone.functions.cost import cap, micros, usd
 from veinstone.functions.numbers import rounded
-from veinstone.operators import graph, identity, membership, ranges, stateful, topk
+from veinstone.operators import caching, graph, identity, membership, ranges, stateful, topk
 
 
 def test_components_match_union_find(spark):
@@ -221,3 +221,14 @@ def test_job_fold(spark):
     steps = ["signup", "view", "error", "view", "error", "view", "error", "view"]
     d = spark.createDataFrame([(1, s, i, i) for i, s in enumerate(steps)], "user_id long, event_type string, ts long, event_id long")
     assert tuple(stateful.job_states(d).first()) == (1, "failed", 3, 7, 1)
+
+
+def test_graph_problems_join_a_row_a_node(spark):
+    edges = spark.range(20_000).select((F.col("id") % 5).alias("a"), F.when(F.col("id") % 4 > 0, F.col("id") % 7).alias("b"), F.when(F.col("id") % 10 > 0, 1.0).alias("weight"))
+    out = caching.graph_problems(spark.createDataFrame([(i,) for i in (0, 1, 2, 2)], "node long"), edges)
+    got = {(r["problem"], r["item"]): r["n"] for r in out.collect()}
+    assert got["unknown end", None] == 5000 and got["unknown end", "3"] == 4000 + sum(i % 4 > 0 and i % 7 == 3 for i in range(20_000)) and got["node twice", "2"] == 2
+    assert sum(n for (p, _), n in got.items() if p == "bad weight") == 2000
+    # no anti join reads the edges themselves
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "explode" not in plan

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veinstone.operators.lineage import written
+from veinstone.operators.spreading import spread
 
 
 def misses(current: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,10 +57,12 @@ def shallow_first(paths: DataFrame, limit: int, rules: list[str]) -> DataFrame:
 def graph_problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(problem, item, n) of nodes(node) and edges(a, b, weight): nodes named twice, ends that are no node, weights that are no number above 0."""
     twice = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("node twice").alias("problem"), F.col("node").cast("string").alias("item"), "n")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
-    lost = ends.join(nodes.select("node").distinct(), "node", "left_anti").groupBy("node").agg(F.count(F.lit(1)).alias("n")).select(F.lit("unknown end"), F.col("node").cast("string"), "n")
+    # ends are counted before they meet the nodes, so the join has a row a node, not one an edge; written, as Spark would move the join ahead again
+    ends = written(edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+    lost = ends.join(nodes.select("node").distinct(), "node", "left_anti").select(F.lit("unknown end"), F.col("node").cast("string"), "n")
     good = F.coalesce((F.col("weight") > 0) & (F.col("weight") < float("inf")), F.lit(False))
-    bad = edges.where(~good).groupBy(F.concat_ws(" ", "a", "b").alias("item")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("bad weight"), "item", "n")
+    wrong = edges.where(~good).select(F.concat_ws(" ", "a", "b").alias("item"))
+    bad = spread(wrong, wrong.count(), "item").groupBy("item").agg(F.count(F.lit(1)).alias("n")).select(F.lit("bad weight"), "item", "n")
     return twice.union(lost).union(bad)
 
 
