@@ -286,3 +286,30 @@ def test_followed_over_many_blocks(spark):
     got = scans.followed(spark.createDataFrame(rows, "k int, pos long, next long"), ["k"], block=16)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert scans.followed(spark.createDataFrame([], "k int, pos long, next long"), ["k"]).count() == 0
+
+
+def test_followed_within_one_block_takes_few_rounds(spark, monkeypatch):
+    n, real = [], scans.written
+    monkeypatch.setattr(scans, "written", lambda df: n.append(1) or real(df))
+    rows = [(k, p, p + 1 + (p + k) % 3) for k in range(4) for p in range(20)]
+    got = {(r["k"], r["pos"]) for r in scans.followed(spark.createDataFrame(rows, "k int, pos long, next long"), ["k"]).collect()}
+    want = set()
+    for k in range(4):
+        p = 0
+        while p < 20:
+            want.add((k, p))
+            p += 1 + (p + k) % 3
+    assert got == want
+    assert len(n) <= 9  # before: 15
+
+
+def test_followed_with_long_and_short_keys(spark):
+    rows = [(k, p, p + 1 + (p * 7 + k) % 5) for k, size in ((0, 200), (1, 9), (2, 1), (3, 64)) for p in range(size)]
+    got = {(r["k"], r["pos"]) for r in scans.followed(spark.createDataFrame(rows, "k int, pos long, next long"), ["k"], block=16).collect()}
+    want = set()
+    for k, size in ((0, 200), (1, 9), (2, 1), (3, 64)):
+        p = 0
+        while p < size:
+            want.add((k, p))
+            p += 1 + (p * 7 + k) % 5
+    assert got == want

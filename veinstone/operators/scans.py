@@ -22,16 +22,18 @@ def followed(jumps: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame
     most = all_.agg(F.max("pos")).first()[0]
     if most is None:
         return jumps.select(*keyed)
-    # strides inside blocks, until all have left theirs
-    inside = [all_.withColumn("_in", F.floor(F.col("next") / block) == F.col("_block"))]
-    exits = inside[0].select(*keyed, "next", "_block", "_in")
+    if int(most) < block:  # no key goes beyond its first block
+        return _reached(all_.select(*keyed, "next"), keys, int(most) + 1)
+    # strides inside blocks, until all have left theirs; keys of one block begin at 0 alone
+    long = written(all_.where(F.col("pos") == block).select(*keys))
+    exits = all_.join(long, keys, "left_semi").withColumn("_in", F.floor(F.col("next") / block) == F.col("_block")).select(*keyed, "next", "_block", "_in")
     for _ in range(max(1, block - 1).bit_length()):
         ahead = exits.select(*keys, F.col("pos").alias("next"), F.col("next").alias("_then"))
         exits = exits.join(ahead, [*keys, "next"], "left").select(*keyed, F.when(F.col("_in"), F.coalesce("_then", "next")).otherwise(F.col("next")).alias("next"), "_block")
         exits = written(exits.withColumn("_in", F.floor(F.col("next") / block) == F.col("_block")))
         if exits.where("_in").join(all_.select(*keys, F.col("pos").alias("next")), [*keys, "next"], "left_semi").isEmpty():
             break
-    entered = _reached(exits.select(*keyed, "next"), keys, int(most) // block + 2)
+    entered = _reached(exits.select(*keyed, "next"), keys, int(most) // block + 2).union(all_.where("pos = 0").select(*keyed)).distinct()
     return _reached(all_.select(*keyed, "next"), keys, block, entered)
 
 
