@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veinstone.functions import text as T
 from veinstone.functions.cost import cap, micros, usd
 from veinstone.functions.numbers import rounded
-from veinstone.operators import caching, graph, identity, membership, ranges, stateful, topk
+from veinstone.operators import caching, cochange, deltas, graph, identity, membership, ranges, spreading, stateful, topk
 
 
 def test_components_match_union_find(spark):
@@ -232,3 +232,14 @@ def test_graph_problems_join_a_row_a_node(spark):
     # no anti join reads the edges themselves
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and "explode" not in plan
+
+
+def test_updated_pairs_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(spreading, "TASK_ROWS", 40)
+    old = spark.createDataFrame([(g, i) for g in range(60) for i in range(g % 5, g % 5 + 6)], "grp long, item long")
+    signed = spark.createDataFrame([(g, i, s) for g in range(0, 60, 3) for i, s in ((g % 5, -1), (90 + g, 1), (91 + g, 1))], "grp long, item long, sign int")
+    out = deltas.updated_pairs(cochange.cochange_pairs(old, 50), old, signed, 50)
+    want = cochange.cochange_pairs(deltas.after(old, signed), 50)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [a" in plan

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from veinstone.operators.cochange import grouped_items, paired
 from veinstone.operators.lineage import written
+from veinstone.operators.spreading import spread
 
 
-def added_up(counts: DataFrame, delta: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """counts(keys, value) with delta(keys, value), of either sign, added; rows that come to 0 are gone. Null keys agree with null keys."""
+def added_up(counts: DataFrame, delta: DataFrame, keys: list[str], value: str, rows: int = 0) -> DataFrame:
+    """counts(keys, value) with delta(keys, value), of either sign, added; rows that come to 0 are gone. Null keys agree with null keys.
+    rows: how many both have, where that is known, so that they are dealt to tasks of one size."""
     both = counts.select(*keys, value).unionByName(delta.select(*keys, value))
-    return both.groupBy(*keys).agg(F.sum(value).alias(value)).where(F.col(value) != 0)
+    return spread(both, rows, *keys).groupBy(*keys).agg(F.sum(value).alias(value)).where(F.col(value) != 0)
 
 
 def after(rows: DataFrame, signed: DataFrame) -> DataFrame:
@@ -35,12 +37,14 @@ def cochange_delta(changes: DataFrame, signed: DataFrame, sweep: int) -> DataFra
     old = changes.select("grp", "item").join(touched, "grp", "left_semi")
     before = paired(grouped_items(old, sweep)).withColumn("n_shared", -F.col("n_shared"))
     now = paired(grouped_items(after(old, signed.select("grp", "item", "sign")), sweep))
-    return before.union(now).groupBy("a", "b").agg(F.sum("n_shared").alias("n_shared")).where("n_shared <> 0")
+    both = written(before.union(now))
+    return spread(both, both.count(), "a", "b").groupBy("a", "b").agg(F.sum("n_shared").alias("n_shared")).where("n_shared <> 0")
 
 
 def updated_pairs(pairs: DataFrame, changes: DataFrame, signed: DataFrame, sweep: int) -> DataFrame:
     """pairs(a, b, n_shared), which are those of changes, as they are after signed: the same as counting anew."""
-    return added_up(pairs, cochange_delta(changes, signed, sweep), ["a", "b"], "n_shared")
+    delta = written(cochange_delta(changes, signed, sweep))
+    return added_up(pairs, delta, ["a", "b"], "n_shared", pairs.count() + delta.count())
 
 
 def carried_forward(previous: DataFrame, current: DataFrame, keys: list[str], version: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
