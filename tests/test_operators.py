@@ -243,3 +243,14 @@ def test_updated_pairs_are_dealt_by_rows(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [a" in plan
+
+
+def test_groups_are_dealt_by_rows_and_large_ones_apart(spark, monkeypatch):
+    rows = spark.createDataFrame([(g, i) for g in range(40) for i in range(60 if g == 7 else 20 if g == 8 else 3)] + [(None, 1), (1, None)], "grp int, item int")
+    monkeypatch.setattr(spreading, "TASK_ROWS", 20)
+    want = {(g, tuple(range(20 if g == 8 else 3))) for g in range(40) if g != 7}
+    got = cochange.grouped_items(rows, 50)
+    assert got.rdd.getNumPartitions() >= rows.count() // 20 - 1
+    assert {(r.grp, tuple(r["items"])) for r in got.collect()} == want
+    monkeypatch.setattr(cochange, "LARGE", 10)
+    assert {(r.grp, tuple(r["items"])) for r in cochange.grouped_items(rows, 50).collect()} == want
