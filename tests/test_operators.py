@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veinstone.functions import text as T
 from veinstone.functions.cost import cap, micros, usd
 from veinstone.functions.numbers import rounded
-from veinstone.operators import caching, cochange, deltas, graph, identity, membership, ranges, spreading, stateful, topk
+from veinstone.operators import caching, cochange, deltas, graph, identity, integrity, membership, ranges, spreading, stateful, topk
 
 
 def test_components_match_union_find(spark):
@@ -254,3 +254,13 @@ def test_groups_are_dealt_by_rows_and_large_ones_apart(spark, monkeypatch):
     assert {(r.grp, tuple(r["items"])) for r in got.collect()} == want
     monkeypatch.setattr(cochange, "LARGE", 10)
     assert {(r.grp, tuple(r["items"])) for r in cochange.grouped_items(rows, 50).collect()} == want
+
+
+def test_containment_is_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(spreading, "TASK_ROWS", 20)
+    sets = {(w, k): {i for i in range(6) if (k * 7 + w) >> i & 1} for w in range(3) for k in range(25)}
+    rows = [(w, k, i) for (w, k), s in sets.items() for i in s] * 2 + [(None, 1, 1), (1, None, 1), (1, 99, None)]
+    out = integrity.contained(spark.createDataFrame(rows, "w int, k int, i int"), "w", "k", "i")
+    want = {(w, k, j) for (w, k), s in sets.items() for (v, j), t in sets.items() if v == w and j != k and t and t <= s}
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert "RepartitionByExpression [w" in out._jdf.queryExecution().optimizedPlan().toString()

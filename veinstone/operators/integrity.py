@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veinstone.operators.lineage import written
+from veinstone.operators.spreading import spread
+
 
 def violations(rows: DataFrame, parents: DataFrame, key: str, problem: str) -> DataFrame:
     """(key, problem) of rows whose key no parent has; null keys refer to nothing and are fine."""
@@ -32,11 +35,17 @@ def same_members(one: DataFrame, two: DataFrame, keys: list[str]) -> bool:
 def contained(sets: DataFrame, within: str, key: str, item: str) -> DataFrame:
     """(within, key, other): of sets(within, key, item), those that hold all items of another set of the same `within`.
 
-    A set looks for its holders only where its rarest item occurs, so sets of common items alone meet many; each set fits a row."""
-    rows = sets.select(within, key, item).distinct()
-    whole = rows.groupBy(within, key).agg(F.collect_set(item).alias("_items"))
-    often = rows.groupBy(within, item).agg(F.count(F.lit(1)).alias("_n"))
-    rarest = rows.join(often, [within, item]).groupBy(within, key).agg(F.min(F.struct("_n", item)).alias("_m")).select(within, key, F.col(f"_m.{item}").alias(item))
-    small = whole.join(rarest, [within, key]).select(within, item, F.col(key).alias("other"), F.col("_items").alias("_held"))
-    met = whole.join(rows, [within, key]).join(small, [within, item]).where(F.col(key) != F.col("other"))
+    A set looks for its holders only where its rarest item occurs, so sets of common items alone meet many; each set fits a row. Sets are written, and dealt to
+    tasks of one size."""
+    rows = written(sets.select(within, key, item))
+    rows = written(spread(rows, rows.count(), within, key).distinct())
+    n = rows.count()
+    often = spread(rows, n, within, item).groupBy(within, item).agg(F.count(F.lit(1)).alias("_n"))
+    counted = spread(rows, n, within, item).join(often, [within, item])
+    # sets with their rarest items
+    whole = spread(counted, n, within, key).groupBy(within, key).agg(F.collect_set(item).alias("_items"), F.min(F.struct("_n", item)).alias("_m"))
+    whole = written(whole.select(within, key, "_items", F.col(f"_m.{item}").alias("_rarest")))
+    small = whole.select(within, F.col("_rarest").alias(item), F.col(key).alias("other"), F.col("_items").alias("_held"))
+    each = whole.select(within, key, "_items", F.explode("_items").alias(item))
+    met = spread(each, n, within, item).join(small, [within, item]).where(F.col(key) != F.col("other"))
     return met.where(F.size(F.array_except("_held", "_items")) == 0).select(within, key, "other")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veinstone.functions import cost
 from veinstone.functions.numbers import rounded
 from veinstone.operators import identity, integrity, ledger, stateful
+from veinstone.operators.spreading import spread
 from veinstone.sources.tables import table
 
 
@@ -97,7 +98,8 @@ def set_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose set of parts holds that of another order of the same customer."""
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") % 10).alias("item"))
-    return integrity.contained(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").join(li, "o_orderkey"), "o_custkey", "o_orderkey", "item").select("o_orderkey", "other")
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").join(spread(li, li.count(), "o_orderkey"), "o_orderkey")
+    return integrity.contained(orders, "o_custkey", "o_orderkey", "item").select("o_orderkey", "other")
 
 
 def alias_multimap(spark: SparkSession, sf_dir: str) -> DataFrame:
