@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from veinstone.functions import text as T
 from veinstone.functions.cost import cap, micros, usd
 from veinstone.functions.numbers import rounded
-from veinstone.operators import caching, cochange, deltas, graph, identity, integrity, membership, ranges, spreading, stateful, topk
+from veinstone.operators import caching, cochange, deltas, graph, identity, integrity, membership, ranges, search, spreading, stateful, topk
 
 
 def test_components_match_union_find(spark):
@@ -264,3 +265,17 @@ def test_containment_is_dealt_by_rows(spark, monkeypatch):
     want = {(w, k, j) for (w, k), s in sets.items() for (v, j), t in sets.items() if v == w and j != k and t and t <= s}
     assert sorted(map(tuple, out.collect())) == sorted(want)
     assert "RepartitionByExpression [w" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_search_is_dealt_by_terms_and_pairs(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"word{c}" for c in "abcdefgh"[: i % 8 + 1])) for i in range(40)], "id int, body string")
+    asked = spark.createDataFrame([(q, f"worda word{'abcdefgh'[q]}") for q in range(8)], "query_id int, query string")
+    idx = search.index(docs, ["body"])
+    found = lambda: search.search(idx, asked, {"body": 1}, limit=5)
+    want = sorted(map(tuple, found().collect()))
+    monkeypatch.setattr(spreading, "TASK_ROWS", 10)
+    out = found()
+    assert len(want) == 40 and sorted(map(tuple, out.collect())) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # more tasks than the session's four: there are at most 320 pairs of a document and a query
+    assert any(int(x) > 4 for x in re.findall(r"RepartitionByExpression \[id#[^]]*\], (\d+)", plan))
