@@ -313,3 +313,21 @@ def test_followed_with_long_and_short_keys(spark):
             want.add((k, p))
             p += 1 + (p * 7 + k) % 5
     assert got == want
+
+
+def test_changed_rows_returns_places_alone():
+    """Texts stay in Spark: Python returns one number a row, whatever the elements' length."""
+    from veinstone.functions.diffs import _places
+
+    pairs = lambda a, b: [(x >> 32, x >> 1 & (1 << 31) - 1, x & 1) for x in _places(a, b).tolist()]
+    assert pairs(list("abcd"), list("axyzd")) == [(1, 1, 1), (2, 2, 0), (3, 3, 0), (0, 4, 0), (4, 5, 1)]
+    assert pairs(list("ab"), []) == [(1, 0, 0), (2, 0, 0)] and pairs([], list("ab")) == [(0, 1, 0), (0, 2, 0)] and pairs([], []) == []
+    assert pairs(list("abcx"), list("x")) == [(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 1, 1)]
+    assert _places(["x" * 100_000], ["y" * 100_000]).nbytes == 8
+
+
+def test_claim_changes_compare_once(spark):
+    from veinstone.plans.evolution import claim_changes
+
+    out = claim_changes(spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
