@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -85,6 +86,18 @@ def test_a_large_folder_needs_no_pairs(spark):
     assert top.count() == 200_000 and {r.neighbour for r in top.select("neighbour").distinct().collect()} == {"p000000", "p000001", "p000002"}
 
 
+def test_pairs_of_a_folder_are_dealt_by_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_ROWS", 50, raising=False)
+    monkeypatch.setattr(spreading, "TASK_ROWS", 50)
+    files = spark.createDataFrame([(f"p{i:02d}", "d") for i in range(60)] + [("q1", "e"), ("q2", "e"), ("r", None)], "path string, dir string")
+    imports = spark.createDataFrame([("p03", "p01"), ("r", "p02")], "src string, dst string")
+    out = graph.file_graph(files, imports, spark.createDataFrame([], "grp string, item string"))
+    got = out.withColumn("task", F.spark_partition_id()).collect()
+    assert len({(r.a, r.b) for r in got}) == len(got) == 60 * 59 // 2 + 2 and all(r.a < r.b for r in got)
+    assert {(r.a, r.b) for r in got if r.weight >= 1} == {("p01", "p03"), ("p02", "r")}
+    assert max(Counter(r.task for r in got).values()) < 400  # before, all 1,770 in one
+
+
 def test_closure_by_shortest_paths(spark, monkeypatch):
     """Loops, forks and a long chain; pairs already known are not joined with one another again."""
     rng = random.Random(2)
