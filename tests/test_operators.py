@@ -132,6 +132,17 @@ def test_louvain_ring_of_cliques(spark):
     assert sorted(r["count"] for r in got) == [5] * 6
 
 
+def test_louvain_of_hubs_is_that_of_blocks(spark, monkeypatch):
+    """Planted groups, a loop and a repeated edge; nodes of many links are summed as rows, with the same result."""
+    rng = random.Random(5)
+    e = [(i, j, float(rng.randint(1, 3))) for i in range(80) for j in range(i) if rng.random() < (0.5 if i % 4 == j % 4 else 0.03)]
+    frame = spark.createDataFrame(e + [(3, 3, 2.0), (e[0][1], e[0][0], 1.0)], "a long, b long, weight double")
+    got = {tuple(r) for r in graph.louvain(frame).collect()}
+    assert got == {(i, i % 4) for i in range(80)}
+    monkeypatch.setattr(graph.moving, "HUB", 14)
+    assert {tuple(r) for r in graph.louvain(frame).collect()} == got
+
+
 def test_small_clusters_are_absorbed(spark):
     big = [(f"a/b/f{i}", "A") for i in range(6)] + [(f"c/f{i}", "C") for i in range(7)]
     small = [("a/b/x", "x"), ("c/y", "y"), ("c/z", "z"), ("q", "q")]
