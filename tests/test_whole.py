@@ -7,7 +7,9 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from veinstone.functions import diffs
 from veinstone.operators import graph, moving
+from veinstone.plans.evolution import claim_changes
 
 
 def test_a_block_meets_few_nodes_of_near_numbers(spark):
@@ -43,3 +45,39 @@ def test_louvain_of_groups(spark):
     groups = [rng.sample(range(k * 10, k * 10 + 10), 4) for k in range(4) for _ in range(30)] + [rng.sample(range(40), 2) for _ in range(10)] + [[5], [39]]
     got = graph.louvain_of_groups(spark.createDataFrame([(g,) for g in groups + groups[:20]], "items array<long>"), max_turns=6, max_levels=3)
     assert {tuple(r) for r in got.collect()} == {(i, i // 10 * 10) for i in range(40)}
+
+
+def by_table(old, new):
+    """The rule of kept_pairs(), on a table of lengths."""
+    length = [[0] * (len(new) + 1) for _ in range(len(old) + 1)]
+    for i in range(len(old) - 1, -1, -1):
+        for j in range(len(new) - 1, -1, -1):
+            length[i][j] = length[i + 1][j + 1] + 1 if old[i] == new[j] else max(length[i + 1][j], length[i][j + 1])
+    out, j = [], 0
+    for i, x in enumerate(old):
+        if j < len(new) and (new[j] == x or length[i][j] > length[i + 1][j]):
+            j = new.index(x, j)
+            out.append((i, j))
+            j += 1
+    return out
+
+
+def test_comparisons_hold_few_rows_and_keep_the_same(monkeypatch):
+    rng = random.Random(4)
+    for held in (diffs.HELD, 40, 1):
+        monkeypatch.setattr(diffs, "HELD", held)
+        for _ in range(1500):
+            old, new, end = (rng.choices("abcdefg"[: rng.randrange(1, 8)], k=rng.randrange(14)) for _ in range(3))
+            assert diffs.kept_pairs(old + end, new + end) == by_table(old + end, new + end)
+        old, new = ([rng.randrange(5) for _ in range(90)] for _ in range(2))
+        assert diffs.kept_pairs(old, new) == by_table(old, new)
+
+
+def test_claim_changes_compare_long_turns(spark, tmp_path):
+    said = [f"Sentence {i}." for i in range(1200)]  # 1.4 million cells
+    other = [*said[:600], "Another one.", *said[601:]]
+    rows = [(1, k, "user", " ".join(x)) for k, x in enumerate((said, said, other))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = claim_changes(spark, str(tmp_path)).orderBy("turn", "place").collect()
+    assert len(got) == 1200 and {r["turn"] for r in got} == {1}  # before: 1,200 changed rows for either turn
+    assert [(r["place"], r["before"], r["after"]) for r in got if r["kind"] != "context"] == [(600, "Sentence 600.", "Another one.")]

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veinstone.functions.dates import stated_dates as dates_of
-from veinstone.functions.diffs import MAX_CELLS, changed_rows
+from veinstone.functions.diffs import changed_rows
 from veinstone.operators import deltas, evolution, history, merging, registry, scans
 from veinstone.operators.cochange import cochange_pairs
 from veinstone.operators.lineage import written
@@ -180,9 +180,8 @@ def claim_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of what changed from each turn of a conversation to the next, sentence by sentence (no SQL: a longest common subsequence)."""
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("claims", F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("claims").alias("after"))
-    # equal turns have nothing but context, unless they are too long to be compared; asked of the rows themselves, as posexplode does too, this would run the comparison twice
-    cells = (F.size("claims") + 1).cast("long") * (F.size("after") + 1)
-    rows = c.join(nxt, ["conv_id", "turn"]).where((F.col("claims") != F.col("after")) | (cells > MAX_CELLS)).select("conv_id", "turn", changed_rows(F.col("claims"), F.col("after")).alias("d"))
+    # equal turns have nothing but context; asked of the rows themselves, as posexplode does too, this would run the comparison twice
+    rows = c.join(nxt, ["conv_id", "turn"]).where(F.col("claims") != F.col("after")).select("conv_id", "turn", changed_rows(F.col("claims"), F.col("after")).alias("d"))
     return rows.select("conv_id", "turn", F.posexplode_outer("d").alias("place", "d")).select("conv_id", "turn", "place", "d.*")
 
 
