@@ -9,6 +9,7 @@ import pyarrow as pa
 
 from veinstone.functions import diffs
 from veinstone.operators import graph, moving
+from veinstone.plans import graphs
 from veinstone.plans.evolution import claim_changes
 
 
@@ -81,3 +82,22 @@ def test_claim_changes_compare_long_turns(spark, tmp_path):
     got = claim_changes(spark, str(tmp_path)).orderBy("turn", "place").collect()
     assert len(got) == 1200 and {r["turn"] for r in got} == {1}  # before: 1,200 changed rows for either turn
     assert [(r["place"], r["before"], r["after"]) for r in got if r["kind"] != "context"] == [(600, "Sentence 600.", "Another one.")]
+
+
+def test_all_parts_of_a_brand_are_of_one_folder(spark):
+    """Before, a folder was a brand, type and size: one pair of 200 parts shared one."""
+    brand = {f"p{r['p_partkey']}": r["p_brand"] for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
+    got = {(r["a"], r["b"]) for r in graphs.file_graph_edges(spark, "/root/testdata/sf0.001").collect()}
+    want = {(a, b) for a in brand for b in brand if a < b and brand[a] == brand[b]}
+    assert len(want) == 752 and want <= got
+
+
+def test_parts_of_a_large_folder_meet_once(spark, monkeypatch):
+    """30 files in parts of some 3, pairs that other signals speak for left out of the folder's."""
+    monkeypatch.setattr(graph, "TASK_ROWS", 9)
+    files = spark.createDataFrame([(f"f{i:02d}", "d") for i in range(30)] + [("x", "e"), ("y", "e")], "path string, dir string")
+    imports = spark.createDataFrame([("f01", "f09"), ("f20", "f05"), ("f20", "x")], "src string, dst string")
+    g = graph.compact_file_graph(files, imports, spark.createDataFrame([], "grp long, item string"))
+    got = sorted((r["a"], r["b"]) for r in graph._folder_pairs(g).collect())
+    want = sorted((f"f{i:02d}", f"f{j:02d}") for i in range(30) for j in range(i + 1, 30) if (i, j) not in ((1, 9), (5, 20)))
+    assert got == [*want, ("x", "y")]
