@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from veinstone.functions import diffs
 from veinstone.operators import graph, moving
@@ -101,3 +102,12 @@ def test_parts_of_a_large_folder_meet_once(spark, monkeypatch):
     got = sorted((r["a"], r["b"]) for r in graph._folder_pairs(g).collect())
     want = sorted((f"f{i:02d}", f"f{j:02d}") for i in range(30) for j in range(i + 1, 30) if (i, j) not in ((1, 9), (5, 20)))
     assert got == [*want, ("x", "y")]
+
+
+def test_a_part_without_a_brand_is_in_no_folder(spark, tmp_path):
+    for name in ("supplier", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(20).write.parquet(f"{tmp_path}/{name}.parquet")
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    part.withColumn("p_brand", F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand"))).write.parquet(f"{tmp_path}/part.parquet")
+    got = graphs.file_graph_edges(spark, str(tmp_path)).where("a like 'p%' and b like 'p%'").collect()
+    assert got and all(int(x[1:]) % 2 == 0 for r in got for x in (r["a"], r["b"]))
